@@ -1,10 +1,10 @@
-"""Registry of the engine's queries and of the SQL that checks them."""
+"""All queries of the engine. Importing it registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import (  # noqa: F401
+    aggregates,
+    relational,
+    scalars,
+)
+from .registry import ORACLES, QUERIES, ROWS  # noqa: F401
