@@ -7,5 +7,6 @@ from . import (  # noqa: F401
     intervals_spatial,
     relational,
     scalars,
+    similarity,
 )
 from .registry import ORACLES, QUERIES, ROWS  # noqa: F401
