@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import (  # noqa: F401
     aggregates,
+    extras,
     graphs_traces,
     intervals_spatial,
     relational,
