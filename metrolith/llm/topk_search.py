@@ -190,6 +190,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, block: int = 4096, qu
         return pd.DataFrame({"query_id": np.repeat(qid, k)[ok.ravel()], "vec_id": found[ok], "score": score[ok]})
 
     def search(qside: DataFrame, rside: DataFrame) -> DataFrame:
+        #: fresh names: both sides descend from one table
+        rside = rside.select(*[F.col(c).alias(c) for c in rside.columns])
+        qside = qside.select(*[F.col(c).alias(c) for c in qside.columns])
         return qside.groupBy("qb", "b", "dim").cogroup(rside.groupBy("qb", "b", "dim")).applyInPandas(lambda key, a, c: both(key, a, c, None), schema)
 
     def best(found: DataFrame) -> DataFrame:
