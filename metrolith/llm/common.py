@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Separators of the word definition used by the operators: space and \t..\r.
@@ -50,11 +51,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def small(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """The table, marked for broadcast if it is no longer than ``rows``; a longer one
+    is left to a shuffled join. The table should be cheap to count."""
+    df = written(df, "small")
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def range_count(spark: SparkSession, per_partition: int = 8) -> int:
+def range_count(spark: SparkSession, per_partition: int = 2) -> int:
     """Number of hash ranges: several per shuffle partition, so they even out."""
     return shuffle_partitions(spark) * per_partition
 

@@ -137,7 +137,7 @@ def deduplicate(docs: DataFrame, size: int = 13, rounds: int = 3, block_bytes: i
         raise ValueError("windows must be longer than the reach of the rounds")
     spark = docs.sparkSession
     count = range_count(spark)
-    blocks = max(4 * shuffle_partitions(spark), size_hint(docs.select("text")) // (block_bytes // 2))
+    blocks = max(2 * shuffle_partitions(spark), size_hint(docs.select("text")) // (block_bytes // 2))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = plain.where("doc_id is not null")
     dealt = known.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
