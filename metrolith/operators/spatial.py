@@ -15,11 +15,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as G
 from .relational import first_by
 
-_BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
+#: Type objects, not text: text is parsed by a session, and modules are imported without one.
+_numbers = lambda *names: T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+_BOX = _numbers("x0", "y0", "x1", "y1")
 
 
 @F.pandas_udf(_BOX)
@@ -27,27 +30,27 @@ def bounds_of(wkb: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([G.bounds(b) if b is not None else (None,) * 4 for b in wkb], columns=["x0", "y0", "x1", "y1"])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def box_of(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
     return pd.Series([G.box(*v) for v in zip(x0, y0, x1, y1)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def area_of(wkb: pd.Series) -> pd.Series:
     return wkb.map(lambda b: None if b is None else G.area(G.parts(b)))
 
 
-@F.pandas_udf("area double, ln_area double, compactness double, elongation double, min_width double")
+@F.pandas_udf(_numbers("area", "ln_area", "compactness", "elongation", "min_width"))
 def shape_of(wkb: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([G.shape(G.parts(b)) for b in wkb])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def overlap_of(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([G.overlap_area(G.parts(x), G.parts(y)) for x, y in zip(a, b)], dtype=float)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def side_of(x: pd.Series, y: pd.Series, wkb: pd.Series) -> pd.Series:
     """1 inside, 0 on the boundary, -1 outside; points of one polygon go together."""
     out = np.empty(len(x), int)
@@ -56,7 +59,7 @@ def side_of(x: pd.Series, y: pd.Series, wkb: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def length_inside(line: pd.Series, polygon: pd.Series) -> pd.Series:
     return pd.Series([G.clipped_length(G.parts(a), G.parts(b)) for a, b in zip(line, polygon)], dtype=float)
 
@@ -104,7 +107,7 @@ def assign_points(points: DataFrame, key: str, polygons: DataFrame, unit: str, c
     return out.where(F.col(unit).isNotNull()).unionByName(lost.join(found, key, "left"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def distance_to(x: pd.Series, y: pd.Series, wkb: pd.Series) -> pd.Series:
     """Distance to the boundary or line of a geometry."""
     out = []

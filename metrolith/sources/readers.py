@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geometry import line_wkb, polygon_wkb
 
@@ -98,7 +99,7 @@ def geojson(spark: SparkSession, path: str) -> DataFrame:
     return f.select(F.explode("features").alias("f")).select(_geojson_wkb("f.geometry").alias("geometry"), "f.properties")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _geojson_wkb(text: pd.Series) -> pd.Series:
     def one(g):
         kind, c = g["type"], g["coordinates"]
