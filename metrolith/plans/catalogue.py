@@ -7,8 +7,10 @@ from . import (  # noqa: F401
     extras,
     graphs_traces,
     intervals_spatial,
+    overlays,
     relational,
     scalars,
     similarity,
+    sources,
 )
 from .registry import ORACLES, QUERIES, ROWS  # noqa: F401
