@@ -49,7 +49,8 @@ def pair_table(long: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     (weighted by ``weights(column, w)``), null if a column is missing."""
     x = long if weights is None else long.join(F.broadcast(weights), "column", "left")
     w = F.lit(1.0) if weights is None else F.coalesce("w", F.lit(1.0))
-    x = x.withColumn("_w", w)
+    #: one row per unit and column, read by both sides of the join and by the calibration
+    x = x.withColumn("_w", w).persist()
     a = x.select("family", "block", "column", F.col("unit").alias("i"), F.col("value").alias("a"), "_w")
     b = x.select("family", "block", "column", F.col("unit").alias("j"), F.col("value").alias("b"))
     d = a.join(b, ["family", "block", "column"]).where("i < j").withColumn("_d", F.pow(F.col("a") - F.col("b"), 2))
@@ -59,6 +60,7 @@ def pair_table(long: DataFrame, weights: DataFrame | None = None) -> DataFrame:
 
 def calibrated(pairs: DataFrame, how: str = "median") -> DataFrame:
     """m over beta, the median (or mean) of the block's positive distances."""
+    pairs = pairs.persist()  # read for beta, for the budgets and for the distances
     positive = F.when(F.col("m") > 0, F.col("m"))
     beta = pairs.groupBy("family", "block").agg((F.median(positive) if how == "median" else F.avg(positive)).alias("beta"))
     return pairs.join(F.broadcast(beta), ["family", "block"]).withColumn("m", F.try_divide("m", "beta"))
