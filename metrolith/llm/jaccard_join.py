@@ -14,12 +14,13 @@ The boundary is the size at which the two kinds of work cost least, computed
 from the histogram of sizes and the measured mean length of lists.
 
 The lists are scanned twice. The first scan gives each set one candidate, the
-least compatible set of its lists, and verified candidates span most groups of
-near copies with as many pairs as sets. The second scan yields the pairs whose
-components still differ; all of these are verified. Every link between two
-components is thus seen, while pairs inside a component, whose number grows
-with the square of a group, are never made. Lists beyond ``list_block`` entries
-are scanned in pairs of blocks.
+least compatible set of its lists, and verified candidates join many near
+copies with as many pairs as sets. The second scan yields the pairs whose
+components still differ; in long lists, of each set the nearest few, and again
+with the new components and more of them until none is held back. Every pair of
+sets in different components is thus seen, while pairs inside a component, whose
+number grows with the square of a group, are not made. Lists beyond
+``list_block`` entries are scanned in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, binary, concat_ranges, mix, packed, pieces, range_count, ranges_of, runs, text_buffer, unpacked, windows, words, written
+from .common import U64, binary, concat_ranges, mix, packed, pieces, range_count, ranges_of, runs, small, text_buffer, unpacked, windows, words, written
 from .components import components
 
 _KEY_BITS = 48
@@ -74,9 +75,38 @@ def _keys(h: np.ndarray) -> np.ndarray:
     return mix(h ^ U64(0x5851F42D4C957F2D)) >> U64(64 - _KEY_BITS)
 
 
+def _bit_maps(x: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """A bit for each shingle, added modulo 2: sets of n get the power of two from
+    n / 2 on as their number of bits, 64 at least. Bits that differ between two
+    maps are shingles that differ."""
+    n = np.diff(at)
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n, 2) / 2)).astype(np.int64))
+    start = np.concatenate(([0], np.cumsum(bits)))
+    owner = np.repeat(np.arange(n.size), n)
+    place = start[owner] + (mix(x ^ U64(0x2545F4914F6CDD1D)).view(np.int64) & (bits - 1)[owner])
+    flat = np.packbits(np.bincount(place, minlength=int(start[-1])).astype(np.uint8) & 1, bitorder="little").tobytes()
+    return [flat[a // 8 : b // 8] for a, b in zip(start[:-1].tolist(), start[1:].tolist())]
+
+
+def _differ(a: bytes, b: bytes) -> int:
+    """Least number of shingles that are in one of the sets only."""
+    x, y = np.frombuffer(a, U64), np.frombuffer(b, U64)
+    while x.size > y.size:
+        x = x[: x.size // 2] ^ x[x.size // 2 :]
+    while y.size > x.size:
+        y = y[: y.size // 2] ^ y[y.size // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, row, text; ``row`` names a row by its id and text, whatever the plan."""
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("row"), text.alias("text"))
+
+
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, cls (digest of the set; null if it is empty), n, low (how many of the
-    keys are below the cut), keys: all shingles below a cut of the hash space that
+    """doc_id, row (a name of the row), cls (digest of the set; null if it is
+    empty), n, low (how many of the keys are below the cut), bits, keys: all shingles below a cut of the hash space that
     is somewhat more than the prefix needs, and as many above it as may be needed."""
     cut = U64(min(0.95, (100 - percent) / 100 * 1.7) * 2.0**64)
 
@@ -94,12 +124,11 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
             key = _keys(x)
             blobs = [packed(key[a : a + m]) for a, m in zip(at[:-1].tolist(), keep.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(mix(digest + n.astype(U64)).view(np.int64), mask=n == 0), pa.array(n), pa.array(low), binary(blobs)],
-                ["doc_id", "cls", "n", "low", "keys"],
+                [batch.column("doc_id"), batch.column("row"), pa.array(mix(digest + n.astype(U64)).view(np.int64), mask=n == 0), pa.array(n), pa.array(low), binary(_bit_maps(x, at)), binary(blobs)],
+                ["doc_id", "row", "cls", "n", "low", "bits", "keys"],
             )
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc_id long, cls long, n long, low long, keys binary")
+    return _rows(docs).mapInArrow(run, "doc_id long, row long, cls long, n long, low long, bits binary, keys binary")
 
 
 def _batch_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +170,7 @@ def _column(table: pa.Table, name: str, dtype) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
 
-def frequent(classes: DataFrame, least: int = 32) -> tuple[np.ndarray, np.ndarray, float]:
+def frequent(classes: DataFrame, least: int = 4) -> tuple[np.ndarray, np.ndarray, float]:
     """Keys that are in more than ``least`` classes, with their counts, and the mean
     length of the other lists. Counts cover all classes; ``least`` is doubled
     until at most MAX_HOT keys are left, which bounds what is broadcast. Any set
@@ -177,7 +206,7 @@ def frequent(classes: DataFrame, least: int = 32) -> tuple[np.ndarray, np.ndarra
     return rows["key"].to_numpy(np.int64).view(U64), rows["n"].to_numpy(np.int64), stats.get(-1, 0) / max(1, stats.get(-2, 0))
 
 
-def boundary(sizes: dict[int, int], heavy_total: int, mean_list: float, percent: int, top: int = 64) -> int:
+def boundary(sizes: dict[int, int], mean_list: float, percent: int, top: int = 64) -> int:
     """The largest light size: the one with the least total of subsets enumerated
     and list entries scanned. ``sizes`` counts classes of up to ``top`` shingles."""
     p = {n: n - _overlap(n, percent) + 1 for n in range(1, top + 1)}
@@ -221,6 +250,8 @@ def postings(classes: DataFrame, hot: tuple[np.ndarray, np.ndarray], light: int,
             single = np.flatnonzero(n >= reach)
             take = concat_ranges(at[single], prefix[single])
             keys, rows, size = [key[take]], [np.repeat(single, prefix[single])], [lists[take]]
+            #: how much a pair can share at most if this is the first that it shares
+            rest = [n[rows[0]] - (take - at[rows[0]])]
             for i in np.flatnonzero((n <= light) & (n > 1)).tolist():
                 a, b = _subsets(int(prefix[i]) + 1)
                 own = key[at[i] : at[i] + int(prefix[i]) + 1]
@@ -228,7 +259,8 @@ def postings(classes: DataFrame, hot: tuple[np.ndarray, np.ndarray], light: int,
                 keys.append(mix(lo * U64(0x9E3779B97F4A7C15) + hi) >> U64(64 - _KEY_BITS))
                 rows.append(np.full(a.size, i))
                 size.append(np.zeros(a.size, np.int64))
-            keys, rows, size = np.concatenate(keys), np.concatenate(rows), np.concatenate(size)
+                rest.append(n[i] - b + 1)
+            keys, rows, size, rest = np.concatenate(keys), np.concatenate(rows), np.concatenate(size), np.concatenate(rest)
             big = np.flatnonzero(size > list_block)
             if big.size:
                 #: a long list is cut into blocks; at the close each pair of blocks is a list of its own
@@ -242,78 +274,163 @@ def postings(classes: DataFrame, hot: tuple[np.ndarray, np.ndarray], light: int,
                     again, pair = np.arange(big.size), own
                 made = mix(keys[big][again] * U64(0xD6E8FEB86659FD93) + pair.astype(U64)) >> U64(64 - _KEY_BITS)
                 keep = size <= list_block
-                keys, rows = np.concatenate([keys[keep], made]), np.concatenate([rows[keep], rows[big][again]])
-            yield _ranged(keys, count, [cls[rows], n[rows].astype(np.int32), *([comp[rows]] if closing else [])], ["cls", "n", *(["comp"] if closing else [])])
+                keys, rows, rest = np.concatenate([keys[keep], made]), np.concatenate([rows[keep], rows[big][again]]), np.concatenate([rest[keep], rest[big][again]])
+            more = {"rest": rest.astype(np.int32), "comp": comp[rows]} if closing else {}
+            yield _ranged(keys, count, [cls[rows], n[rows].astype(np.int32), *more.values()], ["cls", "n", *more])
 
-    return classes.select("cls", "n", "low", "keys", "comp").mapInArrow(run, "r long, key binary, cls binary, n binary" + ", comp binary" * closing)
+    return classes.select("cls", "n", "low", "keys", "comp").mapInArrow(run, "r long, key binary, cls binary, n binary" + ", rest binary, comp binary" * closing)
 
 
 def _lists(table: pa.Table, closing: bool) -> tuple[np.ndarray, ...]:
+    """Entries of lists with two or more, sorted by list, size and class: key, cls,
+    n, rest, comp, and where each list begins."""
     key, cls, n = _column(table, "key", U64), _column(table, "cls", np.int64), _column(table, "n", np.int32).astype(np.int64)
-    comp = _column(table, "comp", np.int64) if closing else cls
+    rest, comp = (_column(table, "rest", np.int32).astype(np.int64), _column(table, "comp", np.int64)) if closing else (n, cls)
     order = np.lexsort((cls, n, key))
-    key, cls, n, comp = key[order], cls[order], n[order], comp[order]
+    key, cls, n, rest, comp = (x[order] for x in (key, cls, n, rest, comp))
     at = runs(key)
     several = np.repeat(np.diff(at) > 1, np.diff(at))
-    key, cls, n, comp = key[several], cls[several], n[several], comp[several]
-    return cls, n, comp, runs(key)
+    key, cls, n, rest, comp = (x[several] for x in (key, cls, n, rest, comp))
+    return key, cls, n, rest, comp, runs(key)
 
 
-def _first_candidates(percent: int, list_block: int):
+def _first_candidates(percent: int):
     def scan(table: pa.Table) -> pa.Table:
-        cls, n, _, at = _lists(table, False)
+        _, cls, n, _, _, at = _lists(table, False)
         which = np.repeat(np.arange(at.size - 1), np.diff(at))
         #: the first entry of the same list that is large enough
         to = np.searchsorted(which << 32 | n, which << 32 | _overlap(n, percent))
-        ok = (to < np.arange(n.size)) & (cls[np.minimum(to, max(0, n.size - 1))] != cls if n.size else np.zeros(0, bool))
-        pair = np.unique(np.stack([cls[ok], n[to[ok]], cls[to[ok]]], axis=1), axis=0)
-        #: whatever may be part of a pair gets a row; in blocks of a cut list, all may
-        cut = np.repeat(np.diff(at) > list_block // 8, np.diff(at))
-        other = np.unique(np.concatenate([pair[:, 2], cls[cut]]))
-        none = np.zeros(other.size, bool)
-        return pa.table({
-            "x": np.concatenate([pair[:, 0], other]),
-            "n": np.concatenate([pair[:, 1], np.full(other.size, 1 << 62)]),
-            "y": pa.array(np.concatenate([pair[:, 2], other]), mask=np.concatenate([np.zeros(len(pair), bool), ~none])),
-        })
+        ok = np.flatnonzero(to < np.arange(n.size))
+        pair = np.stack([cls[ok], n[to[ok]], cls[to[ok]]], axis=1)
+        pair = np.unique(pair[pair[:, 0] != pair[:, 2]], axis=0)
+        return pa.table({"x": pair[:, 0], "n": pair[:, 1], "y": pair[:, 2]})
 
     return scan
 
 
-def _open_pairs(percent: int):
+SHORT = 16
+
+
+def _needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Least overlap of two linked sets of n and m."""
+    return -(-(n + m) * percent // (100 + percent))
+
+
+def _open_lists(percent: int):
+    """Lists whose entries are in several components. Of short ones, the pairs that
+    sizes and positions allow (list 0); of longer ones, the entries."""
+
     def scan(table: pa.Table) -> pa.Table:
-        cls, n, comp, at = _lists(table, True)
-        found = []
+        key, cls, n, rest, comp, at = _lists(table, True)
+        ids, left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if n.size:
             low, high = np.minimum.reduceat(comp, at[:-1]), np.maximum.reduceat(comp, at[:-1])
-            for k in np.flatnonzero(low != high).tolist():
-                a, b = int(at[k]), int(at[k + 1])
-                own, size, names = comp[a:b], n[a:b], cls[a:b]
-                values, inverse, many = np.unique(own, return_inverse=True, return_counts=True)
-                few = np.flatnonzero(inverse != int(np.argmax(many)))
-                lo = np.searchsorted(size, _overlap(size[few], percent))
-                hi = np.searchsorted(size, size[few] * 100 // percent, "right")
-                step = max(1, 500_000 // (b - a))
-                for s in range(0, few.size, step):
-                    i = np.repeat(few[s : s + step], (hi - lo)[s : s + step])
-                    j = concat_ranges(lo[s : s + step], (hi - lo)[s : s + step])
-                    differ = own[i] != own[j]
-                    i, j = names[i[differ]], names[j[differ]]
-                    found.append(np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1), axis=0))
-        pair = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pair[:, 0], "b": pair[:, 1]})
+            size, begin = np.diff(at), at[:-1]
+            short = (low != high) & (size <= SHORT)
+            entry = concat_ranges(begin[short], size[short])
+            start = np.repeat(begin[short], size[short])
+            found = [np.zeros((0, 2), np.int64)]
+            for s in range(0, entry.size, 50_000):
+                k, first = entry[s : s + 50_000], start[s : s + 50_000]
+                i, j = np.repeat(k, k - first), concat_ranges(first, k - first)
+                keep = (comp[i] != comp[j]) & (np.minimum(rest[i], rest[j]) >= _needed(n[i], n[j], percent)) & (n[j] >= _overlap(n[i], percent))
+                a, b = cls[i[keep]], cls[j[keep]]
+                found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
+            pair = np.unique(np.concatenate(found), axis=0)
+            long = np.repeat((low != high) & (size > SHORT), size)
+            ids += [np.zeros(len(pair), np.int64), key[long].view(np.int64)]
+            left += [pair[:, 0], cls[long]]
+            right += [pair[:, 1], rest[long]]
+        return pa.table({"list": np.concatenate(ids), "a": np.concatenate(left), "b": np.concatenate(right)})
 
     return scan
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity, by exact counts."""
+def _nearest_pairs(entries: DataFrame, facts: DataFrame, percent: int, k: int) -> DataFrame:
+    """a, b: pairs of each list's entries that lie in different components and that
+    sizes, positions and bit maps allow; of each entry the ``k`` with the nearest
+    maps. A row with ``held`` says how many pairs a list still has beyond these.
+
+    Maps are compared where the list is, tile by tile, so only pairs that are
+    likely to link leave the task."""
+
+    def scan(table: pa.Table) -> pa.Table:
+        cls, n, rest, comp = (table.column(c).to_numpy().astype(np.int64) for c in ("cls", "n", "rest", "comp"))
+        found, held = [np.zeros((0, 2), np.int64)], 0
+        if comp.min() != comp.max():
+            maps = table.column("bits").to_pylist()
+            width = np.array([len(m) // 8 for m in maps])
+            rows = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
+            bits = {w: np.stack([np.frombuffer(maps[i], U64) for i in x]) for w, x in rows.items()}
+            for w, x in rows.items():
+                sides = [(x, bits[w])]
+                if 2 * w in rows:
+                    sides.append((rows[2 * w], bits[2 * w][:, :w] ^ bits[2 * w][:, w:]))
+                tile = max(1, min(256, (1 << 18) // w // 256, 2_000_000 // cls.size))
+                for s in range(0, x.size, tile):
+                    i = x[s : s + tile, None]
+                    hits = []
+                    for y, other in sides:
+                        for t in range(s if y is x else 0, y.size, 256):
+                            j = y[None, t : t + 256]
+                            need = _needed(n[i], n[j], percent)
+                            ok = (comp[i] != comp[j]) & (np.minimum(rest[i], rest[j]) >= need) & (np.minimum(n[i], n[j]) >= need)
+                            if y is x:
+                                ok &= i < j
+                            if not ok.any():
+                                continue
+                            differ = np.bitwise_count(bits[w][s : s + tile, None, :] ^ other[None, t : t + 256, :]).sum(axis=2, dtype=np.int64)
+                            a, b = np.nonzero(ok & (differ <= n[i] + n[j] - 2 * need))
+                            hits.append(np.stack([x[s + a], y[t + b], differ[a, b]], axis=1))
+                    if hits:
+                        h = np.concatenate(hits)
+                        h = h[np.lexsort((h[:, 1], h[:, 2], h[:, 0]))]
+                        begin = runs(h[:, 0])
+                        keep = np.arange(len(h)) - np.repeat(begin[:-1], np.diff(begin)) < k
+                        held += int((~keep).sum())
+                        found.append(h[keep, :2])
+        pair = np.concatenate(found)
+        a, b = cls[pair[:, 0]], cls[pair[:, 1]]
+        more = [held] if held else []
+        return pa.table({"a": np.concatenate([np.minimum(a, b), np.zeros(len(more), np.int64)]), "b": np.concatenate([np.maximum(a, b), np.zeros(len(more), np.int64)]), "held": np.concatenate([np.zeros(a.size, np.int64), np.array(more, np.int64)])})
+
+    rows = entries.select("list", F.col("a").alias("cls"), F.col("b").alias("rest")).join(facts, "cls").select("list", "cls", "rest", "n", "comp", "bits")
+    return rows.groupBy("list").applyInArrow(scan, "a long, b long, held long")
+
+
+def _possible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose bit maps don't rule a link out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+            most = n + m - 2 * _needed(n, m, percent)
+            keep = [_differ(x, y) <= k for x, y, k in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), most.tolist())]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = maps.select(F.col("cls").alias("a"), "n", F.col("bits").alias("left"))
+    right = maps.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("bits").alias("right"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "left", "right").mapInArrow(run, "a long, b long")
+
+
+def _links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the similarity, by exact counts. Sets are
+    made again from the texts, for the classes that the pairs name only."""
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            x, at = shingle_sets(*text_buffer(batch.column("text")), size)
+            key = mix(x) >> U64(16)
+            blobs = []
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+                blobs.append(packed(np.diff(np.sort(key[i:j]), prepend=U64(0))))
+            yield batch.drop_columns(["text"]).append_column("set", binary(blobs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-                x, y = np.frombuffer(left, U64), np.frombuffer(right, U64)
+            for left, right in zip(batch.column("left"), batch.column("right")):
+                x, y = np.cumsum(unpacked(left.as_py(), U64)), np.cumsum(unpacked(right.as_py(), U64))
                 if x.size > y.size:
                     x, y = y, x
                 at = np.searchsorted(y, x)
@@ -321,11 +438,20 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (x.size + y.size - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = sets.select(F.col("cls").alias("a"), F.col("set").alias("left")), sets.select(F.col("cls").alias("b"), F.col("set").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    rows = classes.select("cls", "row")
+    members = small(pairs.join(rows, pairs["a"] == rows["cls"]).select("a", "b", "row"))
+    centers = small(pairs.select("b").distinct().join(rows, F.col("b") == rows["cls"]).select("b", "row"))
+    left = texts.join(members, "row").select("a", "b", "text").mapInArrow(sets_of, "a long, b long, set binary").withColumnRenamed("set", "left")
+    right = texts.join(centers, "row").select("b", "text").mapInArrow(sets_of, "b long, set binary").withColumnRenamed("set", "right")
+    return left.join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long").distinct()
+
 
+def _labelled(classes: DataFrame, comps: DataFrame) -> DataFrame:
+    """The classes with the label of their component, or their own name."""
+    return classes.drop("comp").join(small(comps.withColumnRenamed("node", "cls")), "cls", "left").withColumn("comp", F.coalesce("label", "cls")).drop("label")
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, list_block: int = 200_000) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, list_block: int = 20_000) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links for each row of ``docs``.
 
     Words are maximal runs without space and \\t..\\r, A-Z lower-cased; a set is
@@ -338,40 +464,40 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, list_bloc
     stays null and never names a component unless all its members are null.
     Repeated rows are copies of each other. Empty table: no rows.
     """
-    spark = docs.sparkSession
+    texts = _rows(docs).select("row", "text")
     signed = written(signatures(docs, size, percent), "signatures")
-    classes = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("keys").alias("keys"))
-    classes = written(classes.withColumn("comp", F.col("cls")), "classes")
+    known = signed.where("cls is not null")
+    chosen = known.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("m")).select("cls", "m.doc_id", "m.row")
+    chosen = written(chosen, "classes")
+    classes = known.select("row", "cls", "n", "low", "bits", "keys").join(small(chosen.select("row")), "row").withColumn("comp", F.col("cls"))
     hot_keys, hot_n, mean_list = frequent(classes)
     sizes = {r[0]: r[1] for r in classes.where("n <= 64").groupBy("n").count().collect()}
-    light = boundary(sizes, 0, mean_list, percent)
+    light = boundary(sizes, mean_list, percent)
 
     lists = postings(classes, (hot_keys, hot_n), light, percent, False, list_block)
-    first = lists.groupBy("r").applyInArrow(_first_candidates(percent, list_block), "x long, n long, y long")
+    first = lists.groupBy("r").applyInArrow(_first_candidates(percent), "x long, n long, y long")
     first = first.groupBy("x").agg(F.min(F.struct("n", "y")).alias("m")).select(F.col("x").alias("a"), F.col("m.y").alias("b"))
-    first = written(first, "candidates")
-
-    #: only sets that have a candidate at all are kept for verification
-    wanted = classes.join(first.select(F.col("a").alias("cls")), "cls").select("cls", "doc_id")
-    first = first.where("b is not null")
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            x, at = shingle_sets(*text_buffer(batch.column("text")), size)
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), binary(x[a:b].tobytes() for a, b in zip(at[:-1], at[1:]))], ["cls", "set"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    #: a doc_id may be repeated with other texts, or null: the class is checked again
-    sets = _sets(texts, wanted, sets_of, size)
-    links = written(_links(first, sets, percent), "links")
+    maps = classes.select("cls", "n", "bits")
+    first = written(_possible(first, maps, percent), "candidates")
+    links = written(_links(first, texts, chosen, size, percent), "links")
 
     comps = components(links)
-    labelled = classes.drop("comp").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("label", "cls")).drop("label")
-    lists = postings(labelled, (hot_keys, hot_n), light, percent, True, list_block)
-    rest = lists.groupBy("r").applyInArrow(_open_pairs(percent), "a long, b long").distinct()
-    links = written(links.unionByName(_links(rest, sets, percent)), "links")
+    lists = postings(_labelled(classes, comps), (hot_keys, hot_n), light, percent, True, list_block)
+    opened = written(lists.groupBy("r").applyInArrow(_open_lists(percent), "list long, a long, b long"), "open")
+    rest = _possible(opened.where("list = 0").select("a", "b").distinct(), maps, percent)
+    k = 2
+    while True:
+        near = written(_nearest_pairs(opened.where("list <> 0"), _labelled(classes, comps).select("cls", "n", "comp", "bits"), percent, k), "near")
+        pairs = near.where("held = 0").select("a", "b")
+        pairs = written((pairs if rest is None else pairs.unionByName(rest)).distinct(), "candidates")
+        links = written(links.unionByName(_links(pairs, texts, chosen, size, percent)).distinct(), "links")
+        comps = components(links)
+        if near.where("held > 0").isEmpty():
+            break
+        #: pairs were held back: with the new components most are settled; ask for more of the others
+        k, rest = 4 * k, None
 
-    comps = components(links)
+    classes = chosen
     ends = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").count()
     named = classes.select("cls", "doc_id").join(comps.withColumnRenamed("node", "cls"), "cls")
     least = named.groupBy("label").agg(F.min("doc_id").alias("least"))
@@ -381,24 +507,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, list_bloc
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
 
 
-def _sets(texts: DataFrame, wanted: DataFrame, sets_of, size: int) -> DataFrame:
-    """cls, set for the wanted classes, from the text of their first document."""
-    found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("cls", "text").mapInArrow(sets_of, "cls long, set binary")
-
-    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for cls, s in zip(batch.column("cls").to_pylist(), batch.column("set").to_pylist()):
-                x = np.frombuffer(s, U64)
-                digest = mix(np.array([np.add.reduce(mix(x ^ U64(0xA0761D6478BD642F)))], U64) + U64(x.size)).view(np.int64)[0] if x.size else None
-                keep.append(digest == cls)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return written(found.mapInArrow(same, "cls long, set binary").dropDuplicates(["cls"]), "sets")
-
-
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """One document of each group, the one of the smallest doc_id, with all its
     columns. Rows without doc_id are kept; of repeated rows one stays."""
-    found = near_duplicates(docs, **options).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    gone = small(near_duplicates(docs, **options).where("doc_id <> component_id").select("doc_id").distinct())
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    #: only rows whose id is repeated have to meet by their text
+    repeated = small(left.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
+    again = left.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
