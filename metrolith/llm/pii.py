@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Java forms of the patterns: possessive where nothing is lost by it, and
@@ -30,7 +30,6 @@ _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _TERM = r"(?<!\p{L})\p{L}{4,40}+(?!\p{L})"
 CONTEXT = 48
-MAX_BROADCAST_ROWS = 500_000
 
 _SPAN = "struct<start:int,`end`:int,m:string>"
 
@@ -58,12 +57,12 @@ def _luhn(d: str) -> str:
     return f"aggregate(sequence(1, length({d})), 0, (s, i) -> s + CASE WHEN i % 2 = 1 THEN {digit} ELSE 2 * {digit} - CASE WHEN {digit} > 4 THEN 9 ELSE 0 END END) % 10 = 0"
 
 
-def base_spans(docs: DataFrame, *keep: str) -> DataFrame:
+def base_spans(docs: DataFrame) -> DataFrame:
     """doc_id, key, text, spans: array of (start, kind_no, end, kind, m), in order.
 
     ``key`` names a row by its id and text; a null text counts as empty."""
     none = f"CAST(array() AS array<{_SPAN}>)"
-    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *keep)
+    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     t = t.withColumn("key", F.xxhash64("doc_id", "text")).withColumn("digit", F.col("text").rlike("[0-9]"))
     part = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})$".replace("\\", "\\\\")
     found = {
@@ -74,7 +73,7 @@ def base_spans(docs: DataFrame, *keep: str) -> DataFrame:
     }
     t = t.withColumns({k: F.expr(v) for k, v in found.items()})
     tagged = ", ".join(f"transform({k}, x -> struct(x.start AS start, {i} AS no, x.`end` AS `end`, '{k}' AS kind, x.m AS m))" for i, k in enumerate(KINDS[:4]))
-    return t.select("doc_id", "key", "text", F.expr(f"array_sort(concat({tagged}))").alias("spans"), *keep)
+    return t.select("doc_id", "key", "text", F.expr(f"array_sort(concat({tagged}))").alias("spans"))
 
 
 def _contexts() -> str:
@@ -101,18 +100,13 @@ def disclosing(docs: DataFrame, based: DataFrame, threshold: float, support: int
     pairs = written(seen.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support), "pairs")
     entities = based.where(F.size("spans") > 0).select("key", F.explode(F.expr("array_distinct(transform(spans, s -> xxhash64(s.kind, lower(s.m))))")).alias("entity")).distinct()
     of_entity = entities.groupBy("entity").agg(F.count("*").alias("with_entity"))
-    terms = written(pairs.select("term").distinct(), "terms")
-    total, wanted = based.select("key").count(), terms.count()
-    if not wanted:
-        return pairs.select("entity", "term").limit(0)
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(_TERM), F.lit(0)))).alias("word")).select(F.xxhash64("word").alias("term"))
-    #: the terms are broadcast behind a check of their number, and in slices beyond it
-    slices, of_term = max(1, -(-wanted // MAX_BROADCAST_ROWS)), None
-    for k in range(slices):
-        mine = terms.where(F.pmod(F.col("term"), F.lit(slices)) == k)
-        part = words.join(F.broadcast(mine), "term").groupBy("term").agg(F.count("*").alias("with_term"))
-        of_term = part if of_term is None else of_term.unionByName(part)
-    scored = pairs.join(written(of_term, "term-counts"), "term").join(of_entity, "entity").where(F.col("with_entity") < total)
+    total = based.select("key").count()
+    #: words are counted before they meet the terms: a join of single words would
+    #: grow with the number of terms times their frequency (an inner join, as the
+    #: optimizer moves a semi join below the counts)
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(_TERM), F.lit(0)))).alias("word"))
+    of_term = words.select(F.xxhash64("word").alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
+    scored = pairs.join(of_term, "term").join(of_entity, "entity").where(F.col("with_entity") < total)
     pmi = F.log(F.col("both") * F.lit(float(total)) / (F.col("with_entity") * F.greatest("with_term", "both")))
     return scored.where(pmi >= threshold * F.log(F.lit(float(total)) / F.col("with_entity"))).select("entity", "term")
 
@@ -147,20 +141,19 @@ def term_spans(docs: DataFrame, based: DataFrame, threshold: float, support: int
 def redact(docs: DataFrame, threshold: float = 0.8, support: int = 3) -> DataFrame:
     """The documents with every span replaced by its kind in brackets, and n_chars
     set to the new length. Null texts stay null; columns and their order stay."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    full = base_spans(docs, *rest).withColumn("near", F.expr(_contexts()))
+    full = base_spans(docs).withColumn("near", F.expr(_contexts()))
     based = written(full.select("doc_id", "key", "spans", "near"), "base")
     added = written(term_spans(docs, based, threshold, support), "terms")
     spans = based.select("key", "spans").where(F.size("spans") > 0).dropDuplicates(["key"]).join(added, "key", "left")
-    spans = spans.select("key", F.expr("array_sort(concat(transform(spans, s -> struct(s.start AS start, s.no AS no, s.`end` AS `end`, s.kind AS kind)), coalesce(terms, CAST(array() AS array<struct<start:int,no:int,`end`:int,kind:string>>))))").alias("all"))
+    spans = spans.select("key", F.expr("array_sort(concat(transform(spans, s -> struct(s.start AS start, s.no AS no, s.`end` AS `end`, s.kind AS kind)), coalesce(terms, CAST(array() AS array<struct<start:int,no:int,`end`:int,kind:string>>))))").alias("__all"))
     keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    out = keyed.join(spans.withColumnRenamed("key", "__key"), "__key", "left")
+    out = keyed.join(small(spans.withColumnRenamed("key", "__key"), 100_000), "__key", "left")
     cut = F.expr("""
-        aggregate(all, struct(0 AS pos, CAST(array() AS array<string>) AS out), (acc, s) ->
+        aggregate(__all, struct(0 AS pos, CAST(array() AS array<string>) AS out), (acc, s) ->
             CASE WHEN s.start >= acc.pos THEN struct(s.`end` AS pos, concat(acc.out, array(substring(text, acc.pos + 1, s.start - acc.pos), concat('[', upper(s.kind), ']'))) AS out)
                  ELSE struct(greatest(acc.pos, s.`end`) AS pos, acc.out AS out) END,
             acc -> concat(array_join(acc.out, ''), substring(text, acc.pos + 1)))""")
-    out = out.withColumn("text", F.when(F.col("all").isNull(), F.col("text")).otherwise(cut))
+    out = out.withColumn("text", F.when(F.col("__all").isNull(), F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("all").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col("__all").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
