@@ -244,7 +244,7 @@ def _(t: Tables):
 
 
 @query("r132_raster_summary", (132, 133, 134), """
-    WITH c AS (SELECT l_suppkey AS unit, l_quantity AS v, l_returnflag <> 'N' AS ok, 100.0 * l_linenumber AS o FROM lineitem)
+    WITH c AS (SELECT l_suppkey AS unit, l_quantity AS v, l_returnflag <> 'N' AS ok, CAST(100.0 * l_linenumber AS DOUBLE) AS o FROM lineitem)
     SELECT unit, round(sum(CASE WHEN ok THEN v * o END) / sum(CASE WHEN ok THEN o END), 6) AS value, round(sum(CASE WHEN ok THEN v * o / 10000 END), 4) AS mass, sum(CASE WHEN NOT ok THEN o ELSE 0 END) AS nodata_m2 FROM c GROUP BY unit""")
 def _(t: Tables):
     c = t.lineitem.select(F.col("l_suppkey").alias("unit"), F.col("l_quantity").alias("value"), (F.col("l_returnflag") != "N").alias("valid"), (F.lit(100.0) * F.col("l_linenumber")).alias("overlap_m2"), F.lit(10000.0).alias("cell_area_m2"), F.lit(1e12).alias("support_area_m2"))

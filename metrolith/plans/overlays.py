@@ -24,7 +24,7 @@ def _(t: Tables):
 
 @query("r119_road_intervals", (119,), """
     WITH r AS (SELECT o_orderkey AS id, o_orderkey % 4 AS k FROM orders WHERE o_orderkey < 400)
-    SELECT id, 0.0 AS a, 0.25 AS b FROM r WHERE k <> 3 UNION ALL SELECT id, 0.25, 0.5 FROM r WHERE k NOT IN (1, 3) UNION ALL SELECT id, 0.5, 1.0 FROM r WHERE k <> 3""")
+    SELECT id, 0.0::DOUBLE AS a, 0.25::DOUBLE AS b FROM r WHERE k <> 3 UNION ALL SELECT id, 0.25, 0.5 FROM r WHERE k NOT IN (1, 3) UNION ALL SELECT id, 0.5, 1.0 FROM r WHERE k <> 3""")
 def _(t: Tables):
     k = F.col("o_orderkey") % 4
     rule = lambda v, between: F.struct(v.alias("value"), between.alias("between"))

@@ -53,7 +53,7 @@ def _(t: Tables):
     return t.spark.createDataFrame([(h,) for h in R.items_in_box(items, 1.5, 1.5, 2.5, 3.2)], "href string")
 
 
-@query("r011_geojson", (11, 28, 110), "SELECT CAST(n_nationkey AS VARCHAR) AS id, 4.0 AS area FROM nation")
+@query("r011_geojson", (11, 28, 110), "SELECT CAST(n_nationkey AS VARCHAR) AS id, CAST(4 AS DOUBLE) AS area FROM nation")
 def _(t: Tables):
     path = scratch(t.spark, "geojson")
     ring = "concat('{\"type\":\"Polygon\",\"coordinates\":[[[', k, ',0],[', k + 2, ',0],[', k + 2, ',2],[', k, ',2],[', k, ',0]]]}')"

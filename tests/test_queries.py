@@ -2,6 +2,7 @@
 
 import math
 import os
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -22,6 +23,7 @@ def duck():
 
 
 def plain(v):
+    v = float(v) if isinstance(v, Decimal) else v
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return None
     return round(v, 4) + 0.0 if isinstance(v, float) else str(v)
