@@ -346,17 +346,27 @@ def _open_lists(percent: int):
     return scan
 
 
+def _with_home(entries: DataFrame) -> DataFrame:
+    """The entries with ``own``: true in one list of each set, its longest."""
+    sizes = entries.groupBy("list").agg(F.count("*").alias("size"))
+    home = entries.join(sizes, "list").groupBy("a").agg(F.max(F.struct("size", "list")).alias("m")).select("a", F.col("m.list").alias("home"))
+    return entries.join(home, "a").select("list", "a", "b", (F.col("list") == F.col("home")).alias("own"))
+
+
 def _nearest_pairs(entries: DataFrame, facts: DataFrame, percent: int, k: int) -> DataFrame:
     """a, b: pairs of each list's entries that lie in different components and that
     sizes, positions and bit maps allow; of each entry the ``k`` with the nearest
     maps. A row with ``held`` says how many pairs a list still has beyond these.
+    Entries that aren't ``own`` are partners only: with one list of its own each
+    set asks once, however many lists it is in.
 
     Maps are compared where the list is, tile by tile, so only pairs that are
     likely to link leave the task."""
 
     def scan(table: pa.Table) -> pa.Table:
-        cls, n, rest, comp = (table.column(c).to_numpy().astype(np.int64) for c in ("cls", "n", "rest", "comp"))
+        cls, n, rest, comp, own = (table.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("cls", "n", "rest", "comp", "own"))
         found, held = [np.zeros((0, 2), np.int64)], 0
+        everyone = bool(own.all())
         if comp.min() != comp.max():
             maps = table.column("bits").to_pylist()
             width = np.array([len(m) // 8 for m in maps])
@@ -366,22 +376,24 @@ def _nearest_pairs(entries: DataFrame, facts: DataFrame, percent: int, k: int) -
                 sides = [(x, bits[w])]
                 if 2 * w in rows:
                     sides.append((rows[2 * w], bits[2 * w][:, :w] ^ bits[2 * w][:, w:]))
+                asking, mine = np.flatnonzero(own[x]), bits[w]
                 tile = max(1, min(256, (1 << 18) // w // 256, 2_000_000 // cls.size))
-                for s in range(0, x.size, tile):
-                    i = x[s : s + tile, None]
+                for s in range(0, asking.size, tile):
+                    at = asking[s : s + tile]
+                    i = x[at][:, None]
                     hits = []
                     for y, other in sides:
-                        for t in range(s if y is x else 0, y.size, 256):
+                        for t in range(s if y is x and everyone else 0, y.size, 256):
                             j = y[None, t : t + 256]
                             need = _needed(n[i], n[j], percent)
                             ok = (comp[i] != comp[j]) & (np.minimum(rest[i], rest[j]) >= need) & (np.minimum(n[i], n[j]) >= need)
-                            if y is x:
+                            if y is x and everyone:
                                 ok &= i < j
                             if not ok.any():
                                 continue
-                            differ = np.bitwise_count(bits[w][s : s + tile, None, :] ^ other[None, t : t + 256, :]).sum(axis=2, dtype=np.int64)
+                            differ = np.bitwise_count(mine[at][:, None, :] ^ other[None, t : t + 256, :]).sum(axis=2, dtype=np.int64)
                             a, b = np.nonzero(ok & (differ <= n[i] + n[j] - 2 * need))
-                            hits.append(np.stack([x[s + a], y[t + b], differ[a, b]], axis=1))
+                            hits.append(np.stack([x[at[a]], y[t + b], differ[a, b]], axis=1))
                     if hits:
                         h = np.concatenate(hits)
                         h = h[np.lexsort((h[:, 1], h[:, 2], h[:, 0]))]
@@ -394,7 +406,7 @@ def _nearest_pairs(entries: DataFrame, facts: DataFrame, percent: int, k: int) -
         more = [held] if held else []
         return pa.table({"a": np.concatenate([np.minimum(a, b), np.zeros(len(more), np.int64)]), "b": np.concatenate([np.maximum(a, b), np.zeros(len(more), np.int64)]), "held": np.concatenate([np.zeros(a.size, np.int64), np.array(more, np.int64)])})
 
-    rows = entries.select("list", F.col("a").alias("cls"), F.col("b").alias("rest")).join(facts, "cls").select("list", "cls", "rest", "n", "comp", "bits")
+    rows = entries.select("list", F.col("a").alias("cls"), F.col("b").alias("rest"), "own").join(facts, "cls").select("list", "cls", "rest", "own", "n", "comp", "bits")
     return rows.groupBy("list").applyInArrow(scan, "a long, b long, held long")
 
 
@@ -485,17 +497,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, list_bloc
     lists = postings(_labelled(classes, comps), (hot_keys, hot_n), light, percent, True, list_block)
     opened = written(lists.groupBy("r").applyInArrow(_open_lists(percent), "list long, a long, b long"), "open")
     rest = _possible(opened.where("list = 0").select("a", "b").distinct(), maps, percent)
-    k = 2
+    long = opened.where("list <> 0")
+    entries, k, homes = _with_home(long), 2, 2
     while True:
-        near = written(_nearest_pairs(opened.where("list <> 0"), _labelled(classes, comps).select("cls", "n", "comp", "bits"), percent, k), "near")
+        near = written(_nearest_pairs(entries, _labelled(classes, comps).select("cls", "n", "comp", "bits"), percent, k), "near")
         pairs = near.where("held = 0").select("a", "b")
         pairs = written((pairs if rest is None else pairs.unionByName(rest)).distinct(), "candidates")
         links = written(links.unionByName(_links(pairs, texts, chosen, size, percent)).distinct(), "links")
         comps = components(links)
-        if near.where("held > 0").isEmpty():
+        rest, homes = None, homes - 1
+        if homes < 0 and near.where("held > 0").isEmpty():
             break
-        #: pairs were held back: with the new components most are settled; ask for more of the others
-        k, rest = 4 * k, None
+        #: two rounds in one list of each set make most components; then all lists are
+        #: asked, and for more while pairs are held back
+        k = 2 if homes == 0 else 4 * k
+        entries = entries if homes > 0 else long.withColumn("own", F.lit(True))
 
     classes = chosen
     ends = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").count()
