@@ -3,15 +3,16 @@ DataFrame functions only.
 
 Base spans come from four patterns. What the patterns cannot see are words
 that give an entity away because they keep company with it. For every entity
-``e`` (a distinct value of a base span) and every word ``t`` that stands near
-it, the corpus gives
+``e`` (a distinct value of a base span) and every term ``t`` (a run of letters,
+marks, digits and underscores outside base spans) the corpus gives
 
     information(e)  = -log p(e)
     disclosure(e,t) = log(p(e, t) / (p(e) p(t))) / information(e)
 
-with probabilities over all documents: 1 means that ``t`` reveals ``e``
-completely. Words at or above ``threshold`` that stand near the entity in
-``support`` documents or more are spans of kind ``term`` there.
+with probabilities over whole documents: 1 means that ``t`` reveals ``e``
+completely. Terms at or above ``threshold`` that share ``support`` documents or
+more with the entity are spans of kind ``term``, at each of their occurrences
+in documents that hold the entity or, with ``everywhere``, in all documents.
 """
 
 from __future__ import annotations
@@ -28,8 +29,7 @@ _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-
 _IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-_TERM = r"(?<!\p{L})\p{L}{4,40}+(?!\p{L})"
-CONTEXT = 48
+_TERM = r"[\p{L}\p{M}\p{N}_]++"
 
 _SPAN = "struct<start:int,`end`:int,m:string>"
 
@@ -76,76 +76,103 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return t.select("doc_id", "key", "text", F.expr(f"array_sort(concat({tagged}))").alias("spans"))
 
 
-def _contexts() -> str:
-    """SQL for the words near each base span: array<struct<entity, term, start, end>>.
+def _masked() -> str:
+    """SQL for the text with its base spans blanked; positions stay."""
+    return """
+        CASE WHEN size(spans) = 0 THEN text ELSE aggregate(spans, struct(0 AS pos, CAST(array() AS array<string>) AS out), (acc, s) ->
+            CASE WHEN s.`end` > acc.pos THEN struct(s.`end` AS pos, concat(acc.out, array(
+                substring(text, acc.pos + 1, greatest(s.start - acc.pos, 0)), repeat(' ', s.`end` - greatest(s.start, acc.pos)))) AS out) ELSE acc END,
+            acc -> concat(array_join(acc.out, ''), substring(text, acc.pos + 1))) END"""
 
-    A word that the window cuts, or that overlaps a base span, is left out."""
-    found = _found("w.side", _TERM)
+
+def _terms() -> str:
+    """SQL for the distinct terms of a row outside its base spans, as hashes."""
+    p = _TERM.replace("\\", "\\\\")
+    return f"array_distinct(transform(regexp_extract_all(masked, '{p}', 0), x -> xxhash64(lower(x))))"
+
+
+def _flagged() -> str:
+    """SQL for the spans of the terms in ``flags``; no others are collected."""
+    p, span = _TERM.replace("\\", "\\\\"), "struct<start:int,no:int,`end`:int,kind:string>"
     return f"""
-        flatten(transform(spans, s -> flatten(transform(array(
-            struct(greatest(s.start - {CONTEXT}, 0) AS at, substring(text, greatest(s.start - {CONTEXT}, 0) + 1, least({CONTEXT}, s.start)) AS side),
-            struct(s.`end` AS at, substring(text, s.`end` + 1, {CONTEXT}) AS side)),
-            w -> transform(filter({found}, x ->
-                    NOT (w.at = s.`end` AND x.`end` = {CONTEXT}) AND NOT (w.at < s.start AND w.at > 0 AND x.start = 0)
-                    AND NOT exists(spans, o -> o.start < w.at + x.`end` AND o.`end` > w.at + x.start)),
-                x -> struct(xxhash64(s.kind, lower(s.m)) AS entity, xxhash64(lower(x.m)) AS term, w.at + x.start AS start, w.at + x.`end` AS `end`))))))"""
-
-
-def disclosing(docs: DataFrame, based: DataFrame, threshold: float, support: int) -> DataFrame:
-    """entity, term: the pairs at or above the disclosure threshold.
-
-    Counts are numbers of documents (rows of distinct key) over the whole
-    corpus. Hot entities and terms are counted with partial aggregation."""
-    seen = based.where(F.size("near") > 0).select("key", F.explode("near").alias("n")).select("key", "n.entity", "n.term").distinct()
-    pairs = written(seen.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support), "pairs")
-    entities = based.where(F.size("spans") > 0).select("key", F.explode(F.expr("array_distinct(transform(spans, s -> xxhash64(s.kind, lower(s.m))))")).alias("entity")).distinct()
-    of_entity = entities.groupBy("entity").agg(F.count("*").alias("with_entity"))
-    total = based.select("key").count()
-    #: words are counted before they meet the terms: a join of single words would
-    #: grow with the number of terms times their frequency (an inner join, as the
-    #: optimizer moves a semi join below the counts)
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(_TERM), F.lit(0)))).alias("word"))
-    of_term = words.select(F.xxhash64("word").alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
-    scored = pairs.join(of_term, "term").join(of_entity, "entity").where(F.col("with_entity") < total)
-    pmi = F.log(F.col("both") * F.lit(float(total)) / (F.col("with_entity") * F.greatest("with_term", "both")))
-    return scored.where(pmi >= threshold * F.log(F.lit(float(total)) / F.col("with_entity"))).select("entity", "term")
+        CASE WHEN flags IS NULL THEN CAST(array() AS array<{span}>) ELSE
+        aggregate(zip_with(regexp_extract_all(masked, '{p}', 0), split(masked, '{p}', -1), (m, b) -> struct(m, b)),
+            struct(0 AS pos, CAST(array() AS array<{span}>) AS out),
+            (acc, x) -> CASE WHEN x.m IS NULL THEN acc ELSE struct(acc.pos + length(x.b) + length(x.m) AS pos,
+                CASE WHEN array_contains(flags, xxhash64(lower(x.m))) THEN concat(acc.out, array(struct(acc.pos + length(x.b) AS start, 4 AS no,
+                    acc.pos + length(x.b) + length(x.m) AS `end`, 'term' AS kind))) ELSE acc.out END AS out) END,
+            acc -> acc.out) END"""
+
+
+def _based(docs: DataFrame) -> DataFrame:
+    """doc_id, key, spans and the masked text of each row, written."""
+    t = base_spans(docs).withColumn("masked", F.expr(_masked()))
+    return written(t.select("doc_id", "key", "spans", "masked"), "base")
+
+
+def disclosing(based: DataFrame, threshold: float, support: int) -> tuple[DataFrame, DataFrame]:
+    """(entity, term: the pairs at or above the disclosure threshold; key, entity,
+    term: the candidates in each row).
+
+    All counts are numbers of whole documents (rows of distinct key) over the
+    corpus. As ``p(e,t) <= p(e)``, a term of ``e`` is in ``total * p(e)^threshold``
+    documents at most: terms are counted first, and commoner ones make no pairs."""
+    twice = written(based.groupBy("key").count().where("count > 1").select("key"), "twice")
+    once = based
+    if not twice.isEmpty():
+        once = based.join(twice, "key", "left_anti").unionByName(based.join(twice, "key", "left_semi").dropDuplicates(["key"]))
+    total = float(once.count())
+    entities = once.where(F.size("spans") > 0).select("key", F.explode(F.expr("array_distinct(transform(spans, s -> xxhash64(s.kind, lower(s.m))))")).alias("entity"))
+    of_entity = entities.groupBy("entity").agg(F.count("*").alias("with_entity")).where((F.col("with_entity") >= support) & (F.col("with_entity") < total))
+    #: a little is added for rounding: the exact test comes last
+    most = F.lit(max(total, 1.0)) * F.pow(F.col("with_entity") / max(total, 1.0), F.lit(threshold)) * 1.000001
+    held = written(entities.join(of_entity.withColumn("most", most), "entity"), "entities")
+    bound = held.agg(F.max("most")).first()[0] or 0.0
+    words = once.select(F.explode(F.expr(_terms())).alias("term"))
+    of_term = words.groupBy("term").agg(F.count("*").alias("with_term")).where(F.col("with_term").between(support, bound))
+    rows = once.where(F.size("spans") > 0).join(held.groupBy("key").agg(F.max("most").alias("row_most")), "key")
+    rare = rows.select("key", "row_most", F.explode(F.expr(_terms())).alias("term")).join(small(of_term, 500_000), "term").where("with_term <= row_most")
+    pairs = written(rare.select("key", "term", "with_term").join(held, "key").where("with_term <= most").select("key", "entity", "term", "with_entity", "with_term"), "pairs")
+    scored = pairs.groupBy("entity", "term", "with_entity", "with_term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
+    pmi = F.log(F.col("both") * F.lit(total) / (F.col("with_entity") * F.col("with_term")))
+    return scored.where(pmi >= threshold * F.log(F.lit(total) / F.col("with_entity"))).select("entity", "term"), pairs.select("key", "entity", "term")
 
 
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find(docs: DataFrame, threshold: float = 0.8, support: int = 3) -> DataFrame:
+def find(docs: DataFrame, threshold: float = 0.8, support: int = 3, everywhere: bool = False) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row.
 
+    ``everywhere`` marks a disclosing term also in rows without the entity.
     Null and empty texts have no spans; repeated rows get equal results and
     count as one document in the corpus. Empty table: no rows.
     """
-    based = base_spans(docs)
-    based = written(based.select("doc_id", "key", "spans", F.expr(_contexts()).alias("near")), "base")
-    added = term_spans(docs, based, threshold, support)
-    out = based.select("doc_id", "key", "spans").join(added, "key", "left")
+    based = _based(docs)
+    out = based.join(term_flags(based, threshold, support, everywhere), "key", "left").withColumn("terms", F.expr(_flagged()))
     n = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    both = F.array_sort(F.concat(F.expr("transform(spans, s -> struct(s.start AS start, s.no AS no, s.`end` AS `end`, s.kind AS kind))"), F.coalesce("terms", F.expr("CAST(array() AS array<struct<start:int,no:int,`end`:int,kind:string>>)"))))
+    both = F.array_sort(F.concat(F.expr("transform(spans, s -> struct(s.start AS start, s.no AS no, s.`end` AS `end`, s.kind AS kind))"), "terms"))
     return out.select("doc_id", n("email"), n("ip"), n("card"), n("phone"), F.sha2(_joined(F.col("spans")), 256).alias("base_sha256"), _joined(both).alias("spans"))
 
 
-def term_spans(docs: DataFrame, based: DataFrame, threshold: float, support: int) -> DataFrame:
-    """key, terms: the disclosing words near entities, for rows that have some."""
-    flagged = disclosing(docs, based, threshold, support)
-    near = based.where(F.size("near") > 0).select("key", F.explode("near").alias("n")).select("key", "n.*")
-    hits = near.join(flagged, ["entity", "term"]).select("key", F.struct("start", F.lit(4).alias("no"), "end", F.lit("term").alias("kind")).alias("s"))
-    return hits.groupBy("key").agg(F.array_sort(F.collect_set("s")).alias("terms"))
+def term_flags(based: DataFrame, threshold: float, support: int, everywhere: bool) -> DataFrame:
+    """key, flags: the disclosing terms of each row that has some, as hashes."""
+    pairs, held = disclosing(based, threshold, support)
+    if everywhere:
+        terms = small(pairs.select("term").distinct(), 500_000)
+        hits = based.select("key", F.explode(F.expr(_terms())).alias("term")).join(terms, "term")
+    else:
+        hits = held.join(pairs, ["entity", "term"])
+    return hits.groupBy("key").agg(F.collect_set("term").alias("flags"))
 
 
-def redact(docs: DataFrame, threshold: float = 0.8, support: int = 3) -> DataFrame:
+def redact(docs: DataFrame, threshold: float = 0.8, support: int = 3, everywhere: bool = False) -> DataFrame:
     """The documents with every span replaced by its kind in brackets, and n_chars
     set to the new length. Null texts stay null; columns and their order stay."""
-    full = base_spans(docs).withColumn("near", F.expr(_contexts()))
-    based = written(full.select("doc_id", "key", "spans", "near"), "base")
-    added = written(term_spans(docs, based, threshold, support), "terms")
-    spans = based.select("key", "spans").where(F.size("spans") > 0).dropDuplicates(["key"]).join(added, "key", "left")
-    spans = spans.select("key", F.expr("array_sort(concat(transform(spans, s -> struct(s.start AS start, s.no AS no, s.`end` AS `end`, s.kind AS kind)), coalesce(terms, CAST(array() AS array<struct<start:int,no:int,`end`:int,kind:string>>))))").alias("__all"))
+    based = _based(docs)
+    full = based.join(term_flags(based, threshold, support, everywhere), "key", "left").where("size(spans) > 0 OR flags IS NOT NULL").dropDuplicates(["key"]).withColumn("terms", F.expr(_flagged()))
+    spans = full.select("key", F.expr("array_sort(concat(transform(spans, s -> struct(s.start AS start, s.no AS no, s.`end` AS `end`, s.kind AS kind)), terms))").alias("__all"))
     keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
     out = keyed.join(small(spans.withColumnRenamed("key", "__key"), 100_000), "__key", "left")
     cut = F.expr("""

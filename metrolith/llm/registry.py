@@ -23,7 +23,7 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(table(spark, sf_dir, "documents"))
+    return pii.find(table(spark, sf_dir, "documents"), support=1, everywhere=True)
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

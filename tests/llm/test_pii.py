@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 
 from metrolith.llm import pii
@@ -61,3 +62,32 @@ def test_redact_keeps_rows_and_columns(spark):
     assert out.columns == df.columns
     assert sorted(map(str, out.collect())) == sorted(map(str, [("Row",)] and [r for r in spark.createDataFrame([(1, "en", "mail [EMAIL], [CARD]", 20), (2, "en", None, None), (1, "de", "x", 1), (None, "fr", "[EMAIL]", 7)], df.schema).collect()]))
     assert pii.redact(df.limit(0)).count() == 0 and pii.find(df.limit(0)).count() == 0
+
+
+def test_disclosing_terms_of_whole_documents(spark):
+    """Rare entities, distant, short and alphanumeric terms, and rows without the entity, against brute force."""
+    far = "the text of this " * 6
+    rows = [(1, f"Li {far} a@b.org {far} k9_7 李雷"), (1, f"Li {far} a@b.org {far} k9_7 李雷"), (2, "Li is in the text"), (3, "this Bo c@d.org"), (4, "Bo of e@f.org Bo c@d.org"), (None, None)]
+    rows += [(10 + i, f"{far} Common{i % 3}") for i in range(60)]
+    term, n = re.compile(r"\w+"), len(rows) - 1  # one row is repeated
+    masked, ents = {}, {}
+    for d, t in dict(rows).items():
+        masked[d], ents[d] = t or "", {(k, t[a:b].lower()) for a, _, b, k in spans(t)}
+        for a, _, b, _ in spans(t):
+            masked[d] = masked[d][:a] + " " * (b - a) + masked[d][b:]
+    words = {d: {x.lower() for x in term.findall(t)} for d, t in masked.items()}
+    bad = set()
+    for e in set().union(*ents.values()):
+        we = sum(e in x for x in ents.values())
+        for w in set().union(*(words[d] for d in words if e in ents[d])):
+            both, wt = sum(e in ents[d] and w in words[d] for d in words), sum(w in x for x in words.values())
+            if math.log(both * n / (we * wt)) >= 0.8 * math.log(n / we):
+                bad.add(w)
+    assert {"li", "k9_7", "李雷", "bo"} <= bad and not {"the", "common1"} & bad
+    got = pii.find(spark.createDataFrame(rows, "doc_id long, text string"), support=1, everywhere=True).collect()
+    assert len(got) == len(rows)
+    texts = dict(rows)
+    for r in got:
+        want = [(m.start(), 4, m.end(), "term") for m in term.finditer(masked[r.doc_id]) if m[0].lower() in bad]
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(want + spans(texts[r.doc_id]))), r
+    assert [r.spans for r in got if r.doc_id == 2] == ["term:0:2"]
