@@ -6,12 +6,14 @@ q-grams, all on diagonals (text position - segment position) that lie within
 ``e`` of each other. Shared q-grams are therefore counted in overlapping
 diagonal bands, bands that reach the bound are kept, and what they mark is
 aligned within the band. q is 8, so that a q-gram of bytes is one 64-bit word
-and equality of q-grams is exact.
+and equality of q-grams is exact. Long items are also cut into short segments
+at a stride no larger than their edit budget, so an excerpt may begin anywhere.
+Items too short for the lemma are found as whole words without edits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import concat_ranges, pieces, runs, text_buffer
+from .common import _P, _P_INV, U64, _power, concat_ranges, mix, pieces, runs, text_buffer
 
 Q = 8
 _BITS = 20
@@ -58,55 +60,94 @@ def _slot(g: np.ndarray) -> np.ndarray:
     return (g * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _BITS)).astype(np.int64)
 
 
+@dataclass
+class Segments(Sequence):
+    """Parts of one buffer, cut out when asked for."""
+
+    text: bytes
+    start: np.ndarray
+    end: np.ndarray
+
+    def __len__(self) -> int:
+        return self.start.size
+
+    def __getitem__(self, k: int) -> bytes:
+        return self.text[self.start[k] : self.end[k]]
+
+
 @dataclass
 class Index:
-    segments: list[bytes]
+    segments: Segments
     item: np.ndarray  # item_id of each segment
     edits: np.ndarray
     least: np.ndarray  # shared q-grams that the lemma asks for
     values: np.ndarray  # distinct q-grams, sorted
     begin: np.ndarray  # of each q-gram's postings
-    owner: np.ndarray  # posting: segment
-    place: np.ndarray  # posting: position in the segment
+    where: np.ndarray  # posting: position in the text of all items
+    groups: list[tuple[int, int]]  # segments [lo, hi) whose starts and ends both rise
     slots: np.ndarray
     density: list[tuple[int, int]]  # (positions of a window, shared q-grams in it) by class of segment length
+    short: dict[int, tuple[np.ndarray, dict[bytes, int]]]  # by length: sorted hashes, and items
+
 
+def _hashes(buf: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the bytes of each window, the same wherever it stands."""
+    n = buf.size
+    with np.errstate(over="ignore"):
+        total = np.zeros(n + 1, U64)
+        np.cumsum((buf.astype(U64) + U64(1)) * _power("p", _P, n), out=total[1:])
+        return mix((total[begin + length] - total[begin]) * _power("q", _P_INV, n)[begin])
 
-def build_index(items: list[tuple[int, str]], error: float = 0.06, min_chars: int = 32, segment: int = 160) -> Index:
+
+def build_index(items: list[tuple[int, str]], error: float = 0.06, min_chars: int = 32, segment: int = 160, fine: int = 64) -> Index:
     """Items of equal normalised text count once, under the smallest item_id;
-    items under ``min_chars`` normalised bytes and null ones take no part."""
+    null and empty ones take no part. Those under ``min_chars`` normalised bytes
+    are matched whole; those over ``segment`` are cut into segments of that
+    length and, closely, into ones of ``fine`` bytes."""
     texts: dict[bytes, int] = {}
     for item, text in items:
         if item is None or text is None:
             continue
         raw = np.frombuffer(text.encode(), np.uint8)
         t = normalise(raw, np.array([0, raw.size]))[0].tobytes().strip()
-        if len(t) >= min_chars:
+        if t:
             texts[t] = min(item, texts.get(t, item))
-    segments, owners = [], []
-    for t, item in sorted(texts.items(), key=lambda x: x[1]):
+    short: dict[int, tuple[np.ndarray, dict[bytes, int]]] = {}
+    for t in [t for t in texts if len(t) < max(min_chars, Q)]:
+        short.setdefault(len(t), (np.zeros(0, U64), {}))[1][t] = texts.pop(t)
+    for n, (_, of) in short.items():
+        short[n] = (np.unique([_hashes(np.frombuffer(t, np.uint8), np.zeros(1, np.int64), n)[0] for t in of]), of)
+    order = sorted(texts.items(), key=lambda x: x[1])
+    buffer = b"".join(t for t, _ in order)
+    wide, close = [], []
+    at = 0
+    step = max(1, int(fine * error))
+    for t, item in order:
         n = len(t)
         cuts = [0] if n <= segment else [*range(0, n - segment, segment // 2), n - segment]
-        for c in cuts:
-            segments.append(t[c : c + segment])
-            owners.append(item)
-    length = np.array([len(s) for s in segments], np.int64)
+        wide += [(at + c, at + min(c + segment, n), item) for c in cuts]
+        if n > segment > fine:
+            close += [(at + c, at + c + fine, item) for c in [*range(0, n - fine, step), n - fine]]
+        at += n
+    start, end, owners = (np.array([x[k] for x in [*wide, *close]], np.int64) for k in range(3))
+    length = end - start
     edits = (length * error).astype(np.int64)
     least = length + 1 - Q * (edits + 1)
-    all_grams = [grams(np.frombuffer(s, np.uint8)) for s in segments]
-    g = np.concatenate(all_grams) if segments else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(segments)), [x.size for x in all_grams])
-    place = np.concatenate([np.arange(x.size) for x in all_grams]) if segments else np.zeros(0, np.int64)
-    order = np.argsort(g, kind="stable")
-    g = g[order]
+    data = np.frombuffer(buffer, np.uint8)
+    edge = np.cumsum([0, *(len(t) for t, _ in order)])
+    where = concat_ranges(edge[:-1], np.diff(edge) - Q + 1)
+    g = grams(data)[where] if where.size else np.zeros(0, np.uint64)
+    by = np.argsort(g, kind="stable")
+    g, where = g[by], where[by]
     at = runs(g)
     slots = np.zeros(1 << _BITS, bool)
     slots[_slot(g)] = True
     density = []
-    if segments:
+    if length.size:
         kind = np.floor(np.log(length / length.min()) / np.log(1.2) + 1e-9).astype(int)
         density = [(int((length - Q + 1 + edits)[kind == c].max()), int(least[kind == c].min())) for c in np.unique(kind)]
-    return Index(segments, np.array(owners, np.int64), edits, least, g[at[:-1]], at, owner[order], place[order], slots, density)
+    groups = [(0, len(wide)), (len(wide), length.size)]
+    return Index(Segments(buffer, start, end), owners, edits, least, g[at[:-1]], at, where, groups, slots, density, short)
 
 
 def banded(segment: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -128,20 +169,61 @@ def banded(segment: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 def matches(buf: np.ndarray, at: np.ndarray, ix: Index) -> list[tuple[int, int, int, int, int]]:
     """(document ordinal, item, begin, end, edits) for whole texts; begin and end
     are byte offsets in the document."""
-    if not ix.segments or buf.size < Q:
-        return []
     origin = at
     text, at, place = normalise(buf, at)
+    best = _long(text, at, ix)
+    for d, item, lo, hi in _short(text, at, ix):
+        _widen(best, (d, item), 0, lo, hi)
+    return [(d, item, int(place[lo] - origin[d]), int(place[hi - 1] - origin[d]) + 1, edits) for (d, item), (edits, lo, hi) in sorted(best.items())]
+
+
+def _widen(best: dict, where: tuple[int, int], edits: int, lo: int, hi: int) -> None:
+    have = best.get(where)
+    best[where] = (edits, lo, hi) if have is None else (min(have[0], edits), min(have[1], lo), max(have[2], hi))
+
+
+def _short(text: np.ndarray, at: np.ndarray, ix: Index) -> Iterator[tuple[int, int, int, int]]:
+    """(document ordinal, item, begin, end) of short items as whole words."""
+    if not ix.short or not text.size:
+        return
+    solid = text != 0x20
+    first, last = solid.copy(), np.zeros(text.size + 1, bool)
+    first[1:] &= ~solid[:-1]
+    last[1:] = solid
+    last[1:-1] &= ~solid[1:]
+    edge = at[:-1][np.diff(at) > 0]
+    first[edge] = solid[edge]
+    last[at[1:][np.diff(at) > 0]] = solid[at[1:][np.diff(at) > 0] - 1]
+    begin = np.flatnonzero(first)
+    stop = at[np.searchsorted(at, begin, "right")]
+    for n, (known, of) in ix.short.items():
+        b = begin[begin + n <= stop]
+        b = b[last[b + n]]
+        if not b.size:
+            continue
+        h = _hashes(text, b, n)
+        b = b[known[np.minimum(np.searchsorted(known, h), known.size - 1)] == h]
+        for x, d in zip(b.tolist(), (np.searchsorted(at, b, "right") - 1).tolist()):
+            item = of.get(text[x : x + n].tobytes())
+            if item is not None:
+                yield d, item, x, x + n
+
+
+def _long(text: np.ndarray, at: np.ndarray, ix: Index) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """(document ordinal, item) with fewest edits, begin and end of its segments found."""
+    if not len(ix.segments) or text.size < Q:
+        return {}
     g = grams(text)
     pos = np.flatnonzero(ix.slots[_slot(g)])
     if not pos.size:
-        return []
+        return {}
     k = np.minimum(np.searchsorted(ix.values, g[pos]), ix.values.size - 1)
     same = ix.values[k] == g[pos]
     pos, k = pos[same], k[same]
     #: positions near a window that holds enough shared q-grams of some class of segments
     near = np.zeros(g.size + 1, np.int32)
-    reach = max(map(len, ix.segments)) + int(ix.edits.max())
+    length = ix.segments.end - ix.segments.start
+    reach = int(length.max() + ix.edits.max())
     for width, least in ix.density:
         #: a window that holds enough may begin with a hit, so windows are tried at hits only
         if pos.size < least:
@@ -151,7 +233,7 @@ def matches(buf: np.ndarray, at: np.ndarray, ix: Index) -> list[tuple[int, int,
             np.add.at(near, np.maximum(pos[first] - reach, 0), 1)
             np.add.at(near, np.minimum(pos[first] + width + reach, g.size), -1)
     if not near.any():
-        return []
+        return {}
     marked = np.cumsum(near)[pos] > 0
     pos, k = pos[marked], k[marked]
     doc = np.searchsorted(at, pos, "right") - 1
@@ -159,22 +241,33 @@ def matches(buf: np.ndarray, at: np.ndarray, ix: Index) -> list[tuple[int, int,
     pos, k, doc = pos[whole], k[whole], doc[whole]
     n = ix.begin[k + 1] - ix.begin[k]
     post = concat_ranges(ix.begin[k], n)
-    seg, pos, doc = ix.owner[post], np.repeat(pos, n), np.repeat(doc, n)
-    diagonal = pos - ix.place[post] + reach
-    wide = ix.edits[seg] + 1
-    band = diagonal // wide
-    seg, doc, band = np.concatenate([seg, seg]), np.concatenate([doc, doc]), np.concatenate([band, band - 1])
-    key = (doc * len(ix.segments) + seg) << 32 | (band + 1)
-    key, total = np.unique(key, return_counts=True)
-    seg = (key >> 32) % len(ix.segments)
+    spot, pos, doc = ix.where[post], np.repeat(pos, n), np.repeat(doc, n)
+    found = []
+    for lo, hi in ix.groups:
+        #: the segments that hold the whole q-gram
+        head = lo + np.searchsorted(ix.segments.end[lo:hi], spot + Q, "left")
+        n = np.maximum(lo + np.searchsorted(ix.segments.start[lo:hi], spot, "right") - head, 0)
+        found.append((concat_ranges(head, n), np.repeat(spot, n), np.repeat(pos, n), np.repeat(doc, n)))
+    seg, spot, pos, doc = (np.concatenate(x) for x in zip(*found))
+    diagonal = pos - (spot - ix.segments.start[seg]) + reach
+    band = diagonal // (ix.edits[seg] + 1)
+    pair, which = np.unique(doc * len(ix.segments) + seg, return_inverse=True)
+    bands = int(band.max(initial=0)) + 2
+    key, total = np.unique(np.concatenate([which * bands + band + 1, which * bands + band]), return_counts=True)
+    pair, band = pair[key // bands], key % bands - 1
+    seg, doc = pair % len(ix.segments), pair // len(ix.segments)
     full = total >= ix.least[seg]
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for x, s in zip(key[full].tolist(), seg[full].tolist()):
-        d, b, e = (x >> 32) // len(ix.segments), (x & 0xFFFFFFFF) - 1, int(ix.edits[s])
+    for d, s, b in zip(doc[full].tolist(), seg[full].tolist(), band[full].tolist()):
+        e = int(ix.edits[s])
         pattern = np.frombuffer(ix.segments[s], np.uint8)
         lo, hi = int(at[d]), int(at[d + 1])
         begin = b * (e + 1) - reach
         lo, hi = max(lo, begin - e), min(hi, begin + 2 * (e + 1) + pattern.size + e)
+        where = (d, int(ix.item[s]))
+        #: what can be found here changes nothing
+        if (have := best.get(where)) and have[0] == 0 and have[1] <= lo and hi <= have[2]:
+            continue
         part = text[lo:hi]
         if part.size < pattern.size:
             part = np.concatenate([part, np.zeros(pattern.size - part.size + e, np.uint8)])
@@ -192,11 +285,8 @@ def matches(buf: np.ndarray, at: np.ndarray, ix: Index) -> list[tuple[int, int,
             start = end - banded(pattern[::-1], back[: pattern.size + e])[1]
             end = min(end, hi - lo)
             start = min(max(start, 0), end - 1)
-        where = (d, int(ix.item[s]))
-        span = (edits, int(place[lo + start] - origin[d]), int(place[lo + end - 1] - origin[d]) + 1)
-        have = best.get(where)
-        best[where] = span if have is None else (min(have[0], span[0]), min(have[1], span[1]), max(have[2], span[2]))
-    return [(d, item, b, e, edits) for (d, item), (edits, b, e) in sorted(best.items())]
+        _widen(best, where, edits, lo + start, lo + end)
+    return best
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, error: float = 0.06, min_chars: int = 32, segment: int = 160, slice_bytes: int = 16 << 20) -> DataFrame:

@@ -121,6 +121,27 @@ def test_decontamination_against_full_alignment(spark):
     assert decontaminate.keep_clean(d, b.limit(0)).count() == len(docs)
 
 
+def test_decontamination_of_short_items_and_excerpts(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    long = " ".join(word() for _ in range(250))[:1000]
+    items = [(1, "What is the capital of France?"), (2, long), (3, "Äb"), (4, "?!"), (5, None)]
+    docs = [(1, "so, WHAT is the capital - of France"), (2, "what is the capital of frances"), (3, "xwhat is the capital of france"), (4, "zz äB"), (5, ""), (6, None), (7, "äbc"), (8, "b")]
+    want = {(1, 1), (4, 3)}
+    for i, (at, n) in enumerate([(100, 200), (0, 64), (1, 64), (333, 70), (458, 100), (935, 64), (501, 151)]):
+        docs.append((100 + i, "uuu " + long[at : at + n] + " vvv"))
+        want.add((100 + i, 2))
+    docs.append((200, long[400:440]))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contaminated(d, b).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want and len(found) == len(want)
+    assert [(r.begin, r.end, r.edits) for r in found if r.doc_id == 1] == [(4, 35, 0)]
+    assert [(r.begin, r.end) for r in found if r.doc_id == 4] == [(3, 6)]
+    got = [r for r in found if r.doc_id == 100][0]
+    assert got.edits == 0 and got.begin <= 7 and got.end >= 201
+
+
 def test_licenses(spark):
     mit = dict(licenses.KNOWN[:1])["MIT"]
     changed = mit.replace("<year> <holder>", "2019 Jane Doe").replace('"', "“").replace("sublicense", "sub-license").upper()
