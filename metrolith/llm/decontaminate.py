@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _P, _P_INV, U64, _power, concat_ranges, mix, pieces, runs, text_buffer
+from .common import _P, _P_INV, U64, _power, concat_ranges, mix, pieces, runs, small, text_buffer
 
 Q = 8
 _BITS = 20
@@ -289,6 +289,29 @@ def _long(text: np.ndarray, at: np.ndarray, ix: Index) -> dict[tuple[int, int],
     return best
 
 
+def _items(benchmark: DataFrame, slice_bytes: int) -> tuple[DataFrame, int]:
+    """item_id, text: the least item of each normalised text; and the number of slices."""
+    plain = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            raw = [np.frombuffer(t.encode(), np.uint8) for t in batch.column("text").to_pylist()]
+            texts = [normalise(r, np.array([0, r.size]))[0].tobytes().strip().decode() for r in raw]
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(texts, pa.string())], ["item_id", "text"])
+
+    items = plain.mapInArrow(run, "item_id long, text string").groupBy("text").agg(F.min("item_id").alias("item_id"))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return items, max(1, -(-size // slice_bytes))
+
+
+def _indexes(docs: DataFrame, benchmark: DataFrame, slice_bytes: int, **options):
+    """The broadcast index of each slice of the benchmark."""
+    items, slices = _items(benchmark, slice_bytes)
+    for k in range(slices):
+        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == k).select("item_id", "text").collect()
+        yield docs.sparkSession.sparkContext.broadcast(build_index([(r[0], r[1]) for r in rows], **options))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, error: float = 0.06, min_chars: int = 32, segment: int = 160, slice_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, item_id, begin, end, edits: each benchmark item found in a document.
 
@@ -297,16 +320,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error: float = 0.06, min
     size is not bounded by what one broadcast can hold. Null texts and empty
     tables match nothing; repeated documents give repeated rows.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    slices = max(1, -(-size // slice_bytes))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, begin long, `end` long, edits int"
     found = None
-    for k in range(slices):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == k).collect()
-        shared = spark.sparkContext.broadcast(build_index([(r[0], r[1]) for r in rows], error, min_chars, segment))
+    for shared in _indexes(docs, benchmark, slice_bytes, error=error, min_chars=min_chars, segment=segment):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches):
@@ -319,24 +336,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error: float = 0.06, min
     return found
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, slice_bytes: int = 16 << 20, **options) -> DataFrame:
     """The documents in which no benchmark item is found, with all their columns.
 
-    Rows without doc_id are kept only if their own text is clean: the decision
-    is made on each row, not by a join on ids.
+    The decision is made on each row's own text, never by its doc_id: rows
+    without doc_id are kept if their text is clean. Where the benchmark takes
+    several slices, texts are named by their digest and scanned once a slice.
     """
-    spark = docs.sparkSession
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
-    if size > options.get("slice_bytes", 16 << 20):
-        hit = contaminated(docs, benchmark, **options).select("doc_id").distinct()
-        return docs.join(hit, "doc_id", "left_anti")
-    options.pop("slice_bytes", None)
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).collect()
-    shared = spark.sparkContext.broadcast(build_index([(r[0], r[1]) for r in rows], **options))
+    indexes = list(_indexes(docs, benchmark, slice_bytes, **options))
+    if len(indexes) == 1:
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            dirty = {x[0] for x in matches(*text_buffer(batch.column("text")), shared.value)}
-            yield batch.filter(pa.array([i not in dirty for i in range(batch.num_rows)]))
+        def run(batches: Iterator[pa.RecordBatch], shared=indexes[0]) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches):
+                dirty = {x[0] for x in matches(*text_buffer(batch.column("text")), shared.value)}
+                yield batch.filter(pa.array([i not in dirty for i in range(batch.num_rows)]))
+
+        return docs.mapInArrow(run, docs.schema)
+    keyed = docs.withColumn("__text", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    found = None
+    for shared in indexes:
 
-    return docs.mapInArrow(run, docs.schema)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches):
+                dirty = sorted({x[0] for x in matches(*text_buffer(batch.column("text")), shared.value)})
+                yield pa.RecordBatch.from_arrays([batch.column("__text").take(pa.array(dirty, pa.int64()))], ["__text"])
+
+        part = keyed.select("__text", F.col("text").cast("string").alias("text")).mapInArrow(run, "__text string")
+        found = part if found is None else found.unionByName(part)
+    return keyed.join(small(found.distinct()), "__text", "left_anti").select(*docs.columns)

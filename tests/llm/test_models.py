@@ -142,6 +142,17 @@ def test_decontamination_of_short_items_and_excerpts(spark):
     assert got.edits == 0 and got.begin <= 7 and got.end >= 201
 
 
+def test_clean_rows_do_not_depend_on_slices(spark):
+    item = "a benchmark question that nobody should ever train on, number 17"
+    other = "some other passage of the benchmark with quite different words, 23"
+    rows = [(None, item, 1), (7, "clean", 2), (7, "see " + item, 3), (8, None, 4), (None, "clean", 5), (9, other, 6), (10, "x", 7), (10, "x", 8)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    b = spark.createDataFrame([(5, item.upper() + "!"), (3, item), (4, "  " + item), (6, other)], "item_id long, text string")
+    for n in (1 << 24, 70):
+        assert sorted(r.n for r in decontaminate.keep_clean(d, b, slice_bytes=n).collect()) == [2, 4, 5, 7, 8]
+        assert sorted({(r.item_id) for r in decontaminate.contaminated(d, b, slice_bytes=n).collect()}) == [3, 6]
+
+
 def test_licenses(spark):
     mit = dict(licenses.KNOWN[:1])["MIT"]
     changed = mit.replace("<year> <holder>", "2019 Jane Doe").replace('"', "“").replace("sublicense", "sub-license").upper()
