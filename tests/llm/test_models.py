@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -163,6 +164,52 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+THIRD = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+"""
+
+
+def test_complete_license_texts(spark):
+    bsd3 = BSD2.replace("THIS SOFTWARE IS PROV", THIRD + "THIS SOFTWARE IS PROV")
+    rows = [(1, "Copyright (c) 2020, Jane Doe\nAll rights reserved.\n\n" + BSD2, "BSD-2-Clause"), (2, "BSD 3-Clause License\n\nCopyright 2021 A\n\n" + bsd3, "BSD-3-Clause"), (3, BSD2 + " more", None)]
+    at = "/usr/share/common-licenses/"
+    for name, want in (("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3", "LGPL-3.0"), ("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+        if os.path.exists(at + name):
+            with open(at + name, encoding="utf-8") as f:
+                rows.append((10 + len(rows), f.read(), want))
+    got = {r.doc_id: r.license_id for r in licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert got == {i: want for i, _, want in rows}
+
+
+def test_known_texts_need_no_fixed_word(spark):
+    df = spark.createDataFrame([(1, "Do as you PLEASE!"), (2, "& ©"), (3, "x\nThis work is dedicated to the public  domain under CC0-1.0"), (4, "nothing")], "doc_id long, text string")
+    assert [r.license_id for r in licenses.scan(df, [("FREE", "do as you please")]).orderBy("doc_id").collect()] == ["FREE", None, None, None]
+    assert [r.license_id for r in licenses.scan(df, [("AND", "and copyright")]).orderBy("doc_id").collect()] == [None, "AND", None, None]
+    assert [r.notice_ids for r in licenses.scan(df).orderBy("doc_id").collect()] == ["", "", "CC0-1.0", ""]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
