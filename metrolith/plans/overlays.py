@@ -68,7 +68,7 @@ def _(t: Tables):
     return O.crossings(_blocks(t).select("block", line("x0", "y0").alias("geometry")), "block", 60.0)
 
 
-@query("r125_overlapping_pieces", (125, 126), f"""
+@query("r125_overlapping_pieces", (125,), f"""
     SELECT a.block AS a, b.block AS b FROM {_BLOCKS} a JOIN {_BLOCKS} b ON a.block < b.block WHERE greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0)
         >= 0.25 * least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0))""")
 def _(t: Tables):
