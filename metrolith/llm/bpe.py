@@ -23,6 +23,9 @@ from .common import pieces
 #: A space between two non-spaces: every token of the split pattern may begin
 #: with one space and none holds a space further in, so a token always begins here.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: Runs of white space so long that the split pattern's look-ahead would exhaust the
+#: stack of its engine. The characters are those of the Unicode property White_Space.
+_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{8192,}")
 _made: dict = {}
 
 
@@ -46,6 +49,22 @@ def safe_parts(text: str, limit: int = 4096) -> list[str]:
     return out
 
 
+def stretches(text: str, limit: int = 4096) -> Iterator[tuple[str, bool]]:
+    """Safe parts of a text, and whether a part is one match of the pattern as it stands.
+
+    A long run of white space is such a match, whole at the end of a text and
+    otherwise without its last character, which the next match may begin with."""
+    at = 0
+    for m in _RUN.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        if m.start() > at:
+            yield from ((p, False) for p in safe_parts(text[at : m.start()], limit))
+        yield text[m.start() : end], True
+        at = end
+    if at < len(text):
+        yield from ((p, False) for p in safe_parts(text[at:], limit))
+
+
 def encoder(table: dict[bytes, int], pattern: str):
     import tiktoken
 
@@ -56,11 +75,15 @@ def encode(text: str, enc) -> list[int]:
     if len(text) <= 4096:
         return enc.encode_ordinary(text)
     ids: list[int] = []
-    for part in safe_parts(text):
-        ids += enc.encode_ordinary(part)
+    for part, single in stretches(text):
+        ids += _ids(part, single, enc)
     return ids
 
 
+def _ids(part: str, single: bool, enc) -> list[int]:
+    return enc._encode_single_piece(part) if single else enc.encode_ordinary(part)
+
+
 def _cached(shared):
     """One encoder for each worker process."""
     if shared.value["key"] not in _made:
@@ -111,7 +134,8 @@ def digest_documents(docs: DataFrame, path: str, pattern: str = public_tokenizer
 
     Encoding, decoding and both digests of a text happen in one pass; a digest
     takes in the ids of one safe part after the other, so no list of all ids
-    of a long text is held. Repeated rows give repeated results; a null doc_id
+    of a long text is held; a run of white space of any length is encoded whole.
+    Repeated rows give repeated results; a null doc_id
     is passed on as null.
     """
     shared = _shared(docs, path, pattern)
@@ -122,8 +146,8 @@ def digest_documents(docs: DataFrame, path: str, pattern: str = public_tokenizer
             counts, coded, plain = [], [], []
             for text in batch.column("text").to_pylist():
                 n, a, b = 0, hashlib.sha256(), hashlib.sha256()
-                for part in safe_parts(text or ""):
-                    ids = enc.encode_ordinary(part)
+                for part, single in stretches(text or ""):
+                    ids = _ids(part, single, enc)
                     if ids:
                         a.update((b"," if n else b"") + b",".join([names[i] for i in ids]))
                         b.update(b"".join([token[i] for i in ids]))
