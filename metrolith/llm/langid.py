@@ -23,6 +23,9 @@ from .common import pieces, text_buffer
 BITS = 15
 FEATURES = 1 << BITS
 _SCALE = 20.0
+_UNIT = 1 << 16
+#: Bytes of text whose n-grams are held at once (one text at least).
+_PIECE = 256 << 10
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -56,12 +59,16 @@ def letters(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return c[keep], place[at], n[at[1:]] > n[at[:-1]]
 
 
-def features(c: np.ndarray) -> list[np.ndarray]:
-    """Hashed n-grams of 1, 2 and 3 symbols that end at each position (the first
-    ones of a batch look back on 0s)."""
+def features(c: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Hashed n-grams of 1, 2 and 3 symbols that end at each position; the first
+    ones of a text look back on 0s, whatever stands before it in the batch."""
     c = c.astype(np.uint64)
     one, two = np.zeros_like(c), np.zeros_like(c)
     one[1:], two[2:] = c[:-1], c[:-2]
+    first = at[:-1][np.diff(at) > 0]
+    one[first], two[first] = 0, 0
+    second = first[np.diff(np.append(first, c.size)) > 1] + 1
+    two[second] = 0
     a, b, d = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
     shift = np.uint64(64 - BITS)
     h1 = (c + np.uint64(1)) * a
@@ -74,7 +81,7 @@ def features(c: np.ndarray) -> list[np.ndarray]:
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # idf * weight, one row per feature
+    table: np.ndarray  # idf * weight, one row per feature, as multiples of 2^-16
     intercept: np.ndarray
     temperature: float
 
@@ -84,10 +91,11 @@ class Model:
         out = np.zeros((at.size - 1, len(self.languages)))
         full = np.flatnonzero(np.diff(at) > 0)
         if full.size and self.languages:
-            total = np.zeros((c.size, len(self.languages)), np.float32)
-            for f in features(c):
+            #: sums of integers: the same for a text alone and in any batch
+            total = np.zeros((c.size, len(self.languages)), np.int32)
+            for f in features(c, at):
                 total += self.table[f]
-            out[full] = np.add.reduceat(total, at[full], axis=0, dtype=np.float64) / np.diff(at)[full, None] * _SCALE
+            out[full] = np.add.reduceat(total, at[full], axis=0, dtype=np.int64) / np.diff(at)[full, None] * (_SCALE / _UNIT)
         return out + self.intercept, known
 
 
@@ -104,13 +112,13 @@ def train(docs: DataFrame, language: str = "lang", sample: int = 4000, calibrati
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(counts)
     if not languages:
-        return Model([], np.zeros((FEATURES, 0), np.float32), np.zeros(0), 1.0)
+        return Model([], np.zeros((FEATURES, 0), np.int32), np.zeros(0), 1.0)
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, seen = np.zeros(FEATURES, np.int64), 0, np.zeros(FEATURES, bool)
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=_PIECE):
             c, at, _ = letters(*text_buffer(batch.column("text")))
-            f = features(c)
+            f = features(c, at)
             for lo, hi in zip(at[:-1], at[1:]):
                 seen[:] = False
                 for x in f:
@@ -136,9 +144,9 @@ def train(docs: DataFrame, language: str = "lang", sample: int = 4000, calibrati
     chosen = chosen.select("lang", "text", (F.col("ticket") / F.col("share") < sample / (sample + calibration)).alias("fit"))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=_PIECE):
             c, at, _ = letters(*text_buffer(batch.column("text")))
-            f = features(c)
+            f = features(c, at)
             got = [np.unique(np.concatenate([x[lo:hi] for x in f]), return_counts=True) for lo, hi in zip(at[:-1], at[1:])]
             pack = lambda k: pa.array([g[k].astype(np.int32).tobytes() for g in got], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("fit"), pa.array(np.diff(at)), pack(0), pack(1)], ["lang", "fit", "size", "at", "count"])
@@ -152,7 +160,7 @@ def train(docs: DataFrame, language: str = "lang", sample: int = 4000, calibrati
     order = sorted(range(len(fit)), key=lambda i: (known[i], fit[i][0].size, fit[i][1].sum()))
     w = ftrl.multinomial([fit[i] for i in order], np.array([known[i] for i in order]), FEATURES, len(languages), **options)
     logits = np.array([x @ w[at] + w[-1] for at, x in held]).reshape(-1, len(languages))
-    return Model(languages, (idf[:, None] * w[:-1]).astype(np.float32), w[-1], ftrl.temperature(logits, np.array(truth, int)))
+    return Model(languages, np.round(idf[:, None] * w[:-1] * _UNIT).clip(-(2**29), 2**29).astype(np.int32), w[-1], ftrl.temperature(logits, np.array(truth, int)))
 
 
 def _predict(shared, batch: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
@@ -174,7 +182,7 @@ def predict(docs: DataFrame, model: Model, *more) -> DataFrame:
     plain = _plain(docs, *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=_PIECE):
             lang, score = _predict(shared, batch)
             yield batch.drop_columns(["text"]).append_column("lang_pred", pa.array(lang, pa.string())).append_column("score", pa.array(score))
 
@@ -199,7 +207,7 @@ def keep_identified(docs: DataFrame, least: float = 0.35, **options) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, **options))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=_PIECE):
             lang, score = _predict(shared, batch)
             yield batch.filter(pa.array([a != "und" and b >= least for a, b in zip(lang, score.tolist())]))
 
