@@ -47,14 +47,45 @@ def written(df: DataFrame, label: str) -> DataFrame:
     and a lost executor costs no recomputation of what came before."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return _kept(df, at)
+
+
+def _kept(df: DataFrame, at: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    again = df.sparkSession.read.schema(df.schema).parquet(at)
+    again._at = at
+    return again
+
+
+class Scratch:
+    """A folder of intermediate tables below the shared folder, deleted at the end of
+    a ``with`` block; what outlives it has to be written elsewhere before."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.at = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        delete(self.spark, self.at)
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        at = f"{self.at}/{label}-{uuid.uuid4().hex}"
+        return _kept(df, at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def small(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
-    """The table, marked for broadcast if it is no longer than ``rows``; a longer one
-    is left to a shuffled join. The table should be cheap to count."""
-    df = written(df, "small")
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """The table, marked for broadcast if it is no longer than ``rows`` rows (of a few
+    numbers each); a longer one is left to a shuffled join. The table is written
+    first, so that it's counted and read without being made twice."""
+    df = df if hasattr(df, "_at") else written(df, "small")
     return F.broadcast(df) if df.count() <= rows else df
 
 

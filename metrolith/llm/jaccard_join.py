@@ -1,7 +1,7 @@
 """N-gram Jaccard join: a size-aware heavy-light join over shingle sets.
 
-Documents with equal shingle sets are one class, named by a 64-bit digest of
-the set; the join runs over classes. All sets are ordered by one global order
+Documents with equal shingle sets are one class (named after a 128-bit digest of
+the set); the join runs over classes. All sets are ordered by one global order
 of shingles (rare before frequent, then by hash). Two sets of which the larger
 has ``n`` shingles share at least ``t(n)`` of them if they link, hence
 
@@ -13,31 +13,46 @@ has ``n`` shingles share at least ``t(n)`` of them if they link, hence
 The boundary is the size at which the two kinds of work cost least, computed
 from the histogram of sizes and the measured mean length of lists.
 
-The lists are scanned twice. The first scan gives each set one candidate, the
-least compatible set of its lists, and verified candidates join many near
-copies with as many pairs as sets. The second scan yields the pairs whose
-components still differ; in long lists, of each set the nearest few, and again
-with the new components and more of them until none is held back. Every pair of
-sets in different components is thus seen, while pairs inside a component, whose
-number grows with the square of a group, are not made. Lists beyond
-``list_block`` entries are scanned in pairs of blocks.
+Near copies, whose pairs grow with the square of a group, are never listed:
+
+1. *Homes.* A set with a frequent shingle in its prefix joins the sets of the
+   longest of its lists (and of one more), in blocks; all links inside a block
+   are found exactly and leave the task as a star to one representative.
+2. *Lists.* All lists are scanned. A pair whose components differ and that
+   sizes, positions and bit maps allow becomes a visit: the set of the smaller
+   component visits the other component, once, whatever the number of pairs.
+3. *Visits.* A visitor is compared with all sets of the component, exactly; one
+   link a visit is kept. As every linking pair shares a list, the components
+   are then complete.
+4. *Counts.* Links lie inside components: of those with three or more classes
+   all sets are compared in pairs of blocks, and only the counts leave a task.
+
+So what is written and shuffled grows with sets, visits and blocks; the number
+of comparisons inside a group of near copies is that of its pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, binary, concat_ranges, mix, packed, pieces, range_count, ranges_of, runs, small, text_buffer, unpacked, windows, words, written
+from .common import U64, Scratch, binary, concat_ranges, mix, packed, pieces, ranges_of, runs, shuffle_partitions, small, text_buffer, unpacked, windows, words, written
 from .components import components
 
 _KEY_BITS = 48
 MAX_HOT = 1 << 20
+#: Lists of more entries have bit maps, and are homes.
+SHORT = 16
+#: Most 64-bit words of a bit map.
+MAP_WORDS = 8
+#: Sets, and shingles, that a block of a group holds.
+BLOCK_SETS, BLOCK_SHINGLES = 2048, 1 << 20
+_NO_ID = -(1 << 63)
 
 
 def shingle_sets(buf: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,12 +90,17 @@ def _keys(h: np.ndarray) -> np.ndarray:
     return mix(h ^ U64(0x5851F42D4C957F2D)) >> U64(64 - _KEY_BITS)
 
 
+def _map_words(n: np.ndarray) -> np.ndarray:
+    """Length of the bit map of a set of n, in 64-bit words."""
+    return np.minimum(MAP_WORDS, np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n, 2) / 2)).astype(np.int64)) // 64)
+
+
 def _bit_maps(x: np.ndarray, at: np.ndarray) -> list[bytes]:
     """A bit for each shingle, added modulo 2: sets of n get the power of two from
-    n / 2 on as their number of bits, 64 at least. Bits that differ between two
-    maps are shingles that differ."""
+    n / 2 on as their number of bits, within 64 and 64 * MAP_WORDS. Bits that differ
+    between two maps are shingles that differ."""
     n = np.diff(at)
-    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n, 2) / 2)).astype(np.int64))
+    bits = 64 * _map_words(n)
     start = np.concatenate(([0], np.cumsum(bits)))
     owner = np.repeat(np.arange(n.size), n)
     place = start[owner] + (mix(x ^ U64(0x2545F4914F6CDD1D)).view(np.int64) & (bits - 1)[owner])
@@ -88,26 +108,18 @@ def _bit_maps(x: np.ndarray, at: np.ndarray) -> list[bytes]:
     return [flat[a // 8 : b // 8] for a, b in zip(start[:-1].tolist(), start[1:].tolist())]
 
 
-def _differ(a: bytes, b: bytes) -> int:
-    """Least number of shingles that are in one of the sets only."""
-    x, y = np.frombuffer(a, U64), np.frombuffer(b, U64)
-    while x.size > y.size:
-        x = x[: x.size // 2] ^ x[x.size // 2 :]
-    while y.size > x.size:
-        y = y[: y.size // 2] ^ y[y.size // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
-
-
 def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id, row, text; ``row`` names a row by its id and text, whatever the plan."""
+    """doc_id, did, row, text: ``did`` and ``row``, the id and a hash of the text,
+    name a row (repeated rows alike), whatever the plan."""
     doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("row"), text.alias("text"))
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(_NO_ID)).alias("did"), F.xxhash64(text).alias("row"), text.alias("text"))
 
 
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, row (a name of the row), cls (digest of the set; null if it is
-    empty), n, low (how many of the keys are below the cut), bits, keys: all shingles below a cut of the hash space that
-    is somewhat more than the prefix needs, and as many above it as may be needed."""
+    """doc_id, did, row, d1, d2 (digest of the set; null if it is empty), n, low
+    (how many of the keys are below the cut), bits, keys: all shingles below a cut
+    of the hash space that is somewhat more than the prefix needs, and as many
+    above it as may be needed."""
     cut = U64(min(0.95, (100 - percent) / 100 * 1.7) * 2.0**64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,20 +127,26 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
             x, at = shingle_sets(*text_buffer(batch.column("text")), size)
             n = np.diff(at)
             full = np.flatnonzero(n)
-            digest = np.zeros(n.size, U64)
+            digest = np.zeros((2, n.size), U64)
             if full.size:
-                digest[full] = np.add.reduceat(mix(x ^ U64(0xA0761D6478BD642F)), at[full])
+                for k, seed in enumerate((0xA0761D6478BD642F, 0xE7037ED1A0B428DB)):
+                    digest[k, full] = np.add.reduceat(mix(x ^ U64(seed)), at[full])
             below = np.concatenate(([0], np.cumsum(x < cut)))
             low = below[at[1:]] - below[at[:-1]]
             keep = np.minimum(n, np.maximum(low, n - _overlap(n, percent) + 2))
             key = _keys(x)
             blobs = [packed(key[a : a + m]) for a, m in zip(at[:-1].tolist(), keep.tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row"), pa.array(mix(digest + n.astype(U64)).view(np.int64), mask=n == 0), pa.array(n), pa.array(low), binary(_bit_maps(x, at)), binary(blobs)],
-                ["doc_id", "row", "cls", "n", "low", "bits", "keys"],
-            )
+            named = [pa.array(mix(d + n.astype(U64)).view(np.int64), mask=n == 0) for d in digest]
+            columns = [batch.column("doc_id"), batch.column("did"), batch.column("row"), *named, pa.array(n), pa.array(low), binary(_bit_maps(x, at)), binary(blobs)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "did", "row", "d1", "d2", "n", "low", "bits", "keys"])
+
+    return _rows(docs).mapInArrow(run, "doc_id long, did long, row long, d1 long, d2 long, n long, low long, bits binary, keys binary")
+
 
-    return _rows(docs).mapInArrow(run, "doc_id long, row long, cls long, n long, low long, bits binary, keys binary")
+def range_count(spark: SparkSession, total: int, target: int = 24 << 20) -> int:
+    """How many groups ``total`` bytes are dealt into: two a shuffle partition, and
+    more where a group would hold over ``target`` bytes."""
+    return max(2 * shuffle_partitions(spark), -(-int(total or 0) // target))
 
 
 def _batch_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -136,19 +154,25 @@ def _batch_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(each) if each else np.zeros(0, U64)), np.concatenate(([0], np.cumsum([e.size for e in each]))).astype(np.int64)
 
 
-def _ranged(key: np.ndarray, count: int, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    """One row for each hash range, with packed columns."""
+def _ranged(key: np.ndarray, count: int, columns: dict[str, np.ndarray], maps: tuple[np.ndarray, np.ndarray] | None = None) -> pa.RecordBatch:
+    """One row for each hash range, with packed columns; ``maps`` are words and how
+    many of them each entry has."""
     r = ranges_of(key << U64(64 - _KEY_BITS), count)
     order = np.argsort(r, kind="stable")
     r = r[order]
     at = runs(r)
     cut = list(zip(at[:-1].tolist(), at[1:].tolist()))
-    key = key[order]
-    arrays = [pa.array(r[at[:-1]]), binary(packed(key[a:b]) for a, b in cut)]
-    for c in columns:
+    arrays = [pa.array(r[at[:-1]])]
+    for c in columns.values():
         c = c[order]
         arrays.append(binary(packed(c[a:b]) for a, b in cut))
-    return pa.RecordBatch.from_arrays(arrays, ["r", "key", *names])
+    if maps is None:
+        return pa.RecordBatch.from_arrays(arrays, ["r", *columns])
+    flat, width = maps
+    begin = np.cumsum(width) - width
+    flat, end = flat[concat_ranges(begin[order], width[order])], np.concatenate(([0], np.cumsum(width[order])))
+    arrays.append(binary(flat[end[a] : end[b]].tobytes() for a, b in cut))
+    return pa.RecordBatch.from_arrays(arrays, ["r", *columns, "maps"])
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], limit: int = 8192) -> Iterator[pa.RecordBatch]:
@@ -170,17 +194,15 @@ def _column(table: pa.Table, name: str, dtype) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
 
-def frequent(classes: DataFrame, least: int = 4) -> tuple[np.ndarray, np.ndarray, float]:
+def frequent(classes: DataFrame, tables: Scratch, count: int, least: int = 4) -> tuple[np.ndarray, np.ndarray, float]:
     """Keys that are in more than ``least`` classes, with their counts, and the mean
     length of the other lists. Counts cover all classes; ``least`` is doubled
     until at most MAX_HOT keys are left, which bounds what is broadcast. Any set
     of keys gives right results: they only decide the order."""
-    count = range_count(classes.sparkSession)
-
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _gathered(batches):
             key, n = np.unique(_batch_keys(batch)[0], return_counts=True)
-            yield _ranged(key, count, [n.astype(np.int32)], ["n"])
+            yield _ranged(key, count, {"key": key, "n": n.astype(np.int32)})
 
     def add(table: pa.Table) -> pa.Table:
         key, n = _column(table, "key", U64), _column(table, "n", np.int32).astype(np.int64)
@@ -193,7 +215,7 @@ def frequent(classes: DataFrame, least: int = 4) -> tuple[np.ndarray, np.ndarray
         return pa.table({"key": pa.array(np.append(key[at[:-1]][hot].view(np.int64), [-1, -2])), "n": pa.array(np.append(total[hot], [int((rest * rest).sum()), int(rest.sum())]))})
 
     found = classes.select("keys").mapInArrow(deal, "r long, key binary, n binary").groupBy("r").applyInArrow(add, "key long, n long")
-    found = written(found.groupBy("key").agg(F.sum("n").alias("n")), "hot")
+    found = tables.written(found.groupBy("key").agg(F.sum("n").alias("n")), "hot")
     stats = {r[0]: r[1] for r in found.where("key < 0").collect()}
     sizes = sorted(found.where("key >= 0").select(F.floor(F.log2("n")).cast("int").alias("k")).groupBy("k").count().collect())
     total, floor = 0, least
@@ -224,91 +246,105 @@ def _subsets(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(n, 1)
 
 
-def postings(classes: DataFrame, hot: tuple[np.ndarray, np.ndarray], light: int, percent: int, closing: bool, list_block: int) -> DataFrame:
-    """r, key, cls, n, comp: the entries of all lists, by hash range."""
-    count = range_count(classes.sparkSession)
-    shared = classes.sparkSession.sparkContext.broadcast(hot)
+class _Ordered:
+    """Keys of a batch of classes in the global order: frequent ones after the others,
+    and those above the cut last."""
+
+    def __init__(self, batch: pa.RecordBatch, hot: tuple[np.ndarray, np.ndarray], percent: int):
+        hot_keys, hot_n = hot
+        key, self.at = _batch_keys(batch)
+        self.cls, self.n, low = (batch.column(c).to_numpy() for c in ("cls", "n", "low"))
+        where = np.minimum(np.searchsorted(hot_keys, key), max(0, hot_keys.size - 1))
+        is_hot = hot_keys[where] == key if hot_keys.size else np.zeros(key.size, bool)
+        lists = np.where(is_hot, hot_n[where] if hot_keys.size else 0, 0)
+        owner = np.repeat(np.arange(self.n.size), np.diff(self.at))
+        rank = np.zeros(key.size, np.int8)
+        below = np.arange(key.size) - self.at[owner] < low[owner]
+        rank[below & is_hot] = 1
+        rank[~below] = 2
+        #: equal ones stay in the order of their hashes, as they were cut
+        order = np.lexsort((np.where(rank == 1, lists, 0), rank, owner))
+        #: ``lists``: how many classes hold the key, or 0 where it isn't frequent
+        self.key, self.lists = key[order], lists[order]
+        self.prefix = self.n - _overlap(self.n, percent) + 1
+
+
+def homes(classes: DataFrame, shared, percent: int) -> DataFrame:
+    """cls, g: the blocks of the (up to two) home lists of each class that has a
+    frequent shingle in its prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _gathered(batches):
+            o = _Ordered(batch, shared.value, percent)
+            take = concat_ranges(o.at[:-1], np.minimum(o.prefix + 1, np.diff(o.at)))
+            take = take[o.lists[take] > SHORT]
+            owner = np.searchsorted(o.at, take, "right") - 1
+            first = np.concatenate(([True], owner[1:] != owner[:-1])) if owner.size else np.zeros(0, bool)
+            longest = take[np.lexsort((o.key[take], -o.lists[take], owner))][first]
+            other = take[np.lexsort((mix(o.key[take]), owner))][first]
+            who = np.concatenate([owner[first], owner[first][longest != other]])
+            at = np.concatenate([longest, other[longest != other]])
+            blocks = -(-o.lists[at] // BLOCK_SETS)
+            own = mix(o.cls[who].view(U64)) % blocks.astype(U64)
+            g = mix(o.key[at] * U64(0xD6E8FEB86659FD93) + own).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(o.cls[who]), pa.array(g)], ["cls", "g"])
+
+    return classes.select("cls", "n", "low", "keys").mapInArrow(run, "cls long, g long")
+
+
+@lru_cache(maxsize=256)
+def _subsets(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
+def postings(classes: DataFrame, shared, light: int, percent: int, count: int, list_block: int) -> DataFrame:
+    """r, key, cls, n, rest, comp, held, mapped, maps: the entries of all lists, by
+    hash range. Entries of lists that may be long carry their bit maps; lists
+    beyond ``list_block`` are cut into blocks, and each pair of blocks is a list."""
     #: single-token lists hold sets that can link to a heavy one
     reach = _overlap(light + 1, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_keys, hot_n = shared.value
         for batch in _gathered(batches):
-            key, at = _batch_keys(batch)
-            cls, n, low, comp = (batch.column(c).to_numpy() for c in ("cls", "n", "low", "comp"))
-            where = np.minimum(np.searchsorted(hot_keys, key), max(0, hot_keys.size - 1))
-            is_hot = hot_keys[where] == key if hot_keys.size else np.zeros(key.size, bool)
-            lists = np.where(is_hot, hot_n[where] if hot_keys.size else 0, 0)
-            rank = np.zeros(key.size, np.int8)
-            owner = np.repeat(np.arange(n.size), np.diff(at))
-            below = np.arange(key.size) - at[owner] < low[owner]
-            rank[below & is_hot] = 1
-            rank[~below] = 2
-            order = np.lexsort((rank, owner))
-            key, lists = key[order], np.where(rank == 1, lists, 0)[order]
-            prefix = n - _overlap(n, percent) + 1
+            o = _Ordered(batch, shared.value, percent)
+            at, key, n, prefix = o.at, o.key, o.n, o.prefix
+            comp, held = batch.column("comp").to_numpy(), batch.column("held").to_numpy()
+            width = _map_words(n)
+            flat = np.frombuffer(b"".join(batch.column("bits").to_pylist()), U64)
             single = np.flatnonzero(n >= reach)
             take = concat_ranges(at[single], prefix[single])
-            keys, rows, size = [key[take]], [np.repeat(single, prefix[single])], [lists[take]]
+            keys, rows, size = [key[take]], [np.repeat(single, prefix[single])], [o.lists[take]]
             #: how much a pair can share at most if this is the first that it shares
             rest = [n[rows[0]] - (take - at[rows[0]])]
             for i in np.flatnonzero((n <= light) & (n > 1)).tolist():
                 a, b = _subsets(int(prefix[i]) + 1)
-                own = key[at[i] : at[i] + int(prefix[i]) + 1]
+                own, lists = key[at[i] : at[i] + int(prefix[i]) + 1], o.lists[at[i] : at[i] + int(prefix[i]) + 1]
                 lo, hi = np.minimum(own[a], own[b]), np.maximum(own[a], own[b])
                 keys.append(mix(lo * U64(0x9E3779B97F4A7C15) + hi) >> U64(64 - _KEY_BITS))
                 rows.append(np.full(a.size, i))
-                size.append(np.zeros(a.size, np.int64))
+                #: a pair of shingles is in no more sets than either
+                size.append(np.minimum(lists[a], lists[b]))
                 rest.append(n[i] - b + 1)
             keys, rows, size, rest = np.concatenate(keys), np.concatenate(rows), np.concatenate(size), np.concatenate(rest)
             big = np.flatnonzero(size > list_block)
             if big.size:
-                #: a long list is cut into blocks; at the close each pair of blocks is a list of its own
                 blocks = -(-size[big] // list_block)
-                own = (mix(cls[rows[big]].view(U64)) % blocks.astype(U64)).astype(np.int64)
-                if closing:
-                    again = np.repeat(np.arange(big.size), blocks)
-                    other = np.arange(again.size) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                    pair = np.minimum(own[again], other) * blocks[again] + np.maximum(own[again], other)
-                else:
-                    again, pair = np.arange(big.size), own
+                own = (mix(o.cls[rows[big]].view(U64)) % blocks.astype(U64)).astype(np.int64)
+                again = np.repeat(np.arange(big.size), blocks)
+                other = np.arange(again.size) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                pair = np.minimum(own[again], other) * blocks[again] + np.maximum(own[again], other)
                 made = mix(keys[big][again] * U64(0xD6E8FEB86659FD93) + pair.astype(U64)) >> U64(64 - _KEY_BITS)
                 keep = size <= list_block
-                keys, rows, rest = np.concatenate([keys[keep], made]), np.concatenate([rows[keep], rows[big][again]]), np.concatenate([rest[keep], rest[big][again]])
-            more = {"rest": rest.astype(np.int32), "comp": comp[rows]} if closing else {}
-            yield _ranged(keys, count, [cls[rows], n[rows].astype(np.int32), *more.values()], ["cls", "n", *more])
-
-    return classes.select("cls", "n", "low", "keys", "comp").mapInArrow(run, "r long, key binary, cls binary, n binary" + ", rest binary, comp binary" * closing)
+                keys, rows, rest, size = (np.concatenate([x[keep], y]) for x, y in ((keys, made), (rows, rows[big][again]), (rest, rest[big][again]), (size, size[big][again])))
+            mapped = size > SHORT
+            each = np.where(mapped, width[rows], 0)
+            begin = np.cumsum(width) - width
+            maps = flat[concat_ranges(begin[rows], each)], each
+            columns = {"key": keys, "cls": o.cls[rows], "n": n[rows].astype(np.int32), "rest": rest.astype(np.int32), "comp": comp[rows], "held": held[rows].astype(np.int32), "mapped": mapped.astype(np.uint8)}
+            yield _ranged(keys, count, columns, maps)
 
-
-def _lists(table: pa.Table, closing: bool) -> tuple[np.ndarray, ...]:
-    """Entries of lists with two or more, sorted by list, size and class: key, cls,
-    n, rest, comp, and where each list begins."""
-    key, cls, n = _column(table, "key", U64), _column(table, "cls", np.int64), _column(table, "n", np.int32).astype(np.int64)
-    rest, comp = (_column(table, "rest", np.int32).astype(np.int64), _column(table, "comp", np.int64)) if closing else (n, cls)
-    order = np.lexsort((cls, n, key))
-    key, cls, n, rest, comp = (x[order] for x in (key, cls, n, rest, comp))
-    at = runs(key)
-    several = np.repeat(np.diff(at) > 1, np.diff(at))
-    key, cls, n, rest, comp = (x[several] for x in (key, cls, n, rest, comp))
-    return key, cls, n, rest, comp, runs(key)
-
-
-def _first_candidates(percent: int):
-    def scan(table: pa.Table) -> pa.Table:
-        _, cls, n, _, _, at = _lists(table, False)
-        which = np.repeat(np.arange(at.size - 1), np.diff(at))
-        #: the first entry of the same list that is large enough
-        to = np.searchsorted(which << 32 | n, which << 32 | _overlap(n, percent))
-        ok = np.flatnonzero(to < np.arange(n.size))
-        pair = np.stack([cls[ok], n[to[ok]], cls[to[ok]]], axis=1)
-        pair = np.unique(pair[pair[:, 0] != pair[:, 2]], axis=0)
-        return pa.table({"x": pair[:, 0], "n": pair[:, 1], "y": pair[:, 2]})
-
-    return scan
-
-
-SHORT = 16
+    blobs = ", ".join(f"{c} binary" for c in ("key", "cls", "n", "rest", "comp", "held", "mapped", "maps"))
+    return classes.select("cls", "n", "low", "keys", "bits", "comp", "held").mapInArrow(run, "r long, " + blobs)
 
 
 def _needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -316,151 +352,331 @@ def _needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return -(-(n + m) * percent // (100 + percent))
 
 
-def _open_lists(percent: int):
-    """Lists whose entries are in several components. Of short ones, the pairs that
-    sizes and positions allow (list 0); of longer ones, the entries."""
+def _long_list(n, rest, comp, maps: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a list's entries that lie in different components and that sizes,
+    positions and bit maps allow, tile by tile. Of the commonest component only
+    pairs with others are looked at."""
+    width = np.array([m.size for m in maps])
+    labels, which, count = np.unique(comp, return_inverse=True, return_counts=True)
+    main = which == np.argmax(count)
+    rows = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
+    bits = {w: np.stack([maps[i] for i in x]) for w, x in rows.items()}
+    for w, x in rows.items():
+        for v, y in rows.items():
+            #: sizes of linked sets are within one doubling of each other
+            if v not in (w, 2 * w):
+                continue
+            other = bits[v] if v == w else bits[v][:, :w] ^ bits[v][:, w:]
+            mine = bits[w]
+            asks = [(~main[x], np.ones(y.size, bool))] if v == w else [(~main[x], np.ones(y.size, bool)), (main[x], ~main[y])]
+            for left, right in asks:
+                i_all, j_all = np.flatnonzero(left), np.flatnonzero(right)
+                for s in range(0, i_all.size, 128):
+                    at = i_all[s : s + 128]
+                    i = x[at][:, None]
+                    for t in range(0, j_all.size, 512):
+                        to = j_all[t : t + 512]
+                        j = y[to][None, :]
+                        need = _needed(n[i], n[j], percent)
+                        ok = (comp[i] != comp[j]) & (np.minimum(rest[i], rest[j]) >= need) & (np.minimum(n[i], n[j]) >= need)
+                        if v == w:
+                            ok &= (i < j) | main[j]
+                        if ok.any():
+                            differ = np.zeros(ok.shape, np.int64)
+                            for k in range(w):
+                                differ += np.bitwise_count(mine[at, k][:, None] ^ other[to, k][None, :])
+                            a, b = np.nonzero(ok & (differ <= n[i] + n[j] - 2 * need))
+                            yield x[at[a]], y[to[b]]
+
+
+def _visits(percent: int):
+    """x, comp: which classes have to be compared with which components."""
 
     def scan(table: pa.Table) -> pa.Table:
-        key, cls, n, rest, comp, at = _lists(table, True)
-        ids, left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        key, cls, comp = (_column(table, c, d) for c, d in (("key", U64), ("cls", np.int64), ("comp", np.int64)))
+        n, rest, held = (_column(table, c, np.int32).astype(np.int64) for c in ("n", "rest", "held"))
+        mapped = _column(table, "mapped", np.uint8).astype(bool)
+        flat = np.frombuffer(b"".join(table.column("maps").to_pylist()), U64)
+        width = np.where(mapped, _map_words(n), 0)
+        begin = np.cumsum(width) - width
+        order = np.lexsort((cls, n, key))
+        key, cls, comp, n, rest, held, mapped, width, begin = (x[order] for x in (key, cls, comp, n, rest, held, mapped, width, begin))
+        at = runs(key)
+        found = [np.zeros((0, 2), np.int64)]
+
+        def add(i: np.ndarray, j: np.ndarray) -> None:
+            #: the smaller component, or the one of the lesser name, visits
+            first = (held[i] < held[j]) | ((held[i] == held[j]) & (comp[i] < comp[j]))
+            found.append(np.unique(np.stack([np.where(first, cls[i], cls[j]), np.where(first, comp[j], comp[i])], axis=1), axis=0))
+
         if n.size:
             low, high = np.minimum.reduceat(comp, at[:-1]), np.maximum.reduceat(comp, at[:-1])
-            size, begin = np.diff(at), at[:-1]
-            short = (low != high) & (size <= SHORT)
-            entry = concat_ranges(begin[short], size[short])
-            start = np.repeat(begin[short], size[short])
-            found = [np.zeros((0, 2), np.int64)]
-            for s in range(0, entry.size, 50_000):
-                k, first = entry[s : s + 50_000], start[s : s + 50_000]
-                i, j = np.repeat(k, k - first), concat_ranges(first, k - first)
-                keep = (comp[i] != comp[j]) & (np.minimum(rest[i], rest[j]) >= _needed(n[i], n[j], percent)) & (n[j] >= _overlap(n[i], percent))
-                a, b = cls[i[keep]], cls[j[keep]]
-                found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
-            pair = np.unique(np.concatenate(found), axis=0)
-            long = np.repeat((low != high) & (size > SHORT), size)
-            ids += [np.zeros(len(pair), np.int64), key[long].view(np.int64)]
-            left += [pair[:, 0], cls[long]]
-            right += [pair[:, 1], rest[long]]
-        return pa.table({"list": np.concatenate(ids), "a": np.concatenate(left), "b": np.concatenate(right)})
+            size = np.diff(at)
+            open_ = low != high
+            long = open_ & (size > SHORT) & mapped[at[:-1]]
+            short = open_ & ~long
+            entry = concat_ranges(at[:-1][short], size[short])
+            start = np.repeat(at[:-1][short], size[short])
+            lo = 0
+            while lo < entry.size:
+                #: entries whose earlier partners number about two million
+                many = np.cumsum(entry[lo : lo + 400_000] - start[lo : lo + 400_000])
+                hi = lo + max(1, int(np.searchsorted(many, 2_000_000)))
+                k, s = entry[lo:hi], start[lo:hi]
+                i, j = np.repeat(k, k - s), concat_ranges(s, k - s)
+                need = _needed(n[i], n[j], percent)
+                keep = (comp[i] != comp[j]) & (np.minimum(rest[i], rest[j]) >= need) & (n[j] >= need)
+                add(i[keep], j[keep])
+                lo = hi
+            for k in np.flatnonzero(long).tolist():
+                a, b = int(at[k]), int(at[k + 1])
+                maps = [flat[p : p + w] for p, w in zip(begin[a:b].tolist(), width[a:b].tolist())]
+                for i, j in _long_list(n[a:b], rest[a:b], comp[a:b], maps, percent):
+                    add(a + i, a + j)
+        pair = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"cls": pair[:, 0], "comp": pair[:, 1]})
 
     return scan
 
 
-def _with_home(entries: DataFrame) -> DataFrame:
-    """The entries with ``own``: true in one list of each set, its longest."""
-    sizes = entries.groupBy("list").agg(F.count("*").alias("size"))
-    home = entries.join(sizes, "list").groupBy("a").agg(F.max(F.struct("size", "list")).alias("m")).select("a", F.col("m.list").alias("home"))
-    return entries.join(home, "a").select("list", "a", "b", (F.col("list") == F.col("home")).alias("own"))
+def link_matrix(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the left sets (of distinct hashes) link to which of the right ones, by
+    exact counts. Shingles of few sets are counted pair by pair, those of many
+    with one bit each."""
+    sets = left if left is right else left + right
+    m, shift = len(sets), 0 if left is right else len(left)
+    rows, cols = len(left), len(right)
+    n = np.array([s.size for s in sets], np.int64)
+    key, owner = np.concatenate(sets), np.repeat(np.arange(m), n)
+    order = np.argsort(key, kind="stable")
+    key, owner = key[order], owner[order]
+    at = runs(key)
+    size = np.diff(at)
+    many = max(8, m // 25)
+    both = np.zeros(rows * cols, np.int64)
+    few = np.flatnonzero((size > 1) & (size < many))
+    entry, start = concat_ranges(at[few], size[few]), np.repeat(at[few], size[few])
+    step = 4_000_000 // many
+    for s in range(0, entry.size, step):
+        k, first = entry[s : s + step], start[s : s + step]
+        i, j = owner[concat_ranges(first, k - first)], owner[np.repeat(k, k - first)]
+        if left is right:
+            both += np.bincount(i * cols + j, minlength=both.size)
+        else:
+            cross = (i < shift) & (j >= shift)
+            both += np.bincount(i[cross] * cols + j[cross] - shift, minlength=both.size)
+    both = both.reshape(rows, cols)
+    if left is right:
+        both = both + both.T
+    common = np.flatnonzero(size >= many)
+    if common.size:
+        wide = -(-common.size // 64) * 64
+        held = np.zeros((m, wide), bool)
+        held[owner[concat_ranges(at[common], size[common])], np.repeat(np.arange(common.size), size[common])] = True
+        bits = np.packbits(held, axis=1).view(U64)
+        del held
+        other = bits[shift:]
+        tile = max(1, (1 << 18) // cols)
+        for s in range(0, rows, tile):
+            mine = bits[s : min(rows, s + tile)]
+            for w in range(bits.shape[1]):
+                both[s : s + tile] += np.bitwise_count(mine[:, w][:, None] & other[:, w][None, :])
+    total = n[:rows, None] + n[None, shift:]
+    return 100 * both >= percent * (total - both)
+
+
+def _forest(link: np.ndarray) -> np.ndarray:
+    """Least index that each row of a symmetric link matrix reaches."""
+    label = np.arange(len(link))
+    while True:
+        #: least label among the neighbours, then jumps to the end
+        near = np.array([min(int(label[i]), int(label[r].min(initial=len(link)))) for i, r in enumerate(link)])
+        while (near[near] != near).any():
+            near = near[near]
+        if (near == label).all():
+            return label
+        label = near
 
 
-def _nearest_pairs(entries: DataFrame, facts: DataFrame, percent: int, k: int) -> DataFrame:
-    """a, b: pairs of each list's entries that lie in different components and that
-    sizes, positions and bit maps allow; of each entry the ``k`` with the nearest
-    maps. A row with ``held`` says how many pairs a list still has beyond these.
-    Entries that aren't ``own`` are partners only: with one list of its own each
-    set asks once, however many lists it is in.
+def _sets(table: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(b, U64) for b in table.column("set").to_pylist()]
 
-    Maps are compared where the list is, tile by tile, so only pairs that are
-    likely to link leave the task."""
 
-    def scan(table: pa.Table) -> pa.Table:
-        cls, n, rest, comp, own = (table.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("cls", "n", "rest", "comp", "own"))
-        found, held = [np.zeros((0, 2), np.int64)], 0
-        everyone = bool(own.all())
-        if comp.min() != comp.max():
-            maps = table.column("bits").to_pylist()
-            width = np.array([len(m) // 8 for m in maps])
-            rows = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
-            bits = {w: np.stack([np.frombuffer(maps[i], U64) for i in x]) for w, x in rows.items()}
-            for w, x in rows.items():
-                sides = [(x, bits[w])]
-                if 2 * w in rows:
-                    sides.append((rows[2 * w], bits[2 * w][:, :w] ^ bits[2 * w][:, w:]))
-                asking, mine = np.flatnonzero(own[x]), bits[w]
-                tile = max(1, min(256, (1 << 18) // w // 256, 2_000_000 // cls.size))
-                for s in range(0, asking.size, tile):
-                    at = asking[s : s + tile]
-                    i = x[at][:, None]
-                    hits = []
-                    for y, other in sides:
-                        for t in range(s if y is x and everyone else 0, y.size, 256):
-                            j = y[None, t : t + 256]
-                            need = _needed(n[i], n[j], percent)
-                            ok = (comp[i] != comp[j]) & (np.minimum(rest[i], rest[j]) >= need) & (np.minimum(n[i], n[j]) >= need)
-                            if y is x and everyone:
-                                ok &= i < j
-                            if not ok.any():
-                                continue
-                            differ = np.bitwise_count(mine[at][:, None, :] ^ other[None, t : t + 256, :]).sum(axis=2, dtype=np.int64)
-                            a, b = np.nonzero(ok & (differ <= n[i] + n[j] - 2 * need))
-                            hits.append(np.stack([x[at[a]], y[t + b], differ[a, b]], axis=1))
-                    if hits:
-                        h = np.concatenate(hits)
-                        h = h[np.lexsort((h[:, 1], h[:, 2], h[:, 0]))]
-                        begin = runs(h[:, 0])
-                        keep = np.arange(len(h)) - np.repeat(begin[:-1], np.diff(begin)) < k
-                        held += int((~keep).sum())
-                        found.append(h[keep, :2])
-        pair = np.concatenate(found)
-        a, b = cls[pair[:, 0]], cls[pair[:, 1]]
-        more = [held] if held else []
-        return pa.table({"a": np.concatenate([np.minimum(a, b), np.zeros(len(more), np.int64)]), "b": np.concatenate([np.maximum(a, b), np.zeros(len(more), np.int64)]), "held": np.concatenate([np.zeros(a.size, np.int64), np.array(more, np.int64)])})
-
-    rows = entries.select("list", F.col("a").alias("cls"), F.col("b").alias("rest"), "own").join(facts, "cls").select("list", "cls", "rest", "own", "n", "comp", "bits")
-    return rows.groupBy("list").applyInArrow(scan, "a long, b long, held long")
-
-
-def _possible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose bit maps don't rule a link out."""
+def _each(table: pa.Table, name: str = "g") -> Iterator[pa.Table]:
+    """The rows of one group after the other."""
+    table = table.sort_by(name)
+    at = runs(table.column(name).to_numpy())
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        yield table.slice(a, b - a)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
-            most = n + m - 2 * _needed(n, m, percent)
-            keep = [_differ(x, y) <= k for x, y, k in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), most.tolist())]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = maps.select(F.col("cls").alias("a"), "n", F.col("bits").alias("left"))
-    right = maps.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("bits").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "left", "right").mapInArrow(run, "a long, b long")
+def _grouped(rows: DataFrame, total: int, run: Callable, schema: str) -> DataFrame:
+    """``run`` over groups ``g`` of the rows, many groups a task."""
+    count = range_count(rows.sparkSession, total)
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(count))).groupBy("bucket").applyInArrow(lambda t: run(t.drop_columns(["bucket"])), schema)
 
 
-def _links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity, by exact counts. Sets are
-    made again from the texts, for the classes that the pairs name only."""
+def sets_of(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """cls, set: the sets of the classes ``wanted`` (cls, did, row), made again from
+    the texts; a repeated row gives one."""
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             x, at = shingle_sets(*text_buffer(batch.column("text")), size)
-            key = mix(x) >> U64(16)
-            blobs = []
-            for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
-                blobs.append(packed(np.diff(np.sort(key[i:j]), prepend=U64(0))))
-            yield batch.drop_columns(["text"]).append_column("set", binary(blobs))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for left, right in zip(batch.column("left"), batch.column("right")):
-                x, y = np.cumsum(unpacked(left.as_py(), U64)), np.cumsum(unpacked(right.as_py(), U64))
-                if x.size > y.size:
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, y.size - 1)] == x).sum()) if y.size else 0
-                keep.append(100 * both >= percent * (x.size + y.size - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    rows = classes.select("cls", "row")
-    members = small(pairs.join(rows, pairs["a"] == rows["cls"]).select("a", "b", "row"))
-    centers = small(pairs.select("b").distinct().join(rows, F.col("b") == rows["cls"]).select("b", "row"))
-    left = texts.join(members, "row").select("a", "b", "text").mapInArrow(sets_of, "a long, b long, set binary").withColumnRenamed("set", "left")
-    right = texts.join(centers, "row").select("b", "text").mapInArrow(sets_of, "b long, set binary").withColumnRenamed("set", "right")
-    return left.join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long").distinct()
-
-
-def _labelled(classes: DataFrame, comps: DataFrame) -> DataFrame:
-    """The classes with the label of their component, or their own name."""
-    return classes.drop("comp").join(small(comps.withColumnRenamed("node", "cls")), "cls", "left").withColumn("comp", F.coalesce("label", "cls")).drop("label")
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), binary(x[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist()))], ["cls", "set"])
+
+    made = texts.join(small(wanted), ["did", "row"]).select("cls", "text").mapInArrow(run, "cls long, set binary")
+    return made.groupBy("cls").agg(F.first("set").alias("set"))
+
+
+def _stars(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for t in _each(table):
+            if t.num_rows > 1:
+                cls, sets = t.column("cls").to_numpy(), _sets(t)
+                root = _forest(link_matrix(sets, sets, percent))
+                a.append(cls[root != np.arange(cls.size)])
+                b.append(cls[root[root != np.arange(cls.size)]])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return run
+
+
+def _met(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for t in _each(table):
+            cls, guest, sets = t.column("cls").to_numpy(), t.column("guest").to_numpy(zero_copy_only=False), _sets(t)
+            x, y = np.flatnonzero(guest), np.flatnonzero(~guest)
+            if x.size and y.size:
+                link = link_matrix([sets[i] for i in x], [sets[i] for i in y], percent)
+                some = link.any(axis=1)
+                a.append(cls[x[some]])
+                b.append(cls[y[link.argmax(axis=1)[some]]])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return run
+
+
+def _counted(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        who, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for t in _each(table):
+            cls, copies, side, sets = t.column("cls").to_numpy(), t.column("copies").to_numpy(), t.column("side").to_numpy(), _sets(t)
+            x, y = np.flatnonzero(side != 2), np.flatnonzero(side == 2)
+            one = [sets[i] for i in x]
+            if y.size:
+                #: two blocks of one component
+                link = link_matrix(one, [sets[i] for i in y], percent)
+                who += [cls[x], cls[y]]
+                n += [link @ copies[y], copies[x] @ link]
+            elif (side == 0).all():
+                link = link_matrix(one, one, percent)
+                np.fill_diagonal(link, False)
+                who.append(cls[x])
+                n.append(link @ copies[x])
+        return pa.table({"cls": np.concatenate(who), "links": np.concatenate(n).astype(np.int64)})
+
+    return run
+
+
+def _blocks(sets, shingles):
+    """Number of blocks of a group, as a column."""
+    return F.greatest(F.ceil(sets / BLOCK_SETS), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def _block(blocks):
+    return F.pmod(F.xxhash64("cls"), blocks).cast("int")
+
+
+def _visited(visits: DataFrame, classes: DataFrame, texts: DataFrame, tables: Scratch, size: int, percent: int) -> DataFrame:
+    """a, b: for each visit that meets one, a link to the visited component."""
+    facts = classes.select("cls", "did", "row", "n", "comp")
+    guests = visits.groupBy("comp").agg(F.count("*").alias("guests"))
+    hosts = facts.join(small(guests), "comp")
+    sizes = hosts.groupBy("comp", "guests").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"))
+    sizes = tables.written(sizes.select("comp", "blocks", F.ceil(F.col("guests") / BLOCK_SETS).cast("int").alias("parts")), "sizes")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    group = lambda block, part: F.xxhash64("comp", block, part).alias("g")
+    host = hosts.join(small(sizes), "comp").withColumn("part", every("parts")).select(group(_block(F.col("blocks")), F.col("part")), "cls", F.lit(False).alias("guest"))
+    guest = visits.join(small(sizes), "comp").withColumn("block", every("blocks")).select(group(F.col("block"), _block(F.col("parts"))), "cls", F.lit(True).alias("guest"))
+    meet = tables.written(host.unionByName(guest), "meet")
+    wanted = facts.join(small(meet.select("cls").distinct()), "cls")
+    total = meet.join(small(wanted.select("cls", "n")), "cls").agg(F.sum("n")).first()[0]
+    rows = meet.join(sets_of(texts, wanted.select("cls", "did", "row"), size), "cls").select("g", "cls", "guest", "set")
+    return _grouped(rows, 8 * (total or 0), _met(percent), "a long, b long")
+
+
+def _link_counts(classes: DataFrame, texts: DataFrame, tables: Scratch, size: int, percent: int) -> DataFrame:
+    """cls, links: how many documents of other classes each class of a component
+    links to."""
+    members = classes.select("cls", "did", "row", "n", "comp", "copies")
+    sizes = members.groupBy("comp").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"), F.sum("copies").alias("docs")).where("sets > 1")
+    members = tables.written(members.join(small(sizes), "comp"), "members")
+    two = members.where("sets = 2").select("cls", (F.col("docs") - F.col("copies")).alias("links"))
+    more = members.where("sets > 2").withColumn("blocks", _blocks(F.col("sets"), F.col("shingles"))).withColumn("own", _block(F.col("blocks")))
+    more = more.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    #: 0: a block with itself; 1, 2: the two sides of a pair of blocks
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("int")
+    more = more.select(F.xxhash64("comp", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "cls", "copies", side.alias("side"), "n")
+    total = more.agg(F.sum("n")).first()[0]
+    wanted = members.where("sets > 2").select("cls", "did", "row")
+    rows = more.drop("n").join(sets_of(texts, wanted, size), "cls").select("g", "cls", "copies", "side", "set")
+    counted = _grouped(rows, 8 * (total or 0), _counted(percent), "cls long, links long")
+    return two.unionByName(counted.groupBy("cls").agg(F.sum("links").alias("links")))
+
+
+def _labelled(classes: DataFrame, comps: DataFrame, tables: Scratch) -> DataFrame:
+    """The classes with ``comp``, the label of their component or their own name, and
+    ``held``, how many classes it has."""
+    sizes = comps.groupBy("label").agg(F.count("*").alias("held"))
+    known = tables.written(comps.join(small(sizes), "label").select(F.col("node").alias("cls"), "label", "held"), "labels")
+    return classes.join(small(known), "cls", "left").withColumn("comp", F.coalesce("label", "cls")).withColumn("held", F.coalesce("held", F.lit(1))).drop("label")
+
+
+def _joined(docs: DataFrame, size: int, percent: int, list_block: int, count_links: bool) -> DataFrame:
+    """doc_id, did, row, n, copies, component_id, keep_did, keep_row, links: the last
+    six null for rows that link to no other row."""
+    spark = docs.sparkSession
+    texts = _rows(docs).select("did", "row", "text")
+    signed = written(signatures(docs, size, percent), "signatures")
+    with Scratch(spark, "jaccard-join") as tables:
+        known = signed.where("d1 is not null")
+        first = F.min(F.struct(F.col("doc_id").isNull(), "did", "row")).alias("m")
+        classes = known.groupBy("d1", "d2", "n").agg(first, F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("low", "bits", "keys")])
+        classes = classes.select(F.monotonically_increasing_id().alias("cls"), "d1", "d2", "m.did", "m.row", "copies", "n", "low", "bits", "keys")
+        classes = tables.written(classes, "classes")
+        shingles, sizes = classes.agg(F.sum("n")).first()[0] or 0, {r[0]: r[1] for r in classes.where("n <= 64").groupBy("n").count().collect()}
+        entries = shingles * (100 - percent) // 100
+        hot_keys, hot_n, mean_list = frequent(classes, tables, range_count(spark, 16 * entries))
+        light = boundary(sizes, mean_list, percent)
+        shared = spark.sparkContext.broadcast((hot_keys, hot_n))
+
+        at_home = tables.written(homes(classes, shared, percent), "homes")
+        wanted = classes.select("cls", "did", "row", "n").join(small(at_home.select("cls").distinct()), "cls")
+        total = at_home.join(small(wanted.select("cls", "n")), "cls").agg(F.sum("n")).first()[0]
+        rows = at_home.join(sets_of(texts, wanted.select("cls", "did", "row"), size), "cls").select("g", "cls", "set")
+        links = tables.written(_grouped(rows, 8 * (total or 0), _stars(percent), "a long, b long"), "stars")
+
+        labelled = _labelled(classes, components(links), tables)
+        lists = postings(labelled, shared, light, percent, range_count(spark, 40 * entries), list_block)
+        visits = lists.groupBy("r").applyInArrow(_visits(percent), "cls long, comp long").distinct()
+        visits = tables.written(visits, "visits")
+        links = tables.written(links.unionByName(_visited(visits, labelled, texts, tables, size, percent)), "links")
+
+        labelled = _labelled(classes, components(links), tables)
+        named = labelled.where("held > 1 or copies > 1").select("cls", "d1", "d2", "did", "row", "n", "copies", "comp")
+        named = tables.written(named, "named")
+        keeper = F.min(F.struct((F.col("did") == _NO_ID).alias("nameless"), "did", "row")).alias("k")
+        final = named.join(small(named.groupBy("comp").agg(keeper)), "comp")
+        if count_links:
+            final = final.join(small(_link_counts(named, texts, tables, size, percent)), "cls", "left")
+        else:
+            final = final.withColumn("links", F.lit(0))
+        final = final.select("d1", "d2", "copies", F.when(F.col("k.did") != _NO_ID, F.col("k.did")).alias("component_id"), F.col("k.did").alias("keep_did"), F.col("k.row").alias("keep_row"), F.coalesce("links", F.lit(0)).alias("links"))
+        final = written(final, "linked")
+    return signed.select("doc_id", "did", "row", "n", "d1", "d2").join(small(final), ["d1", "d2"], "left").drop("d1", "d2")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, list_block: int = 20_000) -> DataFrame:
@@ -469,66 +685,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, list_bloc
     Words are maximal runs without space and \\t..\\r, A-Z lower-cased; a set is
     the distinct ``size``-word shingles, or the whole sequence where there are
     fewer words. Two rows link when 100 * intersection >= percent * union.
-    component_id is the smallest doc_id that links reach, n_links counts the
-    verified links of the row's class to other classes (a spanning set of them).
+    component_id is the smallest doc_id that links reach, n_links the number of
+    other rows that the row links to (copies of it included).
 
-    Null or empty texts: n_shingles 0, a component of their own. A null doc_id
-    stays null and never names a component unless all its members are null.
-    Repeated rows are copies of each other. Empty table: no rows.
+    Null or empty texts: n_shingles 0, no links, a component of their own. A null
+    doc_id stays null and never names a component unless all its members are
+    null. Repeated rows are copies of each other. Empty table: no rows.
     """
-    texts = _rows(docs).select("row", "text")
-    signed = written(signatures(docs, size, percent), "signatures")
-    known = signed.where("cls is not null")
-    chosen = known.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("m")).select("cls", "m.doc_id", "m.row")
-    chosen = written(chosen, "classes")
-    classes = known.select("row", "cls", "n", "low", "bits", "keys").join(small(chosen.select("row")), "row").withColumn("comp", F.col("cls"))
-    hot_keys, hot_n, mean_list = frequent(classes)
-    sizes = {r[0]: r[1] for r in classes.where("n <= 64").groupBy("n").count().collect()}
-    light = boundary(sizes, mean_list, percent)
-
-    lists = postings(classes, (hot_keys, hot_n), light, percent, False, list_block)
-    first = lists.groupBy("r").applyInArrow(_first_candidates(percent), "x long, n long, y long")
-    first = first.groupBy("x").agg(F.min(F.struct("n", "y")).alias("m")).select(F.col("x").alias("a"), F.col("m.y").alias("b"))
-    maps = classes.select("cls", "n", "bits")
-    first = written(_possible(first, maps, percent), "candidates")
-    links = written(_links(first, texts, chosen, size, percent), "links")
-
-    comps = components(links)
-    lists = postings(_labelled(classes, comps), (hot_keys, hot_n), light, percent, True, list_block)
-    opened = written(lists.groupBy("r").applyInArrow(_open_lists(percent), "list long, a long, b long"), "open")
-    rest = _possible(opened.where("list = 0").select("a", "b").distinct(), maps, percent)
-    long = opened.where("list <> 0")
-    entries, k, homes = _with_home(long), 2, 2
-    while True:
-        near = written(_nearest_pairs(entries, _labelled(classes, comps).select("cls", "n", "comp", "bits"), percent, k), "near")
-        pairs = near.where("held = 0").select("a", "b")
-        pairs = written((pairs if rest is None else pairs.unionByName(rest)).distinct(), "candidates")
-        links = written(links.unionByName(_links(pairs, texts, chosen, size, percent)).distinct(), "links")
-        comps = components(links)
-        rest, homes = None, homes - 1
-        if homes < 0 and near.where("held > 0").isEmpty():
-            break
-        #: two rounds in one list of each set make most components; then all lists are
-        #: asked, and for more while pairs are held back
-        k = 2 if homes == 0 else 4 * k
-        entries = entries if homes > 0 else long.withColumn("own", F.lit(True))
-
-    classes = chosen
-    ends = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").count()
-    named = classes.select("cls", "doc_id").join(comps.withColumnRenamed("node", "cls"), "cls")
-    least = named.groupBy("label").agg(F.min("doc_id").alias("least"))
-    final = named.join(least, "label").join(ends, "cls").select("cls", "least", F.col("count").alias("links"))
-    final = classes.select("cls", "doc_id").join(final, "cls", "left").select("cls", F.coalesce("least", "doc_id").alias("least"), F.coalesce("links", F.lit(0)).alias("links"))
-    out = signed.select("doc_id", "n", "cls").join(final, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
-
-
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group, the one of the smallest doc_id, with all its
-    columns. Rows without doc_id are kept; of repeated rows one stays."""
-    gone = small(near_duplicates(docs, **options).where("doc_id <> component_id").select("doc_id").distinct())
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    #: only rows whose id is repeated have to meet by their text
-    repeated = small(left.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
-    again = left.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
+    out = _joined(docs, size, percent, list_block, True)
+    links = F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), links.alias("n_links"))
+
+
+def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, list_block: int = 20_000) -> DataFrame:
+    """One document of each component, with all its columns: the one of the smallest
+    doc_id (one without id only if none has an id; of several of that id the
+    one whose text has the least hash). Of repeated rows one stays. Rows without
+    words link to nothing and stay."""
+    out = written(_joined(docs, size, percent, list_block, False).where("keep_did is not null").select(F.col("did").alias("__did"), F.col("row").alias("__row"), ((F.col("did") == F.col("keep_did")) & (F.col("row") == F.col("keep_row"))).alias("keep")), "fates")
+    named = docs.withColumn("__did", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("__row", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    name = ["__did", "__row"]
+    left = named.join(small(out.where("not keep").select(*name).distinct()), name, "left_anti")
+    #: only rows that are repeated have to meet
+    repeated = small(out.where("keep").groupBy(*name).count().where("count > 1").select(*name))
+    again = left.join(repeated, name, "left_semi").select(*named.columns).dropDuplicates(name)
+    return left.join(repeated, name, "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))

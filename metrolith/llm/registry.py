@@ -15,7 +15,7 @@ BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85).drop("n_links")
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,8 +85,9 @@ ORACLES: dict[str, str] = {
             WHERE 100 * common >= 85 * (len(x.s) + len(y.s) - common)),
         edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
         reach AS (SELECT doc_id AS node, doc_id AS least FROM sets UNION SELECT e.b, r.least FROM reach r JOIN edges e ON e.a = r.node)
-        SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, min(least) AS component_id
-        FROM sets JOIN reach ON node = sets.doc_id GROUP BY ALL""",
+        SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, min(least) AS component_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_links
+        FROM sets JOIN reach ON node = sets.doc_id LEFT JOIN (SELECT a, count(*) AS n FROM edges GROUP BY a) m ON m.a = sets.doc_id
+        GROUP BY sets.doc_id, len(s)""",
     "op2_topk_search": """
         WITH ok AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v

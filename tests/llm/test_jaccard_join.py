@@ -1,17 +1,21 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from metrolith.llm import jaccard_join as J
 
 
+def shingles(text, size):
+    w = [x.translate({k: k + 32 for k in range(65, 91)}) for x in re.split("[\x20\x09-\x0d]+", text or "") if x]
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
+
+
 def brute(rows, size, percent):
-    sets = []
-    for _, text in rows:
-        w = [x.translate({k: k + 32 for k in range(65, 91)}) for x in re.split("[\x20\x09-\x0d]+", text or "") if x]
-        sets.append({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set()))
-    parent = list(range(len(rows)))
+    """(doc_id, n_shingles, component_id, n_links) of each row, None as (True, 0)."""
+    sets = [shingles(t, size) for _, t in rows]
+    parent, links = list(range(len(rows))), [0] * len(rows)
 
     def top(i):
         while parent[i] != i:
@@ -23,11 +27,17 @@ def brute(rows, size, percent):
             a, b = sets[i], sets[j]
             if a and b and 100 * len(a & b) >= percent * len(a | b):
                 parent[top(i)] = top(j)
+                links[i] += 1
+                links[j] += 1
     groups = {}
     for i, (d, _) in enumerate(rows):
         groups.setdefault(top(i), []).append(d)
     least = {k: min((d for d in v if d is not None), default=None) for k, v in groups.items()}
-    return sorted(((d is None, d or 0, len(sets[i]), least[top(i)] is None, least[top(i)] or 0) for i, (d, _) in enumerate(rows)))
+    return sorted(plain((d, len(sets[i]), least[top(i)], links[i])) for i, (d, _) in enumerate(rows))
+
+
+def plain(r):
+    return (r[0] is None, r[0] or 0, r[1], r[2] is None, r[2] or 0, r[3])
 
 
 def corpus(seed):
@@ -54,8 +64,68 @@ def corpus(seed):
 def test_equals_brute_force(spark, size, percent, block):
     rows = corpus(size)
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, cls string, n long")
-    got = sorted((r[0] is None, r[0] or 0, r[1], r[2] is None, r[2] or 0) for r in J.near_duplicates(df, size, percent, block).collect())
-    assert got == brute(rows, size, percent)
+    assert sorted(map(plain, J.near_duplicates(df, size, percent, block).collect())) == brute(rows, size, percent)
+
+
+def near_copies(n, words, edits, seed):
+    """Texts that differ from one another in up to ``edits`` words each."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    out = []
+    for k in range(n):
+        w = list(base)
+        for _ in range(rng.randint(0, edits)):
+            w[rng.randrange(words)] = f"e{rng.randrange(10**6)}"
+        out.append((k, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("blocks", [(2048, 1 << 20, 20_000), (40, 5000, 50)])
+def test_large_group_of_near_copies(spark, blocks, monkeypatch):
+    """Links inside a group are counted, never listed: rows stay in proportion."""
+    monkeypatch.setattr(J, "BLOCK_SETS", blocks[0])
+    monkeypatch.setattr(J, "BLOCK_SHINGLES", blocks[1])
+    rows = near_copies(300, 150, 9, 1)
+    rng = random.Random(2)
+    for k in range(150):  # many texts with one common passage, short enough to be in prefixes
+        rows.append((1000 + k, "this very line stands in many of the texts that follow here " + " ".join(f"x{rng.randrange(60)}" for _ in range(rng.randint(0, 9)))))
+    made = []
+
+    class Watched(J.Scratch):
+        def written(self, df, label):
+            out = super().written(df, label)
+            if label in ("stars", "visits", "meet", "links"):
+                made.append((label, out.count()))
+            return out
+
+    monkeypatch.setattr(J, "Scratch", Watched)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(plain, J.near_duplicates(df, 4, 85, blocks[2]).collect()))
+    want = brute(rows, 4, 85)
+    assert got == want
+    linked = sum(r[-1] for r in want) // 2
+    assert linked > 3000
+    if blocks[0] > len(rows):
+        assert all(n < 6 * len(rows) for _, n in made), made
+
+
+def test_long_texts_and_repeated_rows(spark):
+    rng = random.Random(5)
+    long = [f"w{rng.randrange(5000)}" for _ in range(30_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:-300])), (3, " ".join(long[9000:]))] + [(4, "just the same row again")] * 5 + [(None, "just the same row again"), (9, "same " * 500), (10, "same " * 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(plain, J.near_duplicates(df, 4, 85).collect())) == brute(rows, 4, 85)
+
+
+def test_link_matrix_equals_loops():
+    rng = np.random.default_rng(0)
+    base = rng.choice(1 << 40, 400, False).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(300, 400), False), rng.choice(1 << 40, rng.integers(0, 20)).astype(np.uint64)])) for _ in range(60)]
+    want = np.array([[100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)) for b in sets] for a in sets])
+    got = J.link_matrix(sets, sets, 80)
+    np.fill_diagonal(got, True)
+    assert (got == want).all() and (J.link_matrix(sets[:7], sets[7:], 80) == want[:7, 7:]).all()
+    assert 60 < want.sum() < 3600
 
 
 def test_empty(spark):
@@ -65,7 +135,16 @@ def test_empty(spark):
 def test_keep_first_keeps_one_of_each_group(spark):
     text = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(3, text, "a"), (1, text + " x", "b"), (2, "other words stand here alone", "c")], "doc_id long, text string, source string")
-    assert sorted(r[0] for r in J.keep_first(df).collect()) == [1, 2]
+    kept = J.keep_first(df)
+    assert sorted(r[0] for r in kept.collect()) == [1, 2] and kept.columns == df.columns
+    assert J.keep_first(df.limit(0)).count() == 0
+
+
+def test_keep_first_goes_by_rows_not_by_ids(spark):
+    text, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(3, text, 1, 0), (5, text + " x", 2, 0), (5, "quite another text of this id", 3, 0), (None, text + " y", 4, 0), (None, other, 5, 0), (None, other, 6, 0), (7, other + " z", 7, 0), (8, None, 8, 0), (8, None, 9, 0), (None, "alone without any id at all", 10, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, cls int, keep int")
+    assert sorted(r["cls"] for r in J.keep_first(df).collect()) == [1, 3, 7, 8, 9, 10]
 
 
 def test_boundary_is_the_cheapest():
