@@ -26,6 +26,9 @@ _LOWER[65:91] += 32
 _P = 0x9E3779B97F4A7C55
 _P_INV = pow(_P, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
+#: Bytes of text that are looked at together; some twenty times as much memory is
+#: used for them. Longer texts are taken in stretches between two words.
+_SPAN = 512 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,7 +120,9 @@ def _power(kind: str, base: int, n: int) -> np.ndarray:
             have = np.full(size, U64(base))
             have[0] = 1
             have = np.multiply.accumulate(have)
-        _powers[kind] = have
+        #: tables for very long words aren't kept
+        if size <= 2 * _SPAN:
+            _powers[kind] = have
     return have[:n]
 
 
@@ -137,7 +142,7 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = _SPAN) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the text of each holds ``limit`` bytes at most, or one row."""
     for batch in batches:
         if not batch.num_rows:
@@ -157,28 +162,43 @@ def words(buf: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.ndar
     A word is a maximal run without space and \\t..\\r. Equal words have equal
     hashes wherever they stand.
     """
-    n = buf.size
-    if lower:
-        buf = _LOWER[buf]
-    if n == 0:
-        z = np.zeros(0, np.int64)
-        return z, z, np.zeros(0, U64), np.zeros(at.size, np.int64)
-    solid = ~_SPACE[buf]
-    begin, end = solid.copy(), solid.copy()
-    begin[1:] &= ~solid[:-1]
-    end[:-1] &= ~solid[1:]
-    edge = at[:-1][np.diff(at) > 0]
-    begin[edge] = solid[edge]
-    last = at[1:][np.diff(at) > 0] - 1
-    end[last] = solid[last]
-    b, e = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, U64)
-        np.cumsum((buf.astype(U64) + U64(1)) * _power("p", _P, n), out=total[1:])
-        h = mix((total[e] - total[b]) * _power("q", _P_INV, n)[b])
+    begins, ends, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, U64)]
+    full = np.diff(at) > 0
+    heads, tails = at[:-1][full], at[1:][full] - 1
+    lo = 0
+    while lo < buf.size:
+        hi = _stretch(buf, lo)
+        part = _LOWER[buf[lo:hi]] if lower else buf[lo:hi]
+        solid = ~_SPACE[part]
+        begin, end = solid.copy(), solid.copy()
+        begin[1:] &= ~solid[:-1]
+        end[:-1] &= ~solid[1:]
+        for mark, edge in ((begin, heads), (end, tails)):
+            edge = edge[np.searchsorted(edge, lo) : np.searchsorted(edge, hi)] - lo
+            mark[edge] = solid[edge]
+        b, e = np.flatnonzero(begin), np.flatnonzero(end) + 1
+        with np.errstate(over="ignore"):
+            total = np.zeros(part.size + 1, U64)
+            np.cumsum((part.astype(U64) + U64(1)) * _power("p", _P, part.size), out=total[1:])
+            hashes.append(mix((total[e] - total[b]) * _power("q", _P_INV, part.size)[b]))
+        begins.append(b + lo)
+        ends.append(e + lo)
+        lo = hi
+    b, e, h = np.concatenate(begins), np.concatenate(ends), np.concatenate(hashes)
     return b, e, h, np.searchsorted(b, at)
 
 
+def _stretch(buf: np.ndarray, lo: int) -> int:
+    """Where a stretch from ``lo`` ends: at a separator, or at the end of the buffer."""
+    hi = lo + _SPAN
+    while hi < buf.size:
+        gap = np.flatnonzero(_SPACE[buf[max(lo, hi - 4096) : hi]])
+        if gap.size:
+            return max(lo, hi - 4096) + int(gap[-1]) + 1
+        hi += 4096
+    return buf.size
+
+
 def windows(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each run of ``size`` words inside one document, and where it starts."""
     n = h.size - size + 1
