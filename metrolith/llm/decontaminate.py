@@ -25,6 +25,8 @@ from .common import _P, _P_INV, U64, _power, concat_ranges, mix, pieces, runs, s
 
 Q = 8
 _BITS = 20
+#: Pairs of a hit and a place in an item that are looked at together.
+TILE = 100_000
 _TABLE = np.arange(256, dtype=np.uint8)
 _TABLE[65:91] += 32
 _TABLE[[c for c in range(128) if not chr(c).isalnum()]] = 0x20
@@ -239,6 +241,22 @@ def _long(text: np.ndarray, at: np.ndarray, ix: Index) -> dict[tuple[int, int],
     doc = np.searchsorted(at, pos, "right") - 1
     whole = pos + Q <= at[doc + 1]
     pos, k, doc = pos[whole], k[whole], doc[whole]
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    #: hits are taken in tiles of bounded work that overlap by more than any match is long,
+    #: so that a repetitive text against a repetitive item stays within memory
+    work = np.concatenate(([0], np.cumsum(ix.begin[k + 1] - ix.begin[k])))
+    overlap, lo = 2 * reach + Q, 0
+    while lo < pos.size:
+        hi = max(int(np.searchsorted(work, work[lo] + TILE, "right")) - 1, int(np.searchsorted(pos, pos[lo] + 2 * overlap, "right")))
+        _align(text, at, ix, pos[lo:hi], k[lo:hi], doc[lo:hi], reach, best)
+        if hi >= pos.size:
+            break
+        lo = max(lo + 1, int(np.searchsorted(pos, pos[hi - 1] - overlap)))
+    return best
+
+
+def _align(text: np.ndarray, at: np.ndarray, ix: Index, pos: np.ndarray, k: np.ndarray, doc: np.ndarray, reach: int, best: dict) -> None:
+    """Count the hits in bands and align where a band holds enough of them."""
     n = ix.begin[k + 1] - ix.begin[k]
     post = concat_ranges(ix.begin[k], n)
     spot, pos, doc = ix.where[post], np.repeat(pos, n), np.repeat(doc, n)
@@ -257,7 +275,6 @@ def _long(text: np.ndarray, at: np.ndarray, ix: Index) -> dict[tuple[int, int],
     pair, band = pair[key // bands], key % bands - 1
     seg, doc = pair % len(ix.segments), pair // len(ix.segments)
     full = total >= ix.least[seg]
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for d, s, b in zip(doc[full].tolist(), seg[full].tolist(), band[full].tolist()):
         e = int(ix.edits[s])
         pattern = np.frombuffer(ix.segments[s], np.uint8)
@@ -286,7 +303,6 @@ def _long(text: np.ndarray, at: np.ndarray, ix: Index) -> dict[tuple[int, int],
             end = min(end, hi - lo)
             start = min(max(start, 0), end - 1)
         _widen(best, where, edits, lo + start, lo + end)
-    return best
 
 
 def _items(benchmark: DataFrame, slice_bytes: int) -> tuple[DataFrame, int]:

@@ -1,10 +1,13 @@
 import os
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from metrolith.llm import decontaminate, ftrl, langid, licenses, toxicity
+from metrolith.llm.common import text_buffer
 
 WORDS = {"aa": "lorem ipsum dolor sit amet elit sed".split(), "bb": "quick brown fox jumps over lazy dog".split(), "cc": "κάτι άλλο εδώ είναι όλα μαζί".split()}
 
@@ -143,6 +146,26 @@ def test_decontamination_of_short_items_and_excerpts(spark):
     assert got.edits == 0 and got.begin <= 7 and got.end >= 201
 
 
+def test_repetitive_texts_stay_within_memory(monkeypatch):
+    """Tiles find what one tile finds, and a periodic text takes bounded memory."""
+    rng = random.Random(6)
+    items = [(1, "ab " * 60), (2, "the cat sat on the mat and " * 8), (3, " ".join(str(rng.randrange(10**6)) for _ in range(60)))]
+    ix = decontaminate.build_index(items)
+    texts = ["ab " * 300, "zz " * 100 + items[1][1] + " yy" * 100, "x" + items[2][1][150:300] + "y " * 500 + items[2][1], "the cat sat on the mat " * 30]
+    buf, at = text_buffer(pa.array(texts))
+    monkeypatch.setattr(decontaminate, "TILE", 1 << 40)
+    want = decontaminate.matches(buf, at, ix)
+    monkeypatch.setattr(decontaminate, "TILE", 500)
+    assert decontaminate.matches(buf, at, ix) == want and {x[:2] for x in want} >= {(0, 1), (1, 2), (2, 3)}
+    monkeypatch.undo()
+    buf, at = text_buffer(pa.array(["ab " * 1500]))
+    tracemalloc.start()
+    found = decontaminate.matches(buf, at, ix)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x[:2] for x in found] == [(0, 1)] and peak < 250e6
+
+
 def test_clean_rows_do_not_depend_on_slices(spark):
     item = "a benchmark question that nobody should ever train on, number 17"
     other = "some other passage of the benchmark with quite different words, 23"
