@@ -154,7 +154,9 @@ def overlap_area(p: list[np.ndarray], q: list[np.ndarray]) -> float:
 
 
 def union_area(polygons: list[list[np.ndarray]]) -> float:
-    """Area that polygons cover together."""
+    """Area that polygons cover together. Those without area (a piece that a clip left on
+    an edge) are left out: they would take that edge from the others."""
+    polygons = [p for p in polygons if area(p) > EPS]
     total = 0.0
     for k, p in enumerate(polygons):
         others = [q for i, q in enumerate(polygons) if i != k]

@@ -101,7 +101,11 @@ def _(t: Tables):
     return I.state_around(t.events, ["user_id"], "event_id", F.when(F.col("event_type").isin("view", "click"), F.col("event_type"))).select("event_id", "state", "conflict")
 
 
-@query("r246_active_services", (246,))
+@query("r246_active_services", (246,), """
+    WITH cal(service_id, first, last, wednesday) AS (VALUES ('regular', '20260101', '20261231', '1'), ('weekend', '20260101', '20261231', '0')),
+    exc(service_id, date, kind) AS (VALUES ('regular', '20260916', '2'), ('special', '20260916', '1'))
+    SELECT service_id FROM cal WHERE wednesday = '1' AND '20260916' BETWEEN first AND last AND service_id NOT IN (SELECT service_id FROM exc WHERE date = '20260916' AND kind = '2')
+    UNION SELECT service_id FROM exc WHERE date = '20260916' AND kind = '1'""")
 def _(t: Tables):
     days = ", ".join(["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"])
     cal = t.spark.sql(f"SELECT * FROM VALUES ('regular', '20260101', '20261231', '1','1','1','1','1','0','0'), ('weekend', '20260101', '20261231', '0','0','0','0','0','1','1') AS c(service_id, start_date, end_date, {days})")
@@ -209,9 +213,22 @@ def _(t: Tables):
     return S.allocate(_blocks(t), "block", _districts(t), "unit", ["mass"], 100.0).groupBy("unit").agg(F.round(F.sum("mass"), 3).alias("mass"))
 
 
-@query("r111_union_coverage", (111,))
+def _cells_sql(source: str) -> str:
+    """SQL for g(unit, a, cell, ...): the cells that the edges of the boxes in ``source`` cut
+    each unit into, joined with the boxes that cover them."""
+    return f"""
+    xs AS (SELECT unit, x0 AS x FROM {source} UNION SELECT unit, x1 FROM {source}), xr AS (SELECT unit, x, lead(x) OVER (PARTITION BY unit ORDER BY x) AS x2 FROM xs),
+    ys AS (SELECT unit, y0 AS y FROM {source} UNION SELECT unit, y1 FROM {source}), yr AS (SELECT unit, y, lead(y) OVER (PARTITION BY unit ORDER BY y) AS y2 FROM ys),
+    g AS (SELECT b.*, x, y, (x2 - x) * (y2 - y) AS a FROM xr JOIN yr ON xr.unit = yr.unit JOIN {source} b ON b.unit = xr.unit AND b.x0 <= x AND b.x1 >= x2 AND b.y0 <= y AND b.y1 >= y2)"""
+
+
+@query("r111_union_coverage", (111,), f"""
+    WITH c AS (SELECT unit, greatest(b.x0, d.x0) AS x0, greatest(b.y0, d.y0) AS y0, least(b.x1, d.x1) AS x1, least(b.y1, d.y1) AS y1 FROM {_BLOCKS} b, {_DISTRICTS} d WHERE {_AREA} > 0), {_cells_sql("c")},
+    w AS (SELECT unit, sum(a) AS covered FROM (SELECT DISTINCT unit, x, y, a FROM g) GROUP BY unit), s AS (SELECT unit, sum((x1 - x0) * (y1 - y0)) AS summed FROM c GROUP BY unit)
+    SELECT unit, round(covered, 3) AS covered_m2, round(summed, 3) AS summed_m2 FROM w JOIN s USING (unit)""")
 def _(t: Tables):
-    return S.union_coverage(_blocks(t), _districts(t), "unit", 50.0)
+    u = S.union_coverage(_blocks(t), _districts(t), "unit", 50.0)
+    return u.where("covered_m2 > 0").select("unit", F.round("covered_m2", 3).alias("covered_m2"), F.round("summed_m2", 3).alias("summed_m2"))
 
 
 @query("r112_clip_length", (112, 114), f"""
@@ -251,7 +268,11 @@ def _(t: Tables):
     return S.raster_summary(c, "unit", False).select("unit", F.round("value", 6).alias("value"), F.round("mass", 4).alias("mass"), "nodata_m2")
 
 
-@query("r106_exclusive_areas", (106, 110))
+@query("r106_exclusive_areas", (106, 110), f"""
+    WITH b AS (SELECT block % 7 AS unit, block % 2 = 0 AS even, x0, y0, x1, y1 FROM {_BLOCKS}), {_cells_sql("b")},
+    c AS (SELECT unit, a, bool_or(even) AS e, bool_or(NOT even) AS o FROM g GROUP BY unit, x, y, a)
+    SELECT k.unit, CASE WHEN even THEN 'even' ELSE 'odd' END AS category, round(coalesce(sum(a) FILTER (WHERE e <> o AND e = even), 0), 3) AS area FROM (SELECT DISTINCT unit, even FROM b) k JOIN c USING (unit) GROUP BY k.unit, even
+    UNION ALL SELECT unit, '(contested)', round(coalesce(sum(a) FILTER (WHERE e AND o), 0), 3) FROM c GROUP BY unit""")
 def _(t: Tables):
     b = _blocks(t).withColumn("category", F.when(F.col("block") % 2 == 0, "even").otherwise("odd")).withColumn("unit", F.col("block") % 7)
-    return S.exclusive_category_areas(b.select("unit", "category", "geometry"), "unit", "category")
+    return S.exclusive_category_areas(b.select("unit", "category", "geometry"), "unit", "category").withColumn("area", F.round("area", 3) + 0.0)

@@ -11,6 +11,7 @@ from ..operators import overlays as O
 from ..operators import spatial as S
 from .intervals_spatial import _AREA, _BLOCKS, _DISTRICTS, _POINTS, _blocks, _districts, _points
 from .registry import Tables, portable, query
+from .similarity import BUDGETS, compare_sql, pairs
 
 
 @query("r108_block_partition", (107, 108, 129, 275), f"""
@@ -23,13 +24,13 @@ def _(t: Tables):
 
 
 @query("r119_road_intervals", (119,), """
-    WITH r AS (SELECT o_orderkey AS id, o_orderkey % 4 AS k FROM orders WHERE o_orderkey < 400)
+    WITH r AS (SELECT o_orderkey AS id, o_orderkey % 4 AS k FROM orders)
     SELECT id, 0.0::DOUBLE AS a, 0.25::DOUBLE AS b FROM r WHERE k <> 3 UNION ALL SELECT id, 0.25, 0.5 FROM r WHERE k NOT IN (1, 3) UNION ALL SELECT id, 0.5, 1.0 FROM r WHERE k <> 3""")
 def _(t: Tables):
     k = F.col("o_orderkey") % 4
     rule = lambda v, between: F.struct(v.alias("value"), between.alias("between"))
     rules = F.array(rule(F.when(k == 1, "link").otherwise("ok"), F.array(F.lit(0.25), F.lit(0.5))), rule(F.when(k == 3, "link").otherwise("ok"), F.lit(None).cast("array<double>")))
-    roads = t.orders.where("o_orderkey < 400").select(F.col("o_orderkey").alias("id"), rules.alias("rules"))
+    roads = t.orders.select(F.col("o_orderkey").alias("id"), rules.alias("rules"))
     return O.road_parts(roads, "id", F.col("rule.value") == "link", "rules")
 
 
@@ -57,7 +58,14 @@ def _(t: Tables):
     return O.capped_overlap(_blocks(t), "block", _districts(t), 100.0).select("block", F.round("overlap", 3).alias("overlap"))
 
 
-@query("r123_crossings", (123,))
+@query("r123_crossings", (123,), f"""
+    WITH s AS (SELECT block, x0 AS px, y0 AS py, 60.0 AS rx, CASE WHEN CAST(x0 AS BIGINT) % 2 = 1 THEN 30.0 ELSE -30.0 END AS ry FROM {_BLOCKS}),
+    p AS (SELECT a.block AS i, b.block AS j, a.px, a.py, a.rx, a.ry, b.px AS qx, b.py AS qy, b.rx AS sx, b.ry AS sy, ((b.px - a.px) * b.ry - (b.py - a.py) * b.rx) / (a.rx * b.ry - a.ry * b.rx) AS t,
+        ((b.px - a.px) * a.ry - (b.py - a.py) * a.rx) / (a.rx * b.ry - a.ry * b.rx) AS u FROM s a JOIN s b ON a.block < b.block AND a.rx * b.ry <> a.ry * b.rx),
+    q AS (SELECT *, px + t * rx AS x, py + t * ry AS y FROM p WHERE t BETWEEN -1e-9 AND 1 + 1e-9 AND u BETWEEN -1e-9 AND 1 + 1e-9),
+    e AS (SELECT x, y, i AS line, CASE WHEN least(t, 1 - t) * sqrt(rx * rx + ry * ry) < 1e-6 THEN 1 ELSE 2 END AS n FROM q UNION ALL SELECT x, y, j, CASE WHEN least(u, 1 - u) * sqrt(sx * sx + sy * sy) < 1e-6 THEN 1 ELSE 2 END FROM q),
+    l AS (SELECT round(x, 6) AS x, round(y, 6) AS y, line, max(n) AS n FROM e GROUP BY 1, 2, 3)
+    SELECT x, y, count(*) AS lines, CAST(sum(n) AS BIGINT) AS arms FROM l GROUP BY x, y""")
 def _(t: Tables):
     from pyspark.sql import types as T
 
@@ -65,7 +73,7 @@ def _(t: Tables):
     def line(x, y):
         return x.combine(y, lambda a, b: G.line_wkb([[a, b], [a + 60, b + (30 if int(a) % 2 else -30)]]))
 
-    return O.crossings(_blocks(t).select("block", line("x0", "y0").alias("geometry")), "block", 60.0)
+    return O.crossings(_blocks(t).select("block", line("x0", "y0").alias("geometry")), "block", 60.0).withColumns({"x": F.round("x", 6) + 0.0, "y": F.round("y", 6) + 0.0})
 
 
 @query("r125_overlapping_pieces", (125,), f"""
@@ -89,11 +97,27 @@ def _(t: Tables):
     return O.cell_heights(_blocks(t), _districts(t), "unit", "mass", 100.0).select("unit", F.round("height", 4).alias("height"), "n")
 
 
-@query("r245_nearest_street", (245, 202))
+_STREETS = "(SELECT s_suppkey AS street, CAST(s_suppkey * 31 % 530 AS DOUBLE) AS x1, CAST(s_suppkey * 41 % 530 AS DOUBLE) AS y1 FROM supplier)"
+
+
+def _streets(t: Tables):
+    return t.supplier.selectExpr("s_suppkey AS street", "CAST(s_suppkey * 31 % 530 AS DOUBLE) AS x1", "CAST(s_suppkey * 41 % 530 AS DOUBLE) AS y1").withColumns({"x2": F.col("x1") + 40, "y2": F.col("y1") + 12})
+
+
+@query("r245_nearest_street", (245,), f"""
+    WITH p AS (SELECT c_custkey, street, x - x1 AS wx, y - y1 AS wy, greatest(least(((x - x1) * 40.0 + (y - y1) * 12.0) / (40.0 * 40.0 + 12.0 * 12.0), 1), 0) AS t FROM {_POINTS}, {_STREETS}),
+    d AS (SELECT c_custkey, street, sqrt(power(wx - t * 40.0, 2) + power(wy - t * 12.0, 2)) AS dist, CAST(sign(wx * 12.0 - wy * 40.0) AS DOUBLE) AS side FROM p),
+    k AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY round(dist, 6), street) AS n FROM d WHERE dist <= 30)
+    SELECT c_custkey, street, round(dist, 6) AS dist, side FROM k WHERE n = 1""")
+def _(t: Tables):
+    p = _points(t).withColumn("bearing_deg", F.lit(70.0))
+    return O.nearest_street(p, "c_custkey", _streets(t), "street").select("c_custkey", "street", F.round("dist", 6).alias("dist"), "side")
+
+
+@query("r202_displaced_baseline", (202,))
 def _(t: Tables):
-    s = t.supplier.selectExpr("s_suppkey AS street", "CAST(s_suppkey * 31 % 530 AS DOUBLE) AS x1", "CAST(s_suppkey * 41 % 530 AS DOUBLE) AS y1").withColumns({"x2": F.col("x1") + 40, "y2": F.col("y1") + 12})
     p = O.displaced(_points(t), "c_custkey", 5.0).withColumn("bearing_deg", F.lit(70.0))
-    return O.nearest_street(p, "c_custkey", s, "street")
+    return O.nearest_street(p, "c_custkey", _streets(t), "street")
 
 
 @query("r104_land_cascade", (104,), """
@@ -127,16 +151,17 @@ def _(t: Tables):
     return t.spark.createDataFrame([("valley", M.density_valley(both)), ("rho_lo", lo), ("rho_hi", hi), ("inside", float(inside.mean())), ("hausdorff", O.hausdorff(ring[0][:2], ring[0][:2] + 1))], "name string, value double")
 
 
-@query("r222_scenarios", (222, 206, 218, 185))
+@query("r222_scenarios", (222, 206, 218, 185), " UNION ALL ".join(
+    f"SELECT '{name}' AS scenario, * FROM ({compare_sql(budgets, BUDGETS)}) AS c{k}"
+    for k, (name, budgets) in enumerate({"equal": {f: 1 / 3 for f in BUDGETS}, **{f"without {f}": {x: (0.0 if x == f else b) for x, b in BUDGETS.items()} for f in BUDGETS}}.items())))
 def _(t: Tables):
     from ..operators import similarity as L
-    from .similarity import BUDGETS, pairs
 
     p = pairs(t).persist()  # read once per scenario; one row per pair of units and block
     base = L.distances(p, BUDGETS)
     out = None
     scenarios = {"equal": {k: 1 / 3 for k in BUDGETS}, **{f"without {k}": {f: (0.0 if f == k else b) for f, b in BUDGETS.items()} for k in BUDGETS}}
     for name, budgets in scenarios.items():
-        row = L.compare(L.distances(p, budgets), base).select(F.lit(name).alias("scenario"), "rho", "overlap")
+        row = L.compare(L.distances(p, budgets), base).select(F.lit(name).alias("scenario"), F.round("rho", 6).alias("rho"), F.round("overlap", 6).alias("overlap"))
         out = row if out is None else out.unionByName(row)
     return out

@@ -206,10 +206,13 @@ def _(t: Tables):
     return t.events.select("event_id", F.round(N.sensor_clock(s, 0.5, 0.001), 4).alias("t"))
 
 
-@query("r024_quadkey_tiles", (24,))
+@query("r024_quadkey_tiles", (24,), """
+    WITH k AS (SELECT n_nationkey, concat(n_nationkey % 4, n_nationkey // 4 % 4, n_nationkey // 16 % 4, '021302') AS quadkey FROM nation),
+    t AS (SELECT *, list_sum(list_transform(range(1, 10), lambda i: CAST(quadkey[i] AS INT) % 2 * (1 << (9 - CAST(i AS INT))))) AS x, list_sum(list_transform(range(1, 10), lambda i: CAST(quadkey[i] AS INT) // 2 * (1 << (9 - CAST(i AS INT))))) AS y FROM k)
+    SELECT n_nationkey, quadkey, round(x / 512 * 360 - 180, 9) AS west, round(degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / 512)))), 9) AS south, round((x + 1) / 512 * 360 - 180, 9) AS east, round(degrees(atan(sinh(pi() * (1 - 2 * y / 512)))), 9) AS north FROM t""")
 def _(t: Tables):
     key = F.concat(*[(F.floor(F.col("n_nationkey") / 4**i) % 4).cast("string") for i in range(3)], F.lit("021302"))
-    return t.nation.select("n_nationkey", key.alias("quadkey"), N.quadkey_bounds(key).alias("b")).select("n_nationkey", "quadkey", "b.*")
+    return t.nation.select("n_nationkey", key.alias("quadkey"), N.quadkey_bounds(key).alias("b")).select("n_nationkey", "quadkey", *[F.round(f"b.{c}", 9).alias(c) for c in ("west", "south", "east", "north")])
 
 
 @query("r276_source_credit", (276, 277), """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,22 @@ _LONG = _UNITS + """,
     b AS (SELECT i, j, d FROM d UNION ALL SELECT j, i, d FROM d)"""
 
 
+def compare_sql(budgets: dict[str, float], base: dict[str, float]) -> str:
+    """SQL for one row: Spearman's rho over pairs, and the share of common 5 nearest."""
+
+    def distance(name: str, share: dict[str, float]) -> str:
+        per = {f: b / len(FAMILIES[f]) for f, b in share.items()}
+        w = "CASE family " + " ".join(f"WHEN '{f}' THEN {x!r}" for f, x in per.items()) + " END"
+        return f"""{name} AS (SELECT i, j, sqrt(sum({w} * m) / sum({w})) AS d FROM q WHERE m IS NOT NULL AND {w} > 0 GROUP BY i, j),
+    {name}n AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY d, j) AS n FROM (SELECT i, j, d FROM {name} UNION ALL SELECT j, i, d FROM {name}))"""
+
+    return f"""WITH {_LONG}, {distance("one", budgets)}, {distance("two", base)},
+    r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS x, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS y
+        FROM (SELECT one.d AS x, two.d AS y FROM one JOIN two USING (i, j))),
+    shared AS (SELECT count(*) AS n FROM onen JOIN twon USING (i, j) WHERE onen.n <= 5 AND twon.n <= 5)
+    SELECT round((SELECT corr(x, y) FROM r), 6) AS rho, round((SELECT n FROM shared) / 5 / (SELECT count(DISTINCT i) FROM onen), 6) AS overlap"""
+
+
 def units(t: Tables) -> DataFrame:
     o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("orders_n"), F.avg("o_totalprice").alias("price_mean"))
     c = t.customer.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.avg("c_acctbal").alias("balance"), F.avg((F.col("c_mktsegment") == "MACHINERY").cast("double")).alias("machinery"))
@@ -74,15 +91,27 @@ def _(t: Tables):
     return S.scaled(long, method="hellinger").where("value is not null").select("unit", "column", F.round("value", 6).alias("v"))
 
 
-@query("r220_compare_distances", (220, 211, 212, 213, 214))
+@query("r220_compare_distances", (220, 211, 212, 213, 214), compare_sql({"use": 0.5, "form": 0.25, "mix": 0.25}, {"use": 0.25, "mix": 0.25, "form": 0.5}))
 def _(t: Tables):
     p = pairs(t)
-    return S.compare(S.distances(p, S.domain_budgets({"use": "a", "form": "b", "mix": "b"})), S.distances(p, S.equal_budgets(list(FAMILIES), [["use", "mix"]])))
+    c = S.compare(S.distances(p, S.domain_budgets({"use": "a", "form": "b", "mix": "b"})), S.distances(p, S.equal_budgets(list(FAMILIES), [["use", "mix"]])))
+    return c.select(F.round("rho", 6).alias("rho"), F.round("overlap", 6).alias("overlap"))
 
 
-@query("r221_weight_stability", (221, 201, 188))
+def _draws_sql(draws: int = 500, seed: int = 20261006) -> str:
+    names = sorted(BUDGETS)
+    u = np.random.default_rng(seed).uniform(0.5, 1.5, (draws, len(names)))
+    return ", ".join(f"({d}, '{f}', {float(u[d, k] * BUDGETS[f])!r})" for d in range(draws) for k, f in enumerate(names))
+
+
+@query("r221_weight_stability", (221, 201, 188), f"""
+    WITH {_LONG}, draw(draw, family, u) AS (VALUES {_draws_sql()}), f AS (SELECT i, j, family, sum(m * v) AS wm, sum(v) AS w FROM (SELECT *, CASE family WHEN 'use' THEN 0.5 ELSE 1.0 END AS v FROM q WHERE m IS NOT NULL) GROUP BY 1, 2, 3),
+    e AS (SELECT draw, i, j, sum(u * wm) / sum(u * w) AS d FROM f JOIN draw USING (family) GROUP BY 1, 2, 3), y AS (SELECT draw, i, j, d FROM e UNION ALL SELECT draw, j, i, d FROM e),
+    n AS (SELECT *, row_number() OVER (PARTITION BY draw, i ORDER BY d, j) AS n FROM y), h AS (SELECT i, j, count(*) / 500 AS kept FROM n WHERE n <= 5 GROUP BY 1, 2),
+    base AS (SELECT i, j FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS n FROM b) WHERE n <= 5)
+    SELECT base.i, base.j, coalesce(kept, 0) AS kept, coalesce(kept, 0) >= 0.8 AS stable FROM base LEFT JOIN h ON h.i = base.i AND h.j = base.j""")
 def _(t: Tables):
-    return S.stability(pairs(t), BUDGETS, draws=50)
+    return S.stability(pairs(t), BUDGETS)
 
 
 @query("r223_other_city_share", (223,), f"""
@@ -125,8 +154,6 @@ def _(t: Tables):
 
 @query("r216_prune_columns", (215, 216, 219, 232, 233))
 def _(t: Tables):
-    import numpy as np
-
     rows = units(t).orderBy("unit").na.fill(0.0).collect()
     names = ["orders_n", "price_mean", "balance", "machinery"]
     x = np.array([[float(r[c]) for c in names] for r in rows])

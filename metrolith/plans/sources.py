@@ -46,7 +46,8 @@ def _(t: Tables):
     return R.boxed(t.spark, path, 100, 50, 200, 300).select("c_custkey")
 
 
-@query("r009_catalogue_pruning", (9,))
+@query("r009_catalogue_pruning", (9,), """
+    SELECT 'tile-' || n_nationkey AS href FROM nation WHERE n_nationkey % 5 <= 2.5 AND n_nationkey % 5 + 1 >= 1.5 AND n_nationkey // 5 <= 3.2 AND n_nationkey // 5 + 1 >= 1.5""")
 def _(t: Tables):
     x, y = (F.col("n_nationkey") % 5).cast("double"), F.floor(F.col("n_nationkey") / 5).cast("double")
     items = t.nation.select(F.concat(F.lit("tile-"), F.col("n_nationkey").cast("string")).alias("href"), x.alias("west"), y.alias("south"), (x + 1).alias("east"), (y + 1).alias("north"))
@@ -114,7 +115,14 @@ def _(t: Tables):
     return W.stage(t.spark, path, signature, lambda: (_ for _ in ()).throw(AssertionError("rebuilt")))
 
 
-@query("r135_reprojection", (135,))
+@query("r135_reprojection", (135,), """
+    WITH k AS (SELECT 1 / 298.257222101 AS f), n AS (SELECT f / (2 - f) AS n FROM k),
+    s AS (SELECT n, 2 * sqrt(n) / (1 + n) AS c, 6378137.0 / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) AS big, n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 AS a1, 13 * n ** 2 / 48 - 3 * n ** 3 / 5 AS a2, 61 * n ** 3 / 240 AS a3 FROM n),
+    p AS (SELECT n_nationkey, radians(n_nationkey / 10 - 46.5 + 45) AS lam, sin(radians(-23.5 + n_regionkey / 10)) AS sp FROM nation),
+    t AS (SELECT *, sinh(atanh(sp) - c * atanh(c * sp)) AS t FROM p, s),
+    e AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM t)
+    SELECT n_nationkey, round(500000 + 0.9996 * big * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)), 3) AS x,
+        round(0.9996 * big * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)) + 1e7, 3) AS y FROM e""")
 def _(t: Tables):
     @F.pandas_udf(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
     def project(lon: pd.Series, lat: pd.Series) -> pd.DataFrame:

@@ -206,3 +206,19 @@ def test_relational_rules(spark):
     assert {(r.k, r.v, r.n) for r in relational.only_match(a, ["k"], "v").collect()} == {(1, None, 2)}
     text = spark.createDataFrame([("São Paulo - Brás",)], "x string")
     assert tuple(text.select(X.norm(F.col("x")), X.name_key(F.col("x"))).first()) == ("SAO PAULO BRAS", "saopaulobras")
+
+
+def test_union_area_of_boxes_and_slivers():
+    import numpy as np
+
+    from metrolith.functions import geometry as G
+
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        boxes, grid = [], np.zeros((12, 12), bool)
+        for _ in range(rng.integers(1, 5)):
+            x, y = rng.integers(0, 6, 2)
+            w, h = rng.integers(0, 5, 2)  # some have no width or no height
+            boxes.append([G.parts(G.box(float(x), float(y), float(x + w), float(y + h)))[0]])
+            grid[x : x + w, y : y + h] = True
+        assert abs(G.union_area(boxes) - grid.sum()) < 1e-9
