@@ -1,87 +1,121 @@
 """Substring deduplication by recompression.
 
-Words are named by hashes, and rounds of recompression name pairs of adjacent
-symbols: in each round a hash bit of every symbol puts it left or right, and
-each (left, right) pair of neighbours becomes one symbol. Whether two
-neighbours merge depends on the two alone, so equal word sequences get equal
-symbols except for one symbol at either end per round. Runs of one word stay
-unmerged (equal symbols are on one side) and need no special names. Names are
-64-bit hashes of what they stand for: every executor gives equal strings equal
-names, so a round needs no exchange of names.
-
-After three rounds a symbol spans at most 8 words, and in any 13 words a symbol
-begins at one of the first 8 that does so wherever these 13 words occur. The
-*anchor* there, that symbol's beginning with the next words up to the window's
-end, is therefore shared by all occurrences of the window. Anchors (about 0.42
-per word) are grouped globally; those of a single document cannot begin a
-repeat and are dropped. Only windows over a shared anchor are then compared,
-by the hash of all their words.
-
-Documents are dealt into blocks. A block sends each anchor and each window
-once, with its least doc_id, however often it occurs inside, and gets back one
-answer: a passage that a third of all documents hold costs one entry per block.
+Words are the symbols of level 0. Each round renames what stands side by side:
+a maximal run of one symbol becomes a symbol, then each pair of neighbours of
+which the first has a hash bit of 0 and the second of 1. What becomes of two
+neighbours depends on them and on what stands next to them, so equal word
+sequences get equal symbols in their interior; every symbol knows the words
+that its making depended on (its *support*).
+
+A round is one exchange over the corpus: the blocks of documents send the names
+made in it, and learn which of them other documents made too. A window of
+``size`` words that occurs twice holds only shared names among the symbols whose
+support lies inside it, so each round leaves fewer windows: those of the second
+round come from the regions that the first left. The windows that remain are
+named and grouped, which gives the least document of each, and are at last
+compared with that document word by word, as stretches of consecutive windows.
+Names (64 bits for symbols, 96 for windows) thus only propose.
+
+A block sends a name once, however often it occurs inside, and a stretch that
+many documents hold is compared once: a passage of a third of all documents
+costs one entry a block.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, concat_ranges, mix, packed, range_count, ranges_of, runs, shuffle_partitions, text_buffer, unpacked, windows, words
-
-_BIG = np.iinfo(np.int64).max
-
-
-def reach(rounds: int) -> int:
-    """Words from a window's start to the last place where a common symbol begins."""
-    return (1 << rounds) - 1
-
-
-def boundaries(h: np.ndarray, first: np.ndarray, rounds: int = 3) -> np.ndarray:
-    """Positions at which a symbol begins after ``rounds`` rounds of pair naming."""
-    name, at = h, np.arange(h.size)
-    opens = np.zeros(h.size, bool)
-    opens[first[:-1][np.diff(first) > 0]] = True
-    for k in range(rounds):
-        if name.size < 2:
-            break
-        side = (mix(name + U64(k + 1)) >> U64(63)).astype(bool)
-        merge = ~side[:-1] & side[1:] & ~opens[at[1:]]
-        into = np.concatenate((merge, [False]))
-        keep = np.concatenate(([True], ~merge))
-        pair = mix(name[:-1] * U64(0x9E3779B97F4A7C15) + name[1:])
-        name = np.where(into, np.append(pair, U64(0)), name)[keep]
-        at = at[keep]
-    return at
+from .common import _SPAN, U64, Scratch, concat_ranges, mix, packed, ranges_of, runs, shuffle_partitions, small, text_buffer, unpacked, windows, words, written
+
+_FAR = np.iinfo(np.int64).max >> 1
+
+
+class Symbols:
+    """The symbols of some documents after a number of rounds: names, first words,
+    support [lo, hi] in words, whether a document begins there, and which of the
+    symbols the last round made."""
+
+    def __init__(self, h: np.ndarray, first: np.ndarray):
+        self.name, self.at = h, np.arange(h.size)
+        self.lo, self.hi = self.at, self.at
+        self.opens = np.zeros(h.size, bool)
+        self.opens[first[:-1][np.diff(first) > 0]] = True
+        self.made = np.zeros(h.size, bool)
+
+    def _beside(self) -> tuple[np.ndarray, np.ndarray]:
+        """Support of the left and of the right neighbour; beyond a document's ends
+        nothing is known."""
+        before = np.where(self.opens, -_FAR, np.concatenate(([-_FAR], self.lo[:-1])))
+        ends = np.concatenate((self.opens[1:], [True]))
+        return before, np.where(ends, _FAR, np.concatenate((self.hi[1:], [_FAR])))
+
+    def _keep(self, first: np.ndarray, name: np.ndarray, lo: np.ndarray, hi: np.ndarray, made: np.ndarray) -> None:
+        self.name, self.lo, self.hi, self.made = name, lo, hi, made
+        self.at, self.opens = self.at[first], self.opens[first]
+
+    def round(self, k: int) -> None:
+        if not self.name.size:
+            return
+        #: runs of one symbol
+        same = np.concatenate(([False], (self.name[1:] == self.name[:-1]) & ~self.opens[1:]))
+        first = np.flatnonzero(~same)
+        last = np.append(first[1:], self.name.size) - 1
+        long = last > first
+        name = np.where(long, mix(self.name[first] * U64(0x9E3779B97F4A7C15) + U64(4 * k + 1) * (last - first + 1).astype(U64)), self.name[first])
+        before, after = self._beside()
+        self._keep(first, name, before[first], after[last], long)
+        #: pairs
+        side = (mix(self.name + U64(4 * k + 2)) >> U64(63)).astype(bool)
+        joins = np.append(~side[:-1] & side[1:] & ~self.opens[1:], False)
+        first = np.flatnonzero(~np.concatenate(([False], joins[:-1])))
+        pair = joins[first]
+        then = np.minimum(first + 1, self.name.size - 1)
+        name = np.where(pair, mix(self.name[first] * U64(0xD6E8FEB86659FD93) + mix(self.name[then] + U64(4 * k + 3))), self.name[first])
+        before, after = self._beside()
+        self._keep(first, name, np.where(pair, self.lo[first], before[first]), np.where(pair, self.hi[then], after[first]), pair | self.made[first])
+
+
+def open_windows(h: np.ndarray, first: np.ndarray, size: int, rounds: list[np.ndarray], symbols: Callable = Symbols) -> np.ndarray:
+    """Starts of the windows in which all symbols made by each of the rounds, whose
+    support lies inside, are among the names given for that round (sorted)."""
+    start = windows(h, first, size)[1]
+    dead = np.zeros(h.size + 1, np.int64)
+    s = symbols(h, first)
+    for k, shared in enumerate(rounds):
+        s.round(k)
+        bad = np.flatnonzero(s.made & (s.hi - s.lo < size))
+        if shared.size:
+            bad = bad[shared[np.minimum(np.searchsorted(shared, s.name[bad]), shared.size - 1)] != s.name[bad]]
+        #: a lonely symbol closes all windows around its support
+        np.add.at(dead, np.maximum(s.hi[bad] - size + 1, 0), 1)
+        np.add.at(dead, s.lo[bad] + 1, -1)
+    return start[np.cumsum(dead[:-1])[start] == 0]
+
+
+def _parts(docs: pa.Table, limit: int = _SPAN):
+    """Row ranges of a block with bounded text, with their words."""
+    for batch in docs.select(["text"]).to_batches():
+        if not batch.num_rows:
+            continue
+        col = batch.column(0)
+        _, at = text_buffer(col)
+        lo = 0
+        while lo < len(col):
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, "right")) - 1)
+            buf, own = text_buffer(col.slice(lo, hi - lo))
+            yield lo, hi, buf, words(buf, own)
+            lo = hi
 
 
-def _parts(docs: pa.Table, limit: int = 2 << 20):
-    """Row ranges of a block with bounded text, with their words."""
-    col = docs.column("text").combine_chunks()
-    col = col.chunk(0) if isinstance(col, pa.ChunkedArray) and col.num_chunks else col
-    if isinstance(col, pa.ChunkedArray):
-        return
-    _, at = text_buffer(col)
-    lo = 0
-    while lo < len(col):
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, "right")) - 1)
-        buf, own = text_buffer(col.slice(lo, hi - lo))
-        yield lo, hi, buf, words(buf, own)
-        lo = hi
-
-
-def _anchors(h: np.ndarray, first: np.ndarray, size: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and word position of each anchor."""
-    width = size - reach(rounds)
-    key, start = windows(h, first, width)
-    ok = np.zeros(h.size, bool)
-    ok[boundaries(h, first, rounds)] = True
-    keep = ok[start]
-    return key[keep], start[keep]
+def _whole(docs: pa.Table) -> pa.Table:
+    return docs.combine_chunks()
 
 
 def _ids(docs: pa.Table) -> np.ndarray:
@@ -89,17 +123,20 @@ def _ids(docs: pa.Table) -> np.ndarray:
 
 
 def _least(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with their least document and whether they have another."""
+    """Where distinct keys first stand, in order, their least document, and whether
+    they have another."""
     order = np.lexsort((doc, key))
     key, doc = key[order], doc[order]
     at = runs(key)
-    return key[at[:-1]], doc[at[:-1]], doc[at[1:] - 1] != doc[at[:-1]] if key.size else np.zeros(0, bool)
+    if not key.size:
+        return order, doc, np.zeros(0, bool)
+    return order[at[:-1]], doc[at[:-1]], doc[at[1:] - 1] != doc[at[:-1]]
 
 
 def _by_range(block: int, key: np.ndarray, count: int, columns: dict[str, np.ndarray]) -> pa.Table:
     r = ranges_of(key, count)
-    order = np.argsort(r, kind="stable")
-    r, key = r[order], key[order]
+    order = np.lexsort((key, r))
+    r = r[order]
     at = runs(r)
     cut = list(zip(at[:-1].tolist(), at[1:].tolist()))
     blob = lambda x: pa.array([packed(x[a:b]) for a, b in cut], pa.binary())
@@ -119,147 +156,324 @@ def _answers(block: np.ndarray, columns: dict[str, np.ndarray]) -> pa.Table:
     return pa.table({"block": pa.array(block[at[:-1]]), **{n: pa.array([packed(c[order][a:b]) for a, b in cut], pa.binary()) for n, c in columns.items()}})
 
 
-def size_hint(df: DataFrame) -> int:
-    """What the optimizer estimates for the size of the input files, in bytes."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def _names(k: int, count: int) -> Callable[[pa.Table], pa.Table]:
+    """Sends the names that round ``k`` makes in a block, and whether two of its
+    documents have one. A name goes as its range and 32 bits."""
+
+    def run(docs: pa.Table) -> pa.Table:
+        docs = _whole(docs)
+        ids, names, owners = _ids(docs), [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+        for lo, hi, _, (_, _, h, first) in _parts(docs):
+            s = Symbols(h, first)
+            for i in range(k + 1):
+                s.round(i)
+            names.append(s.name[s.made])
+            owners.append(np.repeat(ids[lo:hi], np.diff(first))[s.at[s.made]])
+        name = np.concatenate(names)
+        at, _, more = _least(name, np.concatenate(owners))
+        return _by_range(docs.column("block")[0].as_py(), name[at], count, {"key": (name[at] & U64(0xFFFFFFFF)).astype(np.uint32), "more": more.astype(np.uint8)})
+
+    return run
+
+
+def _shared(t: pa.Table) -> pa.Table:
+    """Answers each block with those of its names that another document made too."""
+    key, n = _column(t, "key", np.uint32)
+    more, _ = _column(t, "more", np.uint8)
+    block = np.repeat(t.column("block").to_numpy(), n)
+    r = np.repeat(t.column("r").to_numpy(), n)
+    order = np.argsort(key, kind="stable")
+    key, more, block, r = key[order], more[order], block[order], r[order]
+    at = runs(key)
+    several = (np.diff(at) > 1) | (np.maximum.reduceat(more, at[:-1]) > 0) if key.size else np.zeros(0, bool)
+    keep = np.repeat(several, np.diff(at))
+    return _answers(block[keep], {"key": key[keep], "r": r[keep].astype(np.uint32)})
+
+
+def _short(name: np.ndarray, count: int) -> np.ndarray:
+    """A name as the exchange knows it: its range and 32 bits."""
+    return ranges_of(name, count).astype(U64) << U64(32) | (name & U64(0xFFFFFFFF))
+
+
+def _known(shared: pa.Table) -> np.ndarray:
+    if not shared.num_rows:
+        return np.zeros(0, U64)
+    return np.unique(_column(shared, "r", np.uint32)[0].astype(U64) << U64(32) | _column(shared, "key", np.uint32)[0].astype(U64))
+
+
+def _left(h: np.ndarray, first: np.ndarray, size: int, k: int, known: np.ndarray, count: int) -> np.ndarray:
+    """Starts of the windows that round ``k`` leaves open."""
+
+    class Short(Symbols):
+        def round(self, _: int) -> None:
+            for i in range(k + 1):
+                super().round(i)
+            self.name = _short(self.name, count)
+
+    return open_windows(h, first, size, [known], Short)
+
+
+def _regions(size: int, k: int, count: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The stretches of each document that open windows cover: block, doc_id, row, begin
+    (in words) and text."""
+
+    def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
+        block, rows, begin, text = [], [], [], []
+        if docs.num_rows:
+            docs, known = _whole(docs), _known(shared)
+            here, at_word = docs.column("block")[0].as_py(), docs.column("begin").to_numpy()
+            for lo, hi, buf, (b, e, h, first) in _parts(docs):
+                start = _left(h, first, size, k, known, count)
+                owner = np.searchsorted(first, start, "right") - 1
+                #: windows of one document that overlap or touch are one region
+                cut = np.flatnonzero((np.diff(start) > size) | (np.diff(owner) > 0)) + 1
+                data = _joined(buf, b, e)
+                for x, y in zip(np.append(0, cut).tolist(), np.append(cut, start.size).tolist()):
+                    if y > x:
+                        i, j = int(start[x]), int(start[y - 1]) + size
+                        block.append(here)
+                        rows.append(int(lo + owner[x]))
+                        begin.append(i - int(first[owner[x]]) + int(at_word[rows[-1]]))
+                        text.append(data(i, j))
+        which = pa.array(rows, pa.int64())
+        named = [docs.column(c).take(which) if rows else pa.array([], pa.int64()) for c in ("doc_id", "row")]
+        return pa.table([pa.array(block, pa.int64()), *named, pa.array(begin, pa.int64()), pa.array(text, pa.binary()).cast(pa.string())], ["block", "doc_id", "row", "begin", "text"])
+
+    return run
+
+
+def _joined(buf: np.ndarray, b: np.ndarray, e: np.ndarray) -> Callable[[int, int], bytes]:
+    """Gives words [i, j) as bytes, with one space between them."""
+    size = e - b + 1
+    end = np.cumsum(size)
+    flat = np.append(buf, np.uint8(0x20))[np.minimum(concat_ranges(b, size), buf.size)]
+    flat[end - 1] = 0x20
+    data = flat.tobytes()
+    at = np.concatenate(([0], end)).tolist()
+    return lambda i, j: data[at[i] : max(at[i], at[j] - 1)]
+
+
+def _check(h: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    """32 more bits of each window's name."""
+    return (windows(mix(h ^ U64(0x5851F42D4C957F2D)), first, size)[0] >> U64(32)).astype(np.uint32)
+
+
+def _open(regions: pa.Table, shared: pa.Table, size: int, k: int, count: int):
+    """The open windows of a block's regions, part by part: rows, words, starts, names,
+    checks and documents."""
+    known, ids = _known(shared), _ids(regions)
+    for lo, hi, buf, (b, e, h, first) in _parts(regions):
+        name, start = windows(h, first, size)
+        left = np.isin(start, _left(h, first, size, k, known, count), assume_unique=True)
+        check = _check(h, first, size)
+        yield lo, buf, (b, e, h, first), start[left], name[left], check[left], np.repeat(ids[lo:hi], np.diff(first))[start[left]]
+
+
+def _send_windows(size: int, k: int, count: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(regions: pa.Table, shared: pa.Table) -> pa.Table:
+        block, found = 0, [(np.zeros(0, U64), np.zeros(0, np.uint32), np.zeros(0, np.int64))]
+        if regions.num_rows:
+            regions, block = _whole(regions), regions.column("block")[0].as_py()
+            found += [(name, check, doc) for _, _, _, _, name, check, doc in _open(regions, shared, size, k, count)]
+        name, check, doc = (np.concatenate(x) for x in zip(*found))
+        at, least, _ = _least(name ^ check.astype(U64) * U64(0x9E3779B97F4A7C15), doc)
+        return _by_range(block, name[at], count, {"key": name[at], "check": check[at], "doc": least})
+
+    return run
+
+
+def _first_owner(t: pa.Table) -> pa.Table:
+    """Answers each block with the windows that have an owner earlier than its own."""
+    key, n = _column(t, "key", U64)
+    check, _ = _column(t, "check", np.uint32)
+    doc, _ = _column(t, "doc", np.int64)
+    block = np.repeat(t.column("block").to_numpy(), n)
+    order = np.lexsort((check, key))
+    key, check, doc, block = key[order], check[order], doc[order], block[order]
+    new = np.ones(key.size, bool)
+    new[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
+    at = np.append(np.flatnonzero(new), key.size)
+    least = np.repeat(np.minimum.reduceat(doc, at[:-1]), np.diff(at)) if key.size else doc
+    keep = least < doc
+    return _answers(block[keep], {"key": key[keep], "check": check[keep], "least": least[keep]})
+
+
+def _stretches(size: int, k: int, count: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """block, doc_id, row, begin, words, owner, text: consecutive windows of a document that
+    are said to start in one earlier document as well."""
+
+    def run(regions: pa.Table, both: pa.Table) -> pa.Table:
+        out: dict[str, list] = {c: [] for c in ("block", "doc_id", "row", "begin", "words", "owner", "text")}
+        if regions.num_rows:
+            regions = _whole(regions)
+            here, at_word, rows = regions.column("block")[0].as_py(), regions.column("begin").to_numpy(), regions.column("row").to_numpy()
+            empty = not both.num_rows
+            shared, owned = (both, both) if empty else (both.filter(pc.is_valid(both.column(c))) for c in ("r", "least"))
+            held = list(_open(regions, shared, size, k, count))
+            mixed = lambda name, check: name ^ check.astype(U64) * U64(0x9E3779B97F4A7C15)
+            own = np.concatenate([mixed(x[4], x[5]) for x in held] or [np.zeros(0, U64)])
+            doc = np.concatenate([x[6] for x in held] or [np.zeros(0, np.int64)])
+            key, check, least = (np.zeros(0, d) if empty else _column(owned, c, d)[0] for c, d in (("key", U64), ("check", np.uint32), ("least", np.int64)))
+            key = mixed(key, check)
+            every, docs = np.concatenate([own, key]), np.concatenate([doc, least])
+            at, owner, _ = _least(every, docs)
+            names = every[at]
+            for lo, buf, (b, e, h, first), start, name, check, mine in held:
+                who = owner[np.searchsorted(names, mixed(name, check))] if names.size else mine
+                hit = np.flatnonzero(who < mine)
+                s, who, mine = start[hit], who[hit], mine[hit]
+                row = np.searchsorted(first, s, "right") - 1
+                cut = np.flatnonzero((np.diff(s) != 1) | (np.diff(who) != 0) | (np.diff(row) != 0)) + 1
+                data = _joined(buf, b, e)
+                for x, y in zip(np.append(0, cut).tolist(), np.append(cut, s.size).tolist()):
+                    if y > x:
+                        i, j = int(s[x]), int(s[y - 1]) + size
+                        values = (here, int(mine[x]), int(rows[lo + row[x]]), i - int(first[row[x]]) + int(at_word[lo + row[x]]), j - i, int(who[x]), data(i, j))
+                        for c, v in zip(out, values):
+                            out[c].append(v)
+        text = pa.array(out.pop("text"), pa.binary()).cast(pa.string())
+        return pa.table({**{c: pa.array(v, pa.int64()) for c, v in out.items()}, "text": text})
+
+    return run
+
+
+def true_names(buf: np.ndarray, b: np.ndarray, e: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Numbers of the words that are equal for words of equal bytes, and only for these."""
+    _, rep, number = np.unique(h, return_index=True, return_inverse=True)
+    size = e - b
+    other = b[rep][number]
+    same = size == size[rep][number]
+    at, to = concat_ranges(b, np.where(same, size, 0)), concat_ranges(other, np.where(same, size, 0))
+    if same.all() and np.array_equal(buf[at], buf[to]):
+        return number
+    data = buf.tobytes()
+    by: dict[bytes, int] = {}
+    return np.array([by.setdefault(data[x:y], len(by)) for x, y in zip(b.tolist(), e.tolist())], np.int64)
+
+
+def _unverified(size: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """owner, text of the stretches that hold a window which, word by word, is in no
+    region of the owner."""
+
+    def run(said: pa.Table, regions: pa.Table) -> pa.Table:
+        if not said.num_rows:
+            return pa.table({"owner": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
+        if not regions.num_rows:
+            return said.select(["owner", "text"])
+        bad: list[int] = []
+        owner = said.column("owner").to_numpy()
+        order = np.argsort(owner, kind="stable")
+        step = 4096
+        doc = regions.column("doc_id").to_numpy()
+        for lo in range(0, order.size, step):
+            pick = order[lo : lo + step]
+            of = np.flatnonzero(np.isin(doc, owner[pick]))
+            text = pa.chunked_array([*said.column("text").take(pa.array(pick)).chunks, *regions.column("text").take(pa.array(of)).chunks], pa.string())
+            buf, at = text_buffer(text.combine_chunks())
+            b, e, h, first = words(buf, at)
+            number = true_names(buf, b, e, h)
+            name, start = windows(mix(number.astype(U64)), first, size)
+            row = np.searchsorted(first, start, "right") - 1
+            whose = np.concatenate([owner[pick], doc[of]])[row]
+            key = mix(name + mix(whose.astype(U64)))
+            theirs = np.flatnonzero(row >= pick.size)
+            by = theirs[np.argsort(key[theirs], kind="stable")]
+            mine = np.flatnonzero(row < pick.size)
+            ok = np.zeros(mine.size, bool)
+            if by.size:
+                to = by[np.minimum(np.searchsorted(key[by], key[mine]), by.size - 1)]
+                ok = whose[to] == whose[mine]
+                for i in range(size):
+                    ok &= number[start[to] + i] == number[start[mine] + i]
+            bad += pick[np.unique(row[mine[~ok]])].tolist()
+        return said.select(["owner", "text"]).take(pa.array(bad, pa.int64()))
+
+    return run
+
+
+def _removed(size: int, with_text: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The result for the documents of a block, from the stretches to remove."""
+
+    def named(t: pa.Table) -> np.ndarray:
+        return mix(mix(t.column("doc_id").to_numpy().astype(np.int64).view(U64)) + t.column("row").to_numpy().astype(np.int64).view(U64))
+
+    def run(docs: pa.Table, gone: pa.Table) -> pa.Table:
+        n_words, n_removed, digest, text = [], [], [], []
+        docs = _whole(docs)
+        if gone.num_rows:
+            doc = named(gone)
+            order = np.argsort(doc, kind="stable")
+            doc, begin, n = doc[order], *(gone.column(c).to_numpy()[order] for c in ("begin", "words"))
+            ids = named(docs.set_column(docs.column_names.index("doc_id"), "doc_id", pc.fill_null(docs.column("doc_id"), 0)))
+            ids[docs.column("doc_id").is_null().to_numpy()] = 0
+        for lo, hi, buf, (b, e, h, first) in _parts(docs):
+            cover = np.zeros(h.size + 1, np.int32)
+            if gone.num_rows:
+                x, y = np.searchsorted(doc, ids[lo:hi]), np.searchsorted(doc, ids[lo:hi], "right")
+                which = concat_ranges(x, y - x)
+                base = np.repeat(first[:-1], y - x) + begin[which]
+                np.add.at(cover, base, 1)
+                np.add.at(cover, base + n[which], -1)
+            kept = np.flatnonzero(np.cumsum(cover[:-1]) == 0)
+            at = np.searchsorted(kept, first)
+            data = _joined(buf, b[kept], e[kept])
+            n_words += np.diff(first).tolist()
+            n_removed += (np.diff(first) - np.diff(at)).tolist()
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+                body = data(i, j)
+                digest.append(hashlib.sha256(body).hexdigest())
+                if with_text:
+                    text.append(body)
+        columns = {"doc_id": docs.column("doc_id").cast(pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
+        return pa.table(columns | ({"kept": pa.array(text, pa.binary()).cast(pa.string())} if with_text else {}))
+
+    return run
 
 
-def deduplicate(docs: DataFrame, size: int = 13, rounds: int = 3, block_bytes: int = 4 << 20, with_text: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, size: int = 13, rounds: int = 2, block_bytes: int = 8 << 20, range_bytes: int = 24 << 20, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and ``kept`` text) for each row.
 
     Removed are the words that are covered by ``size`` consecutive words of the
     row which also start in a row with a smaller doc_id. A null text has no
     words. Rows with a null doc_id are neither changed nor a reason to change
-    others; of rows with equal doc_ids neither changes the other. Windows do
-    not depend on what is removed elsewhere.
+    others; of rows with equal doc_ids neither changes the other, and each is
+    judged by its own words. Windows do not depend on what is removed elsewhere.
     """
-    if size <= reach(rounds):
-        raise ValueError("windows must be longer than the reach of the rounds")
+    if rounds < 1:
+        raise ValueError("at least one round is needed")
     spark = docs.sparkSession
-    count = range_count(spark)
-    blocks = max(2 * shuffle_partitions(spark), size_hint(docs.select("text")) // (block_bytes // 2))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = plain.where("doc_id is not null")
-    dealt = known.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
-
-    def send_anchors(t: pa.Table) -> pa.Table:
-        ids, keys, owners = _ids(t), [], []
-        for lo, hi, _, (_, _, h, first) in _parts(t):
-            key, start = _anchors(h, first, size, rounds)
-            doc = np.repeat(ids[lo:hi], np.diff(first))
-            keys.append(key)
-            owners.append(doc[start])
-        key, _, more = _least(np.concatenate(keys), np.concatenate(owners)) if keys else (np.zeros(0, U64), None, np.zeros(0, bool))
-        return _by_range(t.column("block")[0].as_py(), key, count, {"key": key.astype(np.uint32), "more": more.astype(np.uint8)})
-
-    def shared_anchors(t: pa.Table) -> pa.Table:
-        key, n = _column(t, "key", np.uint32)
-        more, _ = _column(t, "more", np.uint8)
-        block = np.repeat(t.column("block").to_numpy(), n)
-        r = np.repeat(t.column("r").to_numpy(), n)
-        order = np.argsort(key, kind="stable")
-        key, more, block, r = key[order], more[order], block[order], r[order]
-        at = runs(key)
-        several = (np.diff(at) > 1) | (np.maximum.reduceat(more, at[:-1]) > 0) if key.size else np.zeros(0, bool)
-        keep = np.repeat(several, np.diff(at))
-        return _answers(block[keep], {"key": key[keep], "r": r[keep].astype(np.uint32)})
-
-    def send_windows(docs_: pa.Table, shared: pa.Table) -> pa.Table:
-        none = {"key": np.zeros(0, U64), "doc": np.zeros(0, np.int64)}
-        if not docs_.num_rows or not shared.num_rows:
-            return _by_range(0, none["key"], count, none)
-        want = np.unique(_column(shared, "r", np.uint32)[0].astype(U64) << U64(32) | _column(shared, "key", np.uint32)[0].astype(U64))
-        ids, keys, owners = _ids(docs_), [], []
-        for lo, hi, _, (_, _, h, first) in _parts(docs_):
-            key, start = _anchors(h, first, size, rounds)
-            mine = ranges_of(key, count).astype(U64) << U64(32) | (key & U64(0xFFFFFFFF))
-            at = np.minimum(np.searchsorted(want, mine), want.size - 1)
-            hit = start[want[at] == mine]
-            near = np.zeros(h.size + 1, np.int32)
-            np.add.at(near, np.maximum(hit - reach(rounds), 0), 1)
-            np.add.at(near, hit + 1, -1)
-            over = np.cumsum(near[:-1]) > 0
-            whole, begin = windows(h, first, size)
-            keep = over[begin]
-            keys.append(whole[keep])
-            owners.append(np.repeat(ids[lo:hi], np.diff(first))[begin[keep]])
-        key, doc, _ = _least(np.concatenate(keys), np.concatenate(owners))
-        return _by_range(docs_.column("block")[0].as_py(), key, count, {"key": key, "doc": doc})
-
-    def first_owner(t: pa.Table) -> pa.Table:
-        key, n = _column(t, "key", U64)
-        doc, _ = _column(t, "doc", np.int64)
-        block = np.repeat(t.column("block").to_numpy(), n)
-        order = np.argsort(key, kind="stable")
-        key, doc, block = key[order], doc[order], block[order]
-        at = runs(key)
-        least = np.repeat(np.minimum.reduceat(doc, at[:-1]), np.diff(at)) if key.size else doc
-        #: a block knows its own windows; only an earlier owner elsewhere is news
-        keep = least < doc
-        return _answers(block[keep], {"key": key[keep], "least": least[keep]})
-
-    def remove(docs_: pa.Table, shared: pa.Table) -> pa.Table:
-        known_key = _column(shared, "key", U64)[0] if shared.num_rows else np.zeros(0, U64)
-        least = _column(shared, "least", np.int64)[0] if shared.num_rows else np.zeros(0, np.int64)
-        order = np.argsort(known_key)
-        known_key, least = known_key[order], least[order]
-        ids = _ids(docs_) if docs_.num_rows else np.zeros(0, np.int64)
-        #: owners inside the block: only windows whose anchor repeats matter, all are cheap to look up
-        keys, owners = [], []
-        parts = list(_parts(docs_)) if docs_.num_rows else []
-        for lo, hi, _, (_, _, h, first) in parts:
-            key, begin = windows(h, first, size)
-            keys.append(key)
-            owners.append(np.repeat(ids[lo:hi], np.diff(first))[begin])
-        own_key, own_doc, more = _least(np.concatenate(keys), np.concatenate(owners)) if keys else (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, bool))
-        own_key, own_doc = own_key[more], own_doc[more]
-        n_words, n_removed, digest, text = [], [], [], []
-        for k, (lo, hi, buf, (b, e, h, first)) in enumerate(parts):
-            key, begin = windows(h, first, size)
-            doc = owners[k]
-            earlier = np.zeros(key.size, bool)
-            for names, owner in ((known_key, least), (own_key, own_doc)):
-                if names.size:
-                    at = np.minimum(np.searchsorted(names, key), names.size - 1)
-                    earlier |= (names[at] == key) & (owner[at] < doc)
-            cover = np.zeros(h.size + 1, np.int32)
-            np.add.at(cover, begin[earlier], 1)
-            np.add.at(cover, begin[earlier] + size, -1)
-            kept = np.cumsum(cover[:-1]) == 0
-            data = buf.tobytes()
-            got = np.concatenate(([0], np.cumsum(kept)))
-            n_words += np.diff(first).tolist()
-            n_removed += (np.diff(first) - (got[first[1:]] - got[first[:-1]])).tolist()
-            #: kept words in stretches of one line of bytes where a single space separates them
-            for d in range(hi - lo):
-                w = np.flatnonzero(kept[first[d] : first[d + 1]]) + first[d]
-                body = b" ".join([data[x:y] for x, y in zip(b[w].tolist(), e[w].tolist())])
-                digest.append(hashlib.sha256(body).hexdigest())
-                if with_text:
-                    text.append(body)
-        columns = {"doc_id": pa.array(ids), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
-        return pa.table(columns | ({"kept": pa.array(text, pa.binary()).cast(pa.string())} if with_text else {}))
-
-    answer = "block long, key binary, "
-    sent = dealt.groupBy("block").applyInArrow(send_anchors, "r long, block long, key binary, more binary")
-    anchors = sent.groupBy("r").applyInArrow(shared_anchors, answer + "r binary")
-    seen = dealt.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(send_windows, "r long, block long, key binary, doc binary")
-    owners = seen.groupBy("r").applyInArrow(first_owner, answer + "least binary")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    least = 2 * shuffle_partitions(spark)
+    blocks = max(least, -(-total // block_bytes))
+    #: about one byte of names for four of text is sent in the first round
+    count = max(least, -(-total // (4 * range_bytes)))
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    #: a row is named by its id and a hash of its text, repeated rows alike
+    dealt = plain.withColumn("row", F.xxhash64("text")).withColumn("begin", F.lit(0).cast("long"))
+    dealt = dealt.withColumn("block", of(F.coalesce("doc_id", "row"))).select("block", "doc_id", "row", "begin", "text")
+    rows = known = dealt.where("doc_id is not null")
+    answer, region = "block long, key binary, r binary", "block long, doc_id long, row long, begin long, text string"
+
+    def exchange(rows: DataFrame, k: int) -> DataFrame:
+        sent = rows.groupBy("block").applyInArrow(_names(k, count), "r long, block long, key binary, more binary")
+        return sent.groupBy("r").applyInArrow(_shared, answer)
+
+    with Scratch(spark, "substring-dedup") as tables:
+        for k in range(rounds - 1):
+            rows = tables.written(rows.groupBy("block").cogroup(exchange(rows, k).groupBy("block")).applyInArrow(_regions(size, k, count), region), "regions")
+        if rounds == 1:
+            rows = tables.written(known, "regions")
+        shared = tables.written(exchange(rows, rounds - 1), "shared")
+        seen = rows.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_send_windows(size, rounds - 1, count), "r long, block long, key binary, check binary, doc binary")
+        owners = tables.written(seen.groupBy("r").applyInArrow(_first_owner, "block long, key binary, check binary, least binary"), "owners")
+        none = F.lit(None).cast("binary")
+        both = shared.select("block", "key", "r", none.alias("check"), none.alias("least")).unionByName(owners.withColumn("r", none))
+        said = rows.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_stretches(size, rounds - 1, count), "block long, doc_id long, row long, begin long, words long, owner long, text string")
+        said = tables.written(said, "stretches")
+        #: a stretch that many documents hold is compared once
+        once = said.select("owner", "text").distinct().withColumn("block", of("owner"))
+        bad = once.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(_unverified(size), "owner long, text string")
+        gone = written(said.join(small(tables.written(bad, "unverified")), ["owner", "text"], "left_anti").select("block", "doc_id", "row", "begin", "words"), "gone")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
-    out = dealt.groupBy("block").cogroup(owners.groupBy("block")).applyInArrow(remove, schema)
-    nameless = plain.where("doc_id is null").groupBy(F.spark_partition_id().alias("block")).applyInArrow(lambda t: remove_nothing(t, with_text), schema)
-    return out.unionByName(nameless)
-
-
-def remove_nothing(t: pa.Table, with_text: bool) -> pa.Table:
-    """Rows without doc_id: all words stay."""
-    n, digest, text = [], [], []
-    for lo, hi, buf, (b, e, h, first) in _parts(t):
-        data = buf.tobytes()
-        for d in range(hi - lo):
-            w = range(int(first[d]), int(first[d + 1]))
-            text.append(b" ".join([data[b[i] : e[i]] for i in w]))
-            digest.append(hashlib.sha256(text[-1]).hexdigest())
-            n.append(len(w))
-    columns = {"doc_id": pa.array([None] * len(n), pa.int64()), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array([0] * len(n), pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
-    return pa.table(columns | ({"kept": pa.array(text, pa.binary()).cast(pa.string())} if with_text else {}))
+    return dealt.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(_removed(size, with_text), schema)

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from metrolith.llm import substring_dedup as D
@@ -54,21 +55,56 @@ def test_empty(spark):
     assert D.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_every_window_has_a_common_anchor():
-    """What the method promises: equal windows share an anchor at one offset."""
-    import pyarrow as pa
+def symbols(texts, rounds):
+    buf, at = text_buffer(pa.array([" ".join(t) for t in texts]))
+    _, _, h, first = words(buf, at)
+    out = []
+    s = D.Symbols(h, first)
+    for k in range(rounds):
+        s.round(k)
+        out.append((s, s.name.copy(), s.at.copy(), s.lo.copy(), s.hi.copy(), s.made.copy(), first))
+    return out
+
 
+def test_equal_windows_have_equal_symbols_where_their_support_is_inside():
+    """What the method promises, whatever stands around the windows; runs included."""
     rng = random.Random(5)
-    for _ in range(300):
-        w = [rng.choice("abcdefgh") * rng.randint(1, 2) for _ in range(13)]
-        offsets = []
-        for _ in range(2):
-            left, right = ([rng.choice("abcdefgh") for _ in range(rng.randint(0, 9))] for _ in range(2))
-            buf, at = text_buffer(pa.array([" ".join(left + w + right)]))
-            _, _, h, first = words(buf, at)
-            b = D.boundaries(h, first)
-            offsets.append({int(x) - len(left) for x in b if 0 <= x - len(left) <= D.reach(3)})
-        assert offsets[0] & offsets[1]
+    made = 0
+    for _ in range(400):
+        w = [rng.choice("abcdefgh") for _ in range(30) for _ in range(rng.choice([1, 1, 1, 2, 3]))][:24]
+        around = [[[rng.choice("abcdefgh") for _ in range(rng.randint(0, 9))] for _ in range(2)] for _ in range(2)]
+        both = [a + w + b for a, b in around]
+        for s, name, at, lo, hi, new, first in symbols(both, 3):
+            inside = []
+            for d in range(2):
+                x = int(first[d]) + len(around[d][0])
+                keep = new & (lo >= x) & (hi < x + len(w))
+                inside.append(sorted(zip((at[keep] - x).tolist(), name[keep].tolist())))
+            assert inside[0] == inside[1]
+            made += len(inside[0])
+    assert made > 2000
+
+
+def test_runs_and_pairs_are_named_by_what_they_hold():
+    for s, name, at, *_ in symbols([["a"] * 7 + ["b"], ["a"] * 6 + ["b"], ["a"] * 7 + ["b"]], 1):
+        of = {}
+        for n, x, y in zip(name.tolist(), at.tolist(), [*at[1:].tolist(), 23]):
+            of.setdefault(n, []).append(y - x)
+        assert all(len(set(v)) == 1 for v in of.values()) and len(of) < len(name)
+
+
+def test_words_are_compared_where_names_collide(spark, monkeypatch):
+    """Names only propose: with names of a few bits the result is still exact."""
+    rows = corpus(7, 25)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    b, e = np.array([0, 2, 5]), np.array([1, 4, 7])
+    assert len(set(D.true_names(np.frombuffer(b"a bb bc", np.uint8), b, e, np.array([5, 5, 5], np.uint64)).tolist())) == 3
+    said = pa.table({"block": [0, 0], "owner": [1, 1], "text": [" ".join("abcdefghijklmno"), " ".join("abcdefghijklmxo")]})
+    regions = pa.table({"block": [0], "doc_id": [1], "text": ["z " + " ".join("abcdefghijklmno")]})
+    assert D._unverified(13)(said, regions).column("text").to_pylist() == [" ".join("abcdefghijklmxo")]
+    monkeypatch.setattr(D, "_check", lambda h, first, size: np.zeros(D.windows(h, first, size)[0].size, np.uint32))
+    got = sorted(map(tuple, D.deduplicate(df, rounds=1).collect()), key=str)
+    assert got == brute(rows)
 
 
 def test_kept_text(spark):
