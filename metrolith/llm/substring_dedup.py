@@ -7,10 +7,10 @@ neighbours depends on them and on what stands next to them, so equal word
 sequences get equal symbols in their interior; every symbol knows the words
 that its making depended on (its *support*).
 
-A round is one exchange over the corpus: the blocks of documents send the names
-made in it, and learn which of them other documents made too. A window of
-``size`` words that occurs twice holds only shared names among the symbols whose
-support lies inside it, so each round leaves fewer windows: those of the second
+A round is one exchange over the corpus: the blocks of documents send the symbols
+made in it, named with their support, and learn which of them other documents
+made too. A window of ``size`` words that occurs twice holds only shared names
+among the symbols whose support lies inside it, so each round leaves fewer windows: those of the second
 round come from the regions that the first left. The windows that remain are
 named and grouped, which gives the least document of each, and are at last
 compared with that document word by word, as stretches of consecutive windows.
@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPAN, U64, Scratch, concat_ranges, mix, packed, ranges_of, runs, shuffle_partitions, small, text_buffer, unpacked, windows, words, written
+from .common import _P, _P_INV, _SPAN, U64, _power, Scratch, concat_ranges, mix, packed, ranges_of, runs, shuffle_partitions, small, text_buffer, unpacked, windows, words, written
 
 _FAR = np.iinfo(np.int64).max >> 1
 
@@ -43,7 +43,7 @@ class Symbols:
     symbols the last round made."""
 
     def __init__(self, h: np.ndarray, first: np.ndarray):
-        self.name, self.at = h, np.arange(h.size)
+        self.name, self.at, self.words = h, np.arange(h.size), h
         self.lo, self.hi = self.at, self.at
         self.opens = np.zeros(h.size, bool)
         self.opens[first[:-1][np.diff(first) > 0]] = True
@@ -81,22 +81,14 @@ class Symbols:
         before, after = self._beside()
         self._keep(first, name, np.where(pair, self.lo[first], before[first]), np.where(pair, self.hi[then], after[first]), pair | self.made[first])
 
-
-def open_windows(h: np.ndarray, first: np.ndarray, size: int, rounds: list[np.ndarray], symbols: Callable = Symbols) -> np.ndarray:
-    """Starts of the windows in which all symbols made by each of the rounds, whose
-    support lies inside, are among the names given for that round (sorted)."""
-    start = windows(h, first, size)[1]
-    dead = np.zeros(h.size + 1, np.int64)
-    s = symbols(h, first)
-    for k, shared in enumerate(rounds):
-        s.round(k)
-        bad = np.flatnonzero(s.made & (s.hi - s.lo < size))
-        if shared.size:
-            bad = bad[shared[np.minimum(np.searchsorted(shared, s.name[bad]), shared.size - 1)] != s.name[bad]]
-        #: a lonely symbol closes all windows around its support
-        np.add.at(dead, np.maximum(s.hi[bad] - size + 1, 0), 1)
-        np.add.at(dead, s.lo[bad] + 1, -1)
-    return start[np.cumsum(dead[:-1])[start] == 0]
+    def supported(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of the last round whose support is of ``size`` words at most, and
+        their names within it: hashes of the words that they depended on."""
+        at = np.flatnonzero(self.made & (self.hi - self.lo < size))
+        lo, hi, n = self.lo[at], self.hi[at] + 1, self.words.size
+        total = np.zeros(n + 1, U64)
+        np.cumsum(self.words * _power("p", _P, n), out=total[1:])
+        return at, mix((total[hi] - total[lo]) * _power("q", _P_INV, n)[lo] + U64(1))
 
 
 def _parts(docs: pa.Table, limit: int = _SPAN):
@@ -156,7 +148,14 @@ def _answers(block: np.ndarray, columns: dict[str, np.ndarray]) -> pa.Table:
     return pa.table({"block": pa.array(block[at[:-1]]), **{n: pa.array([packed(c[order][a:b]) for a, b in cut], pa.binary()) for n, c in columns.items()}})
 
 
-def _names(k: int, count: int) -> Callable[[pa.Table], pa.Table]:
+def _after(h: np.ndarray, first: np.ndarray, k: int) -> Symbols:
+    s = Symbols(h, first)
+    for i in range(k + 1):
+        s.round(i)
+    return s
+
+
+def _names(size: int, k: int, count: int) -> Callable[[pa.Table], pa.Table]:
     """Sends the names that round ``k`` makes in a block, and whether two of its
     documents have one. A name goes as its range and 32 bits."""
 
@@ -164,11 +163,10 @@ def _names(k: int, count: int) -> Callable[[pa.Table], pa.Table]:
         docs = _whole(docs)
         ids, names, owners = _ids(docs), [np.zeros(0, U64)], [np.zeros(0, np.int64)]
         for lo, hi, _, (_, _, h, first) in _parts(docs):
-            s = Symbols(h, first)
-            for i in range(k + 1):
-                s.round(i)
-            names.append(s.name[s.made])
-            owners.append(np.repeat(ids[lo:hi], np.diff(first))[s.at[s.made]])
+            s = _after(h, first, k)
+            at, name = s.supported(size)
+            names.append(name)
+            owners.append(np.repeat(ids[lo:hi], np.diff(first))[s.at[at]])
         name = np.concatenate(names)
         at, _, more = _least(name, np.concatenate(owners))
         return _by_range(docs.column("block")[0].as_py(), name[at], count, {"key": (name[at] & U64(0xFFFFFFFF)).astype(np.uint32), "more": more.astype(np.uint8)})
@@ -201,16 +199,19 @@ def _known(shared: pa.Table) -> np.ndarray:
     return np.unique(_column(shared, "r", np.uint32)[0].astype(U64) << U64(32) | _column(shared, "key", np.uint32)[0].astype(U64))
 
 
-def _left(h: np.ndarray, first: np.ndarray, size: int, k: int, known: np.ndarray, count: int) -> np.ndarray:
-    """Starts of the windows that round ``k`` leaves open."""
-
-    class Short(Symbols):
-        def round(self, _: int) -> None:
-            for i in range(k + 1):
-                super().round(i)
-            self.name = _short(self.name, count)
-
-    return open_windows(h, first, size, [known], Short)
+def open_windows(h: np.ndarray, first: np.ndarray, size: int, k: int, known: np.ndarray, count: int) -> np.ndarray:
+    """Starts of the windows in which all symbols made by round ``k``, whose support
+    lies inside, have names among those ``known`` (sorted, as the exchange knows them)."""
+    start = windows(h, first, size)[1]
+    s = _after(h, first, k)
+    at, name = s.supported(size)
+    name = _short(name, count)
+    bad = at[known[np.minimum(np.searchsorted(known, name), known.size - 1)] != name] if known.size else at
+    #: a lonely symbol closes all windows around its support
+    dead = np.zeros(h.size + 1, np.int64)
+    np.add.at(dead, np.maximum(s.hi[bad] - size + 1, 0), 1)
+    np.add.at(dead, s.lo[bad] + 1, -1)
+    return start[np.cumsum(dead[:-1])[start] == 0]
 
 
 def _regions(size: int, k: int, count: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -223,7 +224,7 @@ def _regions(size: int, k: int, count: int) -> Callable[[pa.Table, pa.Table], pa
             docs, known = _whole(docs), _known(shared)
             here, at_word = docs.column("block")[0].as_py(), docs.column("begin").to_numpy()
             for lo, hi, buf, (b, e, h, first) in _parts(docs):
-                start = _left(h, first, size, k, known, count)
+                start = open_windows(h, first, size, k, known, count)
                 owner = np.searchsorted(first, start, "right") - 1
                 #: windows of one document that overlap or touch are one region
                 cut = np.flatnonzero((np.diff(start) > size) | (np.diff(owner) > 0)) + 1
@@ -264,7 +265,7 @@ def _open(regions: pa.Table, shared: pa.Table, size: int, k: int, count: int):
     known, ids = _known(shared), _ids(regions)
     for lo, hi, buf, (b, e, h, first) in _parts(regions):
         name, start = windows(h, first, size)
-        left = np.isin(start, _left(h, first, size, k, known, count), assume_unique=True)
+        left = np.isin(start, open_windows(h, first, size, k, known, count), assume_unique=True)
         check = _check(h, first, size)
         yield lo, buf, (b, e, h, first), start[left], name[left], check[left], np.repeat(ids[lo:hi], np.diff(first))[start[left]]
 
@@ -456,7 +457,7 @@ def deduplicate(docs: DataFrame, size: int = 13, rounds: int = 2, block_bytes: i
     answer, region = "block long, key binary, r binary", "block long, doc_id long, row long, begin long, text string"
 
     def exchange(rows: DataFrame, k: int) -> DataFrame:
-        sent = rows.groupBy("block").applyInArrow(_names(k, count), "r long, block long, key binary, more binary")
+        sent = rows.groupBy("block").applyInArrow(_names(size, k, count), "r long, block long, key binary, more binary")
         return sent.groupBy("r").applyInArrow(_shared, answer)
 
     with Scratch(spark, "substring-dedup") as tables:

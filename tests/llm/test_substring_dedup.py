@@ -79,7 +79,7 @@ def test_equal_windows_have_equal_symbols_where_their_support_is_inside():
             for d in range(2):
                 x = int(first[d]) + len(around[d][0])
                 keep = new & (lo >= x) & (hi < x + len(w))
-                inside.append(sorted(zip((at[keep] - x).tolist(), name[keep].tolist())))
+                inside.append(sorted(zip((at[keep] - x).tolist(), name[keep].tolist(), (lo[keep] - x).tolist(), (hi[keep] - x).tolist())))
             assert inside[0] == inside[1]
             made += len(inside[0])
     assert made > 2000
