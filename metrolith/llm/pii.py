@@ -34,18 +34,49 @@ _TERM = r"[\p{L}\p{M}\p{N}_]++"
 _SPAN = "struct<start:int,`end`:int,m:string>"
 
 
-def _found(text: str, pattern: str) -> str:
-    """SQL for array<struct<start, end, m>> of all matches, in code points.
+#: Matches are handled in chunks of this many, so that an array is never grown one by
+#: one over all the matches of a long text.
+_CHUNK = 64
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` standing for the value, which is made once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _chunks(array: str) -> str:
+    return f"transform(sequence(0, greatest(size({array}) - 1, 0) div {_CHUNK}), k -> slice({array}, k * {_CHUNK} + 1, {_CHUNK}))"
+
 
-    Positions follow from the stretches between matches and the matches."""
+def _matched(text: str, pattern: str, fields: str, kind: str, test: str = "true") -> str:
+    """SQL for an array of ``fields`` (of type ``kind``) of the matches x that pass a
+    test; x.m is the match and acc.pos + x.gap its first code point.
+
+    Positions follow from the lengths of the matches and of the stretches between."""
     p = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    return (
-        f"aggregate(zip_with(regexp_extract_all({text}, '{p}', 0), split({text}, '{p}', -1), (m, b) -> struct(m, b)),"
-        f" struct(0 AS pos, CAST(array() AS array<{_SPAN}>) AS out),"
-        " (acc, x) -> CASE WHEN x.m IS NULL THEN acc ELSE struct(acc.pos + length(x.b) + length(x.m) AS pos,"
-        " concat(acc.out, array(struct(acc.pos + length(x.b) AS start, acc.pos + length(x.b) + length(x.m) AS `end`, x.m AS m))) AS out) END,"
-        " acc -> acc.out)"
+    found = f"filter(zip_with(regexp_extract_all({text}, '{p}', 0), split({text}, '{p}', -1), (m, b) -> struct(m, length(b) AS gap, length(m) AS size)), x -> x.m IS NOT NULL)"
+    first = "aggregate(c, struct(0 AS pos, CAST(array() AS array<int>) AS out), (acc, y) -> struct(acc.pos + aggregate(y, 0, (n, x) -> n + x.gap + x.size) AS pos, concat(acc.out, array(acc.pos)) AS out), acc -> acc.out)"
+    one = (
+        f"aggregate(y, struct(at AS pos, CAST(array() AS array<{kind}>) AS out),"
+        f" (acc, x) -> struct(acc.pos + x.gap + x.size AS pos, CASE WHEN {test} THEN concat(acc.out, array({fields})) ELSE acc.out END AS out), acc -> acc.out)"
     )
+    return _let("z", found, _let("c", _chunks("z"), f"flatten(zip_with(c, {first}, (y, at) -> {one}))"))
+
+
+def _found(text: str, pattern: str) -> str:
+    """SQL for array<struct<start, end, m>> of all matches, in code points."""
+    return _matched(text, pattern, "struct(acc.pos + x.gap AS start, acc.pos + x.gap + x.size AS `end`, x.m AS m)", _SPAN)
+
+
+def _rewritten(spans: str, step: str) -> str:
+    """SQL for the text with its sorted spans rewritten: ``step`` is what a span s adds to
+    the strings acc.out; acc.pos is where the spans before it end, and
+    ``part`` the stretch of text from ``at`` on that holds the chunk."""
+    last = "greatest({0}, coalesce(array_max(transform(y, s -> s.`end`)), 0))"
+    first = f"aggregate(c, struct(0 AS pos, CAST(array() AS array<int>) AS out), (acc, y) -> struct({last.format('acc.pos')} AS pos, concat(acc.out, array(acc.pos)) AS out))"
+    one = f"array_join(aggregate(y, struct(at AS pos, CAST(array() AS array<string>) AS out), (acc, s) -> struct(greatest(acc.pos, s.`end`) AS pos, {step} AS out), acc -> acc.out), '')"
+    pieces = f"zip_with(c, w.out, (y, at) -> {_let('part', f'substring(text, at + 1, {last.format('at')} - at)', one)})"
+    return _let("c", _chunks(spans), _let("w", first, f"concat(array_join({pieces}, ''), substring(text, w.pos + 1))"))
 
 
 def _digits(m: str) -> str:
@@ -78,11 +109,8 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 def _masked() -> str:
     """SQL for the text with its base spans blanked; positions stay."""
-    return """
-        CASE WHEN size(spans) = 0 THEN text ELSE aggregate(spans, struct(0 AS pos, CAST(array() AS array<string>) AS out), (acc, s) ->
-            CASE WHEN s.`end` > acc.pos THEN struct(s.`end` AS pos, concat(acc.out, array(
-                substring(text, acc.pos + 1, greatest(s.start - acc.pos, 0)), repeat(' ', s.`end` - greatest(s.start, acc.pos)))) AS out) ELSE acc END,
-            acc -> concat(array_join(acc.out, ''), substring(text, acc.pos + 1))) END"""
+    blank = "substring(part, acc.pos - at + 1, greatest(s.start - acc.pos, 0)), repeat(' ', s.`end` - greatest(s.start, acc.pos))"
+    return f"CASE WHEN size(spans) = 0 THEN text ELSE {_rewritten('spans', f'CASE WHEN s.`end` > acc.pos THEN concat(acc.out, array({blank})) ELSE acc.out END')} END"
 
 
 def _terms() -> str:
@@ -93,15 +121,9 @@ def _terms() -> str:
 
 def _flagged() -> str:
     """SQL for the spans of the terms in ``flags``; no others are collected."""
-    p, span = _TERM.replace("\\", "\\\\"), "struct<start:int,no:int,`end`:int,kind:string>"
-    return f"""
-        CASE WHEN flags IS NULL THEN CAST(array() AS array<{span}>) ELSE
-        aggregate(zip_with(regexp_extract_all(masked, '{p}', 0), split(masked, '{p}', -1), (m, b) -> struct(m, b)),
-            struct(0 AS pos, CAST(array() AS array<{span}>) AS out),
-            (acc, x) -> CASE WHEN x.m IS NULL THEN acc ELSE struct(acc.pos + length(x.b) + length(x.m) AS pos,
-                CASE WHEN array_contains(flags, xxhash64(lower(x.m))) THEN concat(acc.out, array(struct(acc.pos + length(x.b) AS start, 4 AS no,
-                    acc.pos + length(x.b) + length(x.m) AS `end`, 'term' AS kind))) ELSE acc.out END AS out) END,
-            acc -> acc.out) END"""
+    span = "struct<start:int,no:int,`end`:int,kind:string>"
+    fields = "struct(acc.pos + x.gap AS start, 4 AS no, acc.pos + x.gap + x.size AS `end`, 'term' AS kind)"
+    return f"CASE WHEN flags IS NULL THEN CAST(array() AS array<{span}>) ELSE {_matched('masked', _TERM, fields, span, 'array_contains(flags, xxhash64(lower(x.m)))')} END"
 
 
 def _based(docs: DataFrame) -> DataFrame:
@@ -175,11 +197,7 @@ def redact(docs: DataFrame, threshold: float = 0.8, support: int = 3, everywhere
     spans = full.select("key", F.expr("array_sort(concat(transform(spans, s -> struct(s.start AS start, s.no AS no, s.`end` AS `end`, s.kind AS kind)), terms))").alias("__all"))
     keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
     out = keyed.join(small(spans.withColumnRenamed("key", "__key"), 100_000), "__key", "left")
-    cut = F.expr("""
-        aggregate(__all, struct(0 AS pos, CAST(array() AS array<string>) AS out), (acc, s) ->
-            CASE WHEN s.start >= acc.pos THEN struct(s.`end` AS pos, concat(acc.out, array(substring(text, acc.pos + 1, s.start - acc.pos), concat('[', upper(s.kind), ']'))) AS out)
-                 ELSE struct(greatest(acc.pos, s.`end`) AS pos, acc.out AS out) END,
-            acc -> concat(array_join(acc.out, ''), substring(text, acc.pos + 1)))""")
+    cut = F.expr(_rewritten("__all", "CASE WHEN s.start >= acc.pos THEN concat(acc.out, array(substring(part, acc.pos - at + 1, s.start - acc.pos), concat('[', upper(s.kind), ']'))) ELSE acc.out END"))
     out = out.withColumn("text", F.when(F.col("__all").isNull(), F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__all").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))

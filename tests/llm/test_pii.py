@@ -91,3 +91,67 @@ def test_disclosing_terms_of_whole_documents(spark):
         want = [(m.start(), 4, m.end(), "term") for m in term.finditer(masked[r.doc_id]) if m[0].lower() in bad]
         assert r.spans == ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(want + spans(texts[r.doc_id]))), r
     assert [r.spans for r in got if r.doc_id == 2] == ["term:0:2"]
+
+
+def masked(t, found):
+    out = list(t)
+    for a, _, b, _ in found:
+        out[a:b] = " " * (b - a)
+    return "".join(out)
+
+
+def brute_terms(rows, threshold, support, everywhere):
+    """All spans of each row by the formula, with loops over distinct rows."""
+    docs = sorted(set(rows), key=str)
+    base = {r: spans(r[1]) for r in docs}
+    terms = {r: [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"\w+", masked(r[1] or "", base[r]))] for r in docs}
+    has_e = {r: {(k, (r[1] or "")[a:b].lower()) for a, _, b, k in base[r]} for r in docs}
+    has_t = {r: {t for *_, t in terms[r]} for r in docs}
+    n = len(docs)
+    count = lambda held: {x: sum(x in h for h in held.values()) for h in held.values() for x in h}
+    of_e, of_t = count(has_e), count(has_t)
+    pairs = set()
+    for e, ne in of_e.items():
+        for t, nt in of_t.items():
+            both = sum(e in has_e[r] and t in has_t[r] for r in docs)
+            if both >= support and ne < n and math.log(both * n / (ne * nt)) >= threshold * math.log(n / ne) - 1e-12:
+                pairs.add((e, t))
+    out = []
+    for r in rows:
+        flags = {t for e, t in pairs if everywhere or e in has_e[r]}
+        every = sorted([(a, k, b, x) for a, k, b, x in base[r]] + [(a, 4, b, "term") for a, b, t in terms[r] if t in flags])
+        out.append((r[0], ",".join(f"{x}:{a}:{b}" for a, _, b, x in every)))
+    return sorted(out, key=str)
+
+
+def test_terms_equal_loops_over_the_formula(spark):
+    import random
+
+    rng = random.Random(3)
+    people = [("Ann", "ann@x.org"), ("Bo", "10.0.0.7"), ("Zoë_9", "4111 1111 1111 1111"), ("Wu", "+1 319 555 5132")]
+    rows = [(None, "a b"), (3, None), (4, "")]
+    for i in range(60):
+        w = [rng.choice("the of and to mail call street house river blue".split()) for _ in range(rng.randint(2, 12))]
+        for name, data in people:
+            if rng.random() < 0.12:
+                w += [name, data] if rng.random() < 0.8 else [data]
+            elif rng.random() < 0.03:
+                w.append(name)
+        rng.shuffle(w)
+        rows.append((10 + i, " , ".join(w)))
+    rows += [rows[20]] * 30  # repeated rows count as one document
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for threshold, support, everywhere in ((0.8, 3, False), (0.6, 1, True)):
+        got = sorted(((r.doc_id, r.spans) for r in pii.find(df, threshold, support, everywhere).collect()), key=str)
+        assert got == brute_terms(rows, threshold, support, everywhere)
+    assert any("term" in s for _, s in got)
+
+
+def test_texts_of_very_many_spans(spark):
+    text = " ".join(f"user{i}@mail{i % 7}.example.org, and 10.0.{i % 256}.{i // 256}" for i in range(4000))
+    df = spark.createDataFrame([(1, text, "en"), (2, "nothing here", "en")], "doc_id long, text string, lang string")
+    want = ",".join(f"{k}:{a}:{b}" for a, _, b, k in spans(text))
+    (r,) = [r for r in pii.find(df).collect() if r.doc_id == 1]
+    assert r.n_email == r.n_ip == 4000 and r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+    (out,) = [r.text for r in pii.redact(df).collect() if r.doc_id == 1]
+    assert out == ", and ".join(["[EMAIL]"] + ["[IP] [EMAIL]"] * 3999) + ", and [IP]"
