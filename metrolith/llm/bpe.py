@@ -18,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import batched, pieces
 
 #: A space between two non-spaces: every token of the split pattern may begin
 #: with one space and none holds a space further in, so a token always begins here.
@@ -94,7 +94,7 @@ def _cached(shared):
 
 
 def _shared(docs: DataFrame, path: str, pattern: str):
-    return docs.sparkSession.sparkContext.broadcast({"key": (path, pattern), "ranks": ranks(path), "pattern": pattern})
+    return batched(docs).sparkSession.sparkContext.broadcast({"key": (path, pattern), "ranks": ranks(path), "pattern": pattern})
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", ids: str = "ids") -> DataFrame:

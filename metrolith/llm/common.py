@@ -31,6 +31,15 @@ _powers: dict[str, np.ndarray] = {}
 _SPAN = 512 << 10
 
 
+def batched(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """The table as it is; from now on its session sends Python at most ``rows`` rows of
+    texts at once, unless the session has a number of its own."""
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,11 +47,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is read from ``spark.checkpoint.dir``; only where that is unset, as in
-    local tests, a folder below the warehouse is used.
+    It is read from ``spark.checkpoint.dir``; only where that is unset a folder below
+    the warehouse is used: in local sessions, or if the warehouse is no machine's own.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
-    return (at or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared").rstrip("/")
+    if not at:
+        at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
+        if at.startswith(("file:", "/")) and spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return at.rstrip("/")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

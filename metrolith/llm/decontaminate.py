@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _P, _P_INV, U64, _power, concat_ranges, mix, pieces, runs, small, text_buffer
+from .common import _P, _P_INV, U64, _power, batched, concat_ranges, mix, pieces, runs, small, text_buffer
 
 Q = 8
 _BITS = 20
@@ -323,6 +323,7 @@ def _items(benchmark: DataFrame, slice_bytes: int) -> tuple[DataFrame, int]:
 def _indexes(docs: DataFrame, benchmark: DataFrame, slice_bytes: int, **options):
     """The broadcast index of each slice of the benchmark."""
     items, slices = _items(benchmark, slice_bytes)
+    batched(docs)
     for k in range(slices):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == k).select("item_id", "text").collect()
         yield docs.sparkSession.sparkContext.broadcast(build_index([(r[0], r[1]) for r in rows], **options))

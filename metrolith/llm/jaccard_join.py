@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, binary, concat_ranges, mix, packed, pieces, ranges_of, runs, shuffle_partitions, small, text_buffer, unpacked, windows, words, written
+from .common import U64, Scratch, batched, binary, concat_ranges, mix, packed, pieces, ranges_of, runs, shuffle_partitions, small, text_buffer, unpacked, windows, words, written
 from .components import components
 
 _KEY_BITS = 48
@@ -112,7 +112,7 @@ def _rows(docs: DataFrame) -> DataFrame:
     """doc_id, did, row, text: ``did`` and ``row``, the id and a hash of the text,
     name a row (repeated rows alike), whatever the plan."""
     doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(_NO_ID)).alias("did"), F.xxhash64(text).alias("row"), text.alias("text"))
+    return batched(docs).select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(_NO_ID)).alias("did"), F.xxhash64(text).alias("row"), text.alias("text"))
 
 
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:

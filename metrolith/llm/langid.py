@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ftrl
-from .common import pieces, text_buffer
+from .common import batched, pieces, text_buffer
 
 BITS = 15
 FEATURES = 1 << BITS
@@ -100,7 +100,7 @@ class Model:
 
 
 def _plain(docs: DataFrame, *more) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    return batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
 def train(docs: DataFrame, language: str = "lang", sample: int = 4000, calibration: int = 1000, **options) -> Model:

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _P, _P_INV, _SPAN, U64, _power, Scratch, concat_ranges, mix, packed, ranges_of, runs, shuffle_partitions, small, text_buffer, unpacked, windows, words, written
+from .common import _P, _P_INV, _SPAN, U64, _power, Scratch, batched, concat_ranges, mix, packed, ranges_of, runs, shuffle_partitions, small, text_buffer, unpacked, windows, words, written
 
 _FAR = np.iinfo(np.int64).max >> 1
 
@@ -442,7 +442,7 @@ def deduplicate(docs: DataFrame, size: int = 13, rounds: int = 2, block_bytes: i
     """
     if rounds < 1:
         raise ValueError("at least one round is needed")
-    spark = docs.sparkSession
+    spark = batched(docs).sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = 2 * shuffle_partitions(spark)

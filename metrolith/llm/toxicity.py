@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ftrl
-from .common import _P, _P_INV, _power, mix, pieces, text_buffer, words
+from .common import _P, _P_INV, _power, batched, mix, pieces, text_buffer, words
 from .decontaminate import normalise
 
 BITS = 20
@@ -76,7 +76,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: str = "toxic", sample: int
     share = F.create_map(*[x for k in grades for x in (F.lit(k), F.lit(min(1.0, each / counts[k])))])
     ticket = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) + F.lit(0.5)) / F.lit(float(1 << 20))
     chosen = marks.where(ticket < share[F.col("grade")])
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    plain = batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     rows = plain.join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +92,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: str = "toxic", sample: int
     have = np.bincount(y, minlength=len(grades))
     #: each grade weighs as much as it does among all labelled documents
     weight = np.array([counts[g] for g in grades]) / np.maximum(have, 1)
-    weight = (weight / weight[have > 0].min()).clip(max=8.0) if len(got) else weight
+    weight = weight / weight[have > 0].min() if len(got) else weight
     options = {"alpha": 0.3, "l1": 4.0, "l2": 0.1} | options
     w, cuts = ftrl.cumulative_link([np.frombuffer(a, np.int32) for *_, a in got], y, len(grades), FEATURES, weight[y], **options)
     return Model(grades, w, cuts)
@@ -104,7 +104,7 @@ def score(docs: DataFrame, model: Model, toxic_from: float = 0.5) -> DataFrame:
 
     A null or empty text has no features: it gets the severity of the intercept.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = batched(docs).sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

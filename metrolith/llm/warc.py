@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, shared_dir, written
+from .common import batched, pieces, shared_dir, written
 
 CHUNK_CHARS = 16_384
 _CHUNKS = "rid string, page_id long, url string, chunk_no int, last boolean, bytes_so_far long, digest_so_far string, chunk string"
@@ -64,7 +64,7 @@ def chunk_table(pages: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
                         rows, size = [], 0
             yield _table(rows, _CHUNKS)
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, _CHUNKS)
+    return batched(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, _CHUNKS)
 
 
 def _delimiter(token: str) -> str:
