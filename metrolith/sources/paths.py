@@ -9,6 +9,11 @@ from pyspark.sql import SparkSession
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the folder that driver and executors share: the session's
-    ``spark.checkpoint.dir``, or a folder of the warehouse where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
+    ``spark.checkpoint.dir``, or a folder of the warehouse where that is unset (in local
+    sessions, or if the warehouse is no machine's own)."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
+        if at.startswith(("file:", "/")) and spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     return f"{at.rstrip('/')}/{label}-{uuid.uuid4().hex}"
