@@ -445,10 +445,10 @@ def deduplicate(docs: DataFrame, size: int = 13, rounds: int = 2, block_bytes: i
     spark = batched(docs).sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    least = 2 * shuffle_partitions(spark)
-    blocks = max(least, -(-total // block_bytes))
-    #: about one byte of names for four of text is sent in the first round
-    count = max(least, -(-total // (4 * range_bytes)))
+    blocks = max(shuffle_partitions(spark), -(-total // block_bytes))
+    #: about one byte of names for four of text is sent in the first round; a block has one
+    #: row for each range, so these are no more than their bytes ask for
+    count = max(-(-shuffle_partitions(spark) // 2), -(-total // (4 * range_bytes)))
     of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
     #: a row is named by its id and a hash of its text, repeated rows alike
     dealt = plain.withColumn("row", F.xxhash64("text")).withColumn("begin", F.lit(0).cast("long"))
