@@ -74,3 +74,8 @@ def weighted_mean(x: Column, w: Column) -> Column:
 
 def weighted_share(test: Column, w: Column) -> Column:
     return F.try_divide(F.sum(F.when(test, w).otherwise(0.0)), F.sum(w))
+
+
+def gated(value: Column, coverage: Column, least: float) -> Column:
+    """The value where the covered share is ``least`` or more, else null."""
+    return F.when(coverage >= least, value)

@@ -113,3 +113,14 @@ def with_unavailable(units: DataFrame, long: DataFrame, features: dict[str, str]
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), F.lit(v).alias("reason")) for k, v in features.items()]))
     gone = units.select("unit_id", rows.alias("f")).select("unit_id", "f.feature", F.lit(None).cast("double").alias("value"), F.lit("unavailable").alias("status"), "f.reason")
     return long.unionByName(gone, allowMissingColumns=True)
+
+
+def stratified_pick(df: DataFrame, strata: list[str], key: str, value: str, threshold: float, n: int, seed: int = 7) -> DataFrame:
+    """strata, key, reason: of each stratum ``n`` rows in the order of a hash of their key,
+    the ``n`` of the largest value and the ``n`` nearest to a threshold; a row
+    may be picked for several reasons."""
+    random = F.sha2(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")), 256)
+    orders = {"random": [random], "largest": [F.col(value).desc()], "near": [F.abs(F.col(value) - threshold)]}
+    ranked = df.select(*strata, key, *[F.row_number().over(Window.partitionBy(*strata).orderBy(*o, F.col(key))).alias(k) for k, o in orders.items()])
+    reason = F.explode(F.filter(F.array(*[F.when(F.col(k) <= n, F.lit(k)) for k in orders]), lambda x: x.isNotNull()))
+    return ranked.where(F.least(*orders) <= n).select(*strata, key, reason.alias("reason"))

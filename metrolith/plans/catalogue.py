@@ -12,5 +12,7 @@ from . import (  # noqa: F401
     scalars,
     similarity,
     sources,
+    streets,
+    units,
 )
 from .registry import ORACLES, QUERIES, ROWS  # noqa: F401

@@ -14,7 +14,7 @@ from .registry import Tables, portable, query
 from .similarity import BUDGETS, compare_sql, pairs
 
 
-@query("r108_block_partition", (107, 108, 129, 275), f"""
+@query("r108_block_partition", (108, 275), f"""
     WITH o AS (SELECT block, CAST(unit AS VARCHAR) AS unit, {_AREA} AS a, (b.x1 - b.x0) * (b.y1 - b.y0) AS w FROM {_BLOCKS} b, {_DISTRICTS} d)
     SELECT block, unit, round(a, 3) AS area FROM o WHERE a > 0 UNION ALL SELECT block, 'OUTSIDE', round(max(w) - sum(a), 3) + 0.0 FROM o GROUP BY block HAVING sum(a) > 0""")
 def _(t: Tables):
@@ -83,7 +83,7 @@ def _(t: Tables):
     return O.overlapping_pairs(_blocks(t), "block", 60.0, 0.25)
 
 
-@query("r285_heights_above_ground", (285, 286), f"""
+@query("r285_heights_above_ground", (286,), f"""
     WITH p AS (SELECT c_custkey, floor(x / 50) AS cx, floor(y / 50) AS cy, c_acctbal AS z, c_custkey % 3 AS class FROM {_POINTS}), g AS (SELECT cx, cy, avg(z) AS g FROM p WHERE class = 2 GROUP BY 1, 2)
     SELECT c_custkey, round(z - g, 4) AS height FROM p LEFT JOIN g USING (cx, cy) WHERE class <> 2""")
 def _(t: Tables):
@@ -151,7 +151,7 @@ def _(t: Tables):
     return t.spark.createDataFrame([("valley", M.density_valley(both)), ("rho_lo", lo), ("rho_hi", hi), ("inside", float(inside.mean())), ("hausdorff", O.hausdorff(ring[0][:2], ring[0][:2] + 1))], "name string, value double")
 
 
-@query("r222_scenarios", (222, 206, 218, 185), " UNION ALL ".join(
+@query("r222_scenarios", (222,), " UNION ALL ".join(
     f"SELECT '{name}' AS scenario, * FROM ({compare_sql(budgets, BUDGETS)}) AS c{k}"
     for k, (name, budgets) in enumerate({"equal": {f: 1 / 3 for f in BUDGETS}, **{f"without {f}": {x: (0.0 if x == f else b) for x, b in BUDGETS.items()} for f in BUDGETS}}.items())))
 def _(t: Tables):

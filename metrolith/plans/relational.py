@@ -13,7 +13,7 @@ portable("r066_class_filter", (66, 67), """
     WHERE l_returnflag IN ('A', 'R') AND l_linestatus = 'F' AND l_quantity BETWEEN 10 AND 20 AND l_discount BETWEEN 0.02 AND 0.06""")
 
 
-@query("r068_check_ledger", (68, 73, 291), """
+@query("r068_check_ledger", (68, 73), """
     SELECT 'prices are positive' AS name, bool_and(o_totalprice > 0) AS pass, NULL AS detail FROM orders
     UNION ALL SELECT 'status is known', bool_and(o_orderstatus IN ('O', 'F', 'P')), CAST(count(DISTINCT o_orderstatus) AS VARCHAR) FROM orders
     UNION ALL SELECT 'all are urgent', bool_and(o_orderpriority = '1-URGENT'), NULL FROM orders
@@ -184,7 +184,7 @@ def _(t: Tables):
     return t.customer.select("c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("c_nationkey")).unpivot("c_custkey", ["c_acctbal", "c_nationkey"], "slot", "v")
 
 
-@query("r199_hash_order_sample", (199, 198, 272), """
+@query("r199_hash_order_sample", (199,), """
     SELECT c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY sha256(concat(CAST(c_custkey AS VARCHAR), ':7'))) AS n FROM customer) WHERE n <= 3""")
 def _(t: Tables):
     order = F.sha2(F.concat(F.col("c_custkey").cast("string"), F.lit(":7")), 256)
@@ -210,7 +210,7 @@ portable("r283_ordered_string_agg", (283,), """
     "SELECT c_nationkey, string_agg(CAST(c_custkey AS VARCHAR), ';' ORDER BY c_acctbal DESC, c_custkey) AS ids FROM customer WHERE c_acctbal > 9000 GROUP BY c_nationkey")
 
 
-@query("r292_unavailable_rows", (292, 28), """
+@query("r292_unavailable_rows", (292,), """
     SELECT 'N' || n_nationkey AS unit_id, 'f1' AS feature, CAST(n_regionkey AS DOUBLE) AS value, 'ok' AS status, NULL AS reason FROM nation
     UNION ALL SELECT 'N' || n_nationkey, 'f2', NULL, 'unavailable', 'no source' FROM nation""")
 def _(t: Tables):

@@ -91,7 +91,7 @@ def _(t: Tables):
     return S.scaled(long, method="hellinger").where("value is not null").select("unit", "column", F.round("value", 6).alias("v"))
 
 
-@query("r220_compare_distances", (220, 211, 212, 213, 214), compare_sql({"use": 0.5, "form": 0.25, "mix": 0.25}, {"use": 0.25, "mix": 0.25, "form": 0.5}))
+@query("r220_compare_distances", (220, 212, 213), compare_sql({"use": 0.5, "form": 0.25, "mix": 0.25}, {"use": 0.25, "mix": 0.25, "form": 0.5}))
 def _(t: Tables):
     p = pairs(t)
     c = S.compare(S.distances(p, S.domain_budgets({"use": "a", "form": "b", "mix": "b"})), S.distances(p, S.equal_budgets(list(FAMILIES), [["use", "mix"]])))
@@ -104,7 +104,7 @@ def _draws_sql(draws: int = 500, seed: int = 20261006) -> str:
     return ", ".join(f"({d}, '{f}', {float(u[d, k] * BUDGETS[f])!r})" for d in range(draws) for k, f in enumerate(names))
 
 
-@query("r221_weight_stability", (221, 201, 188), f"""
+@query("r221_weight_stability", (221, 201), f"""
     WITH {_LONG}, draw(draw, family, u) AS (VALUES {_draws_sql()}), f AS (SELECT i, j, family, sum(m * v) AS wm, sum(v) AS w FROM (SELECT *, CASE family WHEN 'use' THEN 0.5 ELSE 1.0 END AS v FROM q WHERE m IS NOT NULL) GROUP BY 1, 2, 3),
     e AS (SELECT draw, i, j, sum(u * wm) / sum(u * w) AS d FROM f JOIN draw USING (family) GROUP BY 1, 2, 3), y AS (SELECT draw, i, j, d FROM e UNION ALL SELECT draw, j, i, d FROM e),
     n AS (SELECT *, row_number() OVER (PARTITION BY draw, i ORDER BY d, j) AS n FROM y), h AS (SELECT i, j, count(*) / 500 AS kept FROM n WHERE n <= 5 GROUP BY 1, 2),
@@ -130,7 +130,7 @@ def _(t: Tables):
     return u.select("i", "family", F.round("gap", 5).alias("gap"), "rank")
 
 
-@query("r225_index_gap", (225, 224, 208), """
+@query("r225_index_gap", (225,), """
     WITH f AS (SELECT c_nationkey AS u, avg(c_acctbal) AS a, count(*) AS n FROM customer GROUP BY 1),
     s AS (SELECT u, (a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()) AS x, (n - min(n) OVER ()) / (max(n) OVER () - min(n) OVER ()) AS y FROM f)
     SELECT a.u AS i, b.u AS j, round(abs(a.x + a.y - b.x - b.y), 6) AS gap, round(sqrt(0.5 * power(a.x - b.x, 2) + 0.5 * power(a.y - b.y, 2)), 6) AS profile FROM s a JOIN s b ON a.u < b.u""")
@@ -144,7 +144,7 @@ def _(t: Tables):
     return a.join(b, "k").where("i < j").select("i", "j", F.round(gap, 6).alias("gap"), F.round(F.sqrt(0.5 * F.pow(F.col("x1") - F.col("x2"), 2) + 0.5 * F.pow(F.col("y1") - F.col("y2"), 2)), 6).alias("profile"))
 
 
-@query("r226_ward_clusters", (226, 217, 227))
+@query("r226_ward_clusters", (226, 217))
 def _(t: Tables):
     ids, d = M.square(S.distances(pairs(t), BUDGETS))
     _, labels = M.best_clusters(d)
@@ -152,7 +152,7 @@ def _(t: Tables):
     return t.spark.createDataFrame([(int(u), int(c), float(round(x, 6))) for u, c, x in zip(ids, labels, axes[:, 0])], "unit int, cluster int, axis1 double")
 
 
-@query("r216_prune_columns", (215, 216, 219, 232, 233))
+@query("r216_prune_columns", (216,))
 def _(t: Tables):
     rows = units(t).orderBy("unit").na.fill(0.0).collect()
     names = ["orders_n", "price_mean", "balance", "machinery"]

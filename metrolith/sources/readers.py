@@ -99,6 +99,12 @@ def geojson(spark: SparkSession, path: str) -> DataFrame:
     return f.select(F.explode("features").alias("f")).select(_geojson_wkb("f.geometry").alias("geometry"), "f.properties")
 
 
+def geojson_lines(spark: SparkSession, path: str) -> DataFrame:
+    """geometry (WKB) and properties (map) of files with one GeoJSON feature a line."""
+    f = spark.read.schema("geometry string, properties map<string,string>").json(path)
+    return f.select(_geojson_wkb("geometry").alias("geometry"), "properties")
+
+
 @F.pandas_udf(T.BinaryType())
 def _geojson_wkb(text: pd.Series) -> pd.Series:
     def one(g):
