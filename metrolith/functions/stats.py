@@ -31,12 +31,12 @@ def weighted_quantiles(df: DataFrame, keys: list[str], value: str, weight: str,
 
 def normalized_entropy(masses: list[Column], categories: int) -> Column:
     """Shannon entropy over ln(categories): 1 if even, 0 if single; no mass is
-    null; a negative mass is an error."""
+    null; a negative, infinite or undefined mass is an error."""
     total = sum((F.coalesce(m, F.lit(0.0)) for m in masses), F.lit(0.0))
-    bad = F.least(*masses) < 0
+    bad = F.exists(F.array(*masses), lambda m: F.coalesce((m < 0) | F.isnan(m.cast("double")) | (m == float("inf")), F.lit(False)))
     parts = sum((F.when(F.coalesce(m, F.lit(0.0)) > 0, -(m / total) * F.ln(m / total)).otherwise(0.0) for m in masses), F.lit(0.0))
     value = F.when(total > 0, parts / F.ln(F.lit(float(categories))))
-    return F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit("a mass is negative")).cast("double")).otherwise(value)
+    return F.when(bad, F.raise_error(F.lit("a mass is negative or not finite")).cast("double")).otherwise(value)
 
 
 def centred_log_ratios(df: DataFrame, counts: list[str], within: str | None = None, add: float = 0.5) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], t: str, columns: list[str], bucket: float, strict: bool = False) -> DataFrame:
     """Each left row with the columns of the latest right row of its key at or
-    before its time (before it, if ``strict``); null where there is none.
+    before its time (before it, if ``strict``); null where there is none. Of
+    several at one time that is the one of the largest ``columns``.
 
     Rows meet in time buckets of ``bucket`` units, so a hot key is spread over
     as many tasks as it has buckets; what a bucket ends with is carried on to
@@ -22,7 +23,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], t: str, column
     rank = F.lit(0 if not strict else 1)
     l = left.withColumn("_b", b).withColumn("_t", F.col(t)).withColumn("_l", F.struct(*left.columns)).select(*keys, "_t", "_b", "_l", (F.lit(1) - rank).alias("_o"))
     both = l.unionByName(r.select(*keys, "_t", "_b", "_r", rank.alias("_o")), allowMissingColumns=True)
-    inner = Window.partitionBy(*keys, "_b").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy(*keys, "_b").orderBy("_t", "_o", "_r").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_in", F.last("_r", ignorenulls=True).over(inner)).where(F.col("_l").isNotNull())
     ends = both.groupBy(*keys, "_b").agg(F.max("_r").alias("_end"))
     carried = ends.withColumn("_carry", F.last("_end", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).select(*keys, "_b", "_carry")

@@ -176,22 +176,35 @@ def clip_lengths(lines: DataFrame, keys: list[str], units: DataFrame, unit: str,
     return d.withColumn("_m", length_inside("geometry", "geometry_r")).where("_m > 0").groupBy(unit, *keys).agg(F.sum("_m").alias("length_m"))
 
 
-def union_coverage(buildings: DataFrame, units: DataFrame, unit: str, tile: float) -> DataFrame:
+def _on_land(polygons: list, land: list) -> float:
+    """Area that polygons cover together on land: |U| + |L| - |U and L united|."""
+    return G.union_area(polygons) + G.union_area(land) - G.union_area([*polygons, *land]) if polygons and land else 0.0
+
+
+def union_coverage(buildings: DataFrame, units: DataFrame, unit: str, tile: float, land: DataFrame | None = None) -> DataFrame:
     """covered_m2 and summed_m2 of footprints by unit, tile by tile: rectangles of a
-    tile and a unit are united, so no union is larger than what a tile holds."""
+    tile and a unit are united, so no union is larger than what a tile holds. With
+    ``land`` (unit, geometry; polygons that don't overlap) also on_land_m2."""
     b = candidates(buildings.select("geometry"), units.select(unit, "geometry"), tile)
-    b = _cells(b.withColumn("_l", bounds_of("geometry")), "_l", tile)
+    b = _cells(b.withColumn("_l", bounds_of("geometry")), "_l", tile).withColumn("_land", F.lit(False))
+    if land is not None:
+        #: land meets the buildings in the tiles that hold some
+        own = land.select(unit, "geometry").join(units.select(unit, F.col("geometry").alias("geometry_r")), unit)
+        own = _cells(own.withColumn("_l", bounds_of("geometry")), "_l", tile).withColumn("_land", F.lit(True))
+        own = own.join(b.select(unit, "_cx", "_cy").distinct(), [unit, "_cx", "_cy"], "left_semi")
+        b = b.unionByName(own)
 
     def unite(key, rows: pd.DataFrame) -> pd.DataFrame:
         x, y = key[1] * tile, key[2] * tile
         ub = G.bounds(rows.geometry_r.iloc[0])
         x0, y0, x1, y1 = max(x, ub[0]), max(y, ub[1]), min(x + tile, ub[2]), min(y + tile, ub[3])
-        clipped = [[G.clip_to_box(r, x0, y0, x1, y1) for r in G.parts(g)] for g in rows.geometry]
-        clipped = [p for p in ([r for r in c if len(r) > 3] for c in clipped) if p]
-        return pd.DataFrame({unit: [key[0]], "covered_m2": [G.union_area(clipped)], "summed_m2": [sum(map(G.area, clipped))]})
+        cut = lambda gs: [p for p in ([r for r in (G.clip_to_box(r, x0, y0, x1, y1) for r in G.parts(g)) if len(r) > 3] for g in gs) if p]
+        clipped, ground = cut(rows.geometry[~rows._land]), cut(rows.geometry[rows._land])
+        return pd.DataFrame({unit: [key[0]], "covered_m2": [G.union_area(clipped)], "summed_m2": [sum(map(G.area, clipped))], "on_land_m2": [_on_land(clipped, ground)]})
 
     kind = units.schema[unit].dataType.simpleString()
-    return b.groupBy(unit, "_cx", "_cy").applyInPandas(unite, f"{unit} {kind}, covered_m2 double, summed_m2 double").groupBy(unit).agg(F.sum("covered_m2").alias("covered_m2"), F.sum("summed_m2").alias("summed_m2"))
+    sums = [F.sum(c).alias(c) for c in ("covered_m2", "summed_m2", *(["on_land_m2"] if land is not None else []))]
+    return b.groupBy(unit, "_cx", "_cy").applyInPandas(unite, f"{unit} {kind}, covered_m2 double, summed_m2 double, on_land_m2 double").groupBy(unit).agg(*sums)
 
 
 def grid_population(pieces: DataFrame, key: str, mass: str, step: float) -> DataFrame:
@@ -246,14 +259,19 @@ def by_group(df: DataFrame, keys: list[str], kernel: Callable[[pd.DataFrame], pd
     return df.groupBy(*keys).applyInPandas(kernel, schema)
 
 
-def exclusive_category_areas(polygons: DataFrame, unit: str, category: str) -> DataFrame:
-    """unit, category, area: the area that a category alone covers; what two or more
-    contest is under the category '(contested)'."""
+def exclusive_category_areas(polygons: DataFrame, unit: str, category: str, land: DataFrame | None = None) -> DataFrame:
+    """unit, category, area: the area that a category alone covers (on ``land(unit,
+    geometry)``, if given); what two or more contest is under '(contested)'."""
+    on_land = land is not None
+    if on_land:
+        polygons = polygons.select(unit, category, "geometry").unionByName(land.select(unit, F.lit(None).cast("string").alias(category), "geometry"))
 
     def kernel(df: pd.DataFrame) -> pd.DataFrame:
+        ground = [G.parts(g) for g in df.geometry[df[category].isna()]]
+        area = (lambda ps: _on_land(ps, ground)) if on_land else G.union_area
         sets = {c: [G.parts(g) for g in d.geometry] for c, d in df.groupby(category)}
-        whole = G.union_area([p for s in sets.values() for p in s])
-        alone = {c: whole - G.union_area([p for k, s in sets.items() if k != c for p in s]) for c in sets}
+        whole = area([p for s in sets.values() for p in s])
+        alone = {c: whole - area([p for k, s in sets.items() if k != c for p in s]) for c in sets}
         rows = [(df[unit].iloc[0], c, a) for c, a in alone.items()] + [(df[unit].iloc[0], "(contested)", whole - sum(alone.values()))]
         return pd.DataFrame(rows, columns=[unit, category, "area"])
 

@@ -120,15 +120,22 @@ def outside_stops(times: DataFrame, stops: DataFrame, width: float = 60.0) -> Da
     return interval_join(times, stops, ["session"], "t", width, "left_anti", "left")
 
 
-def three_knocks(t: np.ndarray, x: np.ndarray, window_s: float = 3.0, least: float = 6.0) -> np.ndarray | None:
-    """Times of three outstanding peaks within ``window_s``: in robust deviations
-    from the median; None if there are not three."""
-    spread = np.median(np.abs(x - np.median(x))) * 1.4826 or 1.0
-    p = _peaks(t, (x - np.median(x)) / spread, 0.15, least)
-    for i in range(len(p) - 2):
-        if p[i + 2] - p[i] <= window_s:
-            return p[i : i + 3]
-    return None
+def three_knocks(t: np.ndarray, x: np.ndarray, span_s: float = 3.0, apart_s: float = 0.15, least: float = 12.0) -> np.ndarray | None:
+    """Times of the first three peaks within ``span_s`` that stand ``least`` median
+    deviations above the median; of peaks less than ``apart_s`` apart the
+    highest counts. None if there are not three."""
+    if len(t) < 3:
+        return None
+    middle = np.median(x)
+    level = middle + least * np.median(np.abs(x - middle))
+    apart = max(1, int(apart_s / np.median(np.diff(t))))
+    k = np.flatnonzero((x[1:-1] > x[:-2]) & (x[1:-1] >= x[2:]) & (x[1:-1] >= level)) + 1
+    out: list[int] = []
+    for i in sorted(k.tolist(), key=lambda i: -x[i]):
+        if all(abs(i - j) >= apart for j in out):
+            out.append(i)
+    p = t[sorted(out)]
+    return next((p[i : i + 3] for i in range(len(p) - 2) if p[i + 2] - p[i] <= span_s), None)
 
 
 def sync_offset(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], agree_s: float = 0.1) -> float | None:
@@ -136,7 +143,7 @@ def sync_offset(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarra
     p, q = three_knocks(*a), three_knocks(*b)
     if p is None or q is None or np.abs(np.diff(p) - np.diff(q)).max() > agree_s:
         return None
-    return float(np.mean(q - p))
+    return float(np.median(q - p))
 
 
 def best_lag(signal: DataFrame, reference: DataFrame, value: str, most: float, step: float) -> DataFrame:
@@ -195,9 +202,21 @@ def road_side(detections: DataFrame, frame_width: float, least_score: float = 0.
 
 
 def score(track: DataFrame, curb: str = "curb", back: str = "back", centre: str = "centre") -> DataFrame:
-    """Share of rows between curb and back, and median distances, by side."""
-    lo, hi = F.least(curb, back), F.greatest(curb, back)
-    return track.groupBy("side").agg(F.avg(F.col("v").between(lo, hi).cast("double")).alias("inside"), F.median(F.abs(F.col("v") - F.col(centre))).alias("from_centre"), F.median(F.greatest(lo - F.col("v"), F.col("v") - hi, F.lit(0.0))).alias("outside_by"))
+    """side (1 or -1), n, inside (share on that side's sidewalk), to_middle_m (median
+    distance to its middle), from_curb_m (median distance onto it; negative in the
+    road), in_road and other_half (shares), of rows in which all is known."""
+    known = [F.col(c).isNotNull() & ~F.isnan(c) for c in ("v", curb, back, centre)]
+    v, side = F.col("v"), F.col("side")
+    onto = side * (v - F.col(curb))
+    share = lambda test: F.avg(test.cast("double"))
+    return track.where(known[0] & known[1] & known[2] & known[3]).groupBy("side").agg(
+        F.count("*").alias("n"),
+        share((onto >= 0) & (side * (F.col(back) - v) >= 0)).alias("inside"),
+        F.median(F.abs(v - (F.col(curb) + F.col(back)) / 2)).alias("to_middle_m"),
+        F.median(onto).alias("from_curb_m"),
+        share(onto < 0).alias("in_road"),
+        share(side * (v - F.col(centre)) < 0).alias("other_half"),
+    )
 
 
 def gauss_newton_lines(sessions: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]], knots: np.ndarray, smooth: float = 1.0, rounds: int = 20, delta: float = 1.0) -> np.ndarray:

@@ -231,6 +231,19 @@ def _(t: Tables):
     return u.where("covered_m2 > 0").select("unit", F.round("covered_m2", 3).alias("covered_m2"), F.round("summed_m2", 3).alias("summed_m2"))
 
 
+_LAND = "(SELECT n_nationkey AS unit, n_nationkey % 5 * 100.0 AS x0, n_nationkey // 5 * 100.0 + 20 AS y0, n_nationkey % 5 * 100.0 + 70 AS x1, n_nationkey // 5 * 100.0 + 100 AS y1 FROM nation)"
+
+
+@query("r111_coverage_on_land", (111, 129), f"""
+    WITH c AS (SELECT d.unit, greatest(b.x0, d.x0) AS x0, greatest(b.y0, d.y0) AS y0, least(b.x1, d.x1) AS x1, least(b.y1, d.y1) AS y1 FROM {_BLOCKS} b, {_LAND} d WHERE {_AREA} > 0), {_cells_sql("c")}
+    SELECT unit, round(sum(a), 3) AS on_land_m2 FROM (SELECT DISTINCT unit, x, y, a FROM g) GROUP BY unit""")
+def _(t: Tables):
+    """What buildings cover of each district's land, its area less its water."""
+    land = _boxes(t.nation.select(F.col("n_nationkey").alias("unit")), "unit", "(unit % 5) * 100", "(unit div 5) * 100 + 20", "70", "80")
+    u = S.union_coverage(_blocks(t), _districts(t), "unit", 50.0, land)
+    return u.select("unit", F.round("on_land_m2", 3).alias("on_land_m2")).where("on_land_m2 > 0")
+
+
 @query("r112_clip_length", (112, 114), f"""
     SELECT unit, round(sum(greatest(least(b.x1, d.x1) - greatest(b.x0, d.x0), 0)), 3) AS length_m FROM {_BLOCKS} b, {_DISTRICTS} d
     WHERE b.y0 + 0.25 BETWEEN d.y0 AND d.y1 AND least(b.x1, d.x1) > greatest(b.x0, d.x0) GROUP BY unit""")

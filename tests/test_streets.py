@@ -104,3 +104,50 @@ def test_heading_chain_and_steps(spark):
     walk = 9.8 + 2 * np.sin(2 * np.pi * 1.8 * t)
     steps = R.steps(spark.createDataFrame([("s", float(a), float(b), 0.0, 0.0) for a, b in zip(t, walk)], "session string, t double, x double, y double, z double"))
     assert abs(steps.count() - 36) <= 1
+
+
+def test_knocks_and_their_offset():
+    rng = np.random.default_rng(4)
+    t = np.arange(0, 30, 0.01)
+
+    def signal(at):
+        x = np.abs(rng.normal(0, 0.05, t.size))
+        for a, h in zip(at, (4.0, 3.0, 5.0)):
+            x += h * np.exp(-(((t - a) / 0.02) ** 2))
+        return x
+
+    a, b = signal((7.0, 7.8, 8.7)), signal((9.5, 10.3, 11.2))
+    assert np.allclose(R.three_knocks(t, a), (7.0, 7.8, 8.7), atol=0.02)
+    assert abs(R.sync_offset((t, a), (t, b)) - 2.5) < 0.02
+    assert R.three_knocks(t, signal((7.0, 12.0, 19.0))) is None
+    assert R.sync_offset((t, a), (t, signal((9.5, 10.3, 11.9)))) is None
+
+
+def test_areas_on_land(spark):
+    from metrolith.operators import spatial as P
+
+    rows = [(1, "a", G.box(0, 0, 4, 4)), (1, "b", G.box(2, 0, 6, 4)), (2, "a", G.box(0, 0, 1, 1))]
+    land = spark.createDataFrame([(1, G.box(1, 1, 5, 9)), (2, G.box(5, 5, 6, 6))], "u int, geometry binary")
+    got = {(r.u, r.c): r.area for r in P.exclusive_category_areas(spark.createDataFrame(rows, "u int, c string, geometry binary"), "u", "c", land).collect()}
+    assert got == {(1, "a"): 3.0, (1, "b"): 3.0, (1, "(contested)"): 6.0, (2, "a"): 0.0, (2, "(contested)"): 0.0}
+
+
+def test_ties_of_asof_rows_do_not_depend_on_buckets(spark):
+    from metrolith.operators import intervals as I
+
+    left = spark.createDataFrame([("k", 5.0), ("k", 25.0)], "k string, t double")
+    right = spark.createDataFrame([("k", 5.0, 1), ("k", 5.0, 9), ("k", 5.0, 4)], "k string, t double, v int")
+    for width in (1.0, 10.0, 100.0):
+        assert [r.v for r in I.asof_join(left, right, ["k"], "t", ["v"], width).orderBy("t").collect()] == [9, 9]
+
+
+def test_entropy_refuses_what_is_no_mass(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from metrolith.functions.stats import normalized_entropy
+
+    for bad in (float("nan"), float("inf"), -1.0):
+        with pytest.raises(Exception, match="not finite"):
+            spark.createDataFrame([(bad, 1.0)], "a double, b double").select(normalized_entropy([F.col("a"), F.col("b")], 2)).collect()
+    assert spark.createDataFrame([(None, 1.0)], "a double, b double").select(normalized_entropy([F.col("a"), F.col("b")], 2)).first()[0] == 0.0
