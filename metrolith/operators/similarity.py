@@ -163,3 +163,24 @@ def unusualness(pairs: DataFrame, cities: DataFrame) -> DataFrame:
     c, e = cities.select(F.col("unit").alias("i"), F.col("city").alias("c")), cities.select(F.col("unit").alias("j"), F.col("city").alias("c"))
     g = both.join(F.broadcast(c), "i").join(F.broadcast(e), ["j", "c"]).groupBy("c", "i", "family").agg(F.avg("m").alias("gap"))
     return g.withColumn("rank", F.rank().over(Window.partitionBy("c", "family").orderBy(F.col("gap").desc()))).drop("c")
+
+
+def pool_neighbours(d: DataFrame, cities: DataFrame, k: int = 5) -> DataFrame:
+    """i, j, d, n: the k nearest of each unit among those of other cities, ties to the
+    smaller id."""
+    c = cities.select(F.col("unit").alias("i"), F.col("city").alias("ci"))
+    e = cities.select(F.col("unit").alias("j"), F.col("city").alias("cj"))
+    pool = both_ways(d).join(F.broadcast(c), "i").join(F.broadcast(e), "j").where("ci <> cj")
+    return pool.withColumn("n", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("n") <= k).select("i", "j", "d", "n")
+
+
+def normalized_weights(weights: list[tuple[str, float]]) -> dict[str, float]:
+    """Weights that sum to 1; a repeated column, a weight that is negative or not finite,
+    or a sum of 0 is an error."""
+    names = [c for c, _ in weights]
+    if len(set(names)) < len(names):
+        raise ValueError("a column has several weights")
+    w = np.array([x for _, x in weights], float)
+    if not np.isfinite(w).all() or (w < 0).any() or w.sum() <= 0:
+        raise ValueError("weights must be finite, not negative, and of a positive sum")
+    return dict(zip(names, (w / w.sum()).tolist()))

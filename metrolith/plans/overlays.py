@@ -145,7 +145,7 @@ portable("r197_ordered_pairs", (197,), "SELECT a.n_nationkey AS i, b.n_nationkey
 def _(t: Tables):
     v = np.array([r[0] for r in t.nation.join(t.supplier, F.col("n_nationkey") == F.col("s_nationkey")).groupBy("n_nationkey").agg(F.avg("s_acctbal")).orderBy("n_nationkey").collect()])
     both = np.concatenate([v / v.max(), v / v.max() + 6])
-    lo, hi = M.bootstrap_interval(v, v[::-1], 200)
+    lo, hi = M.bootstrap_interval(v, v[::-1])
     ring = [np.array([[0, 0], [4, 0], [0, 4], [0, 0]], float)]
     inside = G.locate(O.random_points(ring, 20, 3), ring) > 0
     return t.spark.createDataFrame([("valley", M.density_valley(both)), ("rho_lo", lo), ("rho_hi", hi), ("inside", float(inside.mean())), ("hausdorff", O.hausdorff(ring[0][:2], ring[0][:2] + 1))], "name string, value double")

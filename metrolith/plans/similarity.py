@@ -159,3 +159,12 @@ def _(t: Tables):
     x = np.array([[float(r[c]) for c in names] for r in rows])
     rho = M.spearman_matrix(x)
     return t.spark.createDataFrame([(c, c in M.prune(names, rho, 0.3), float(round(M.rank_r2(x[:, k], np.delete(x, k, 1)), 6))) for k, c in enumerate(names)], "name string, kept boolean, rank_r2 double")
+
+
+@query("r188_pool_neighbours", (188, 206), f"""
+    WITH {_LONG}, n AS (SELECT b.*, row_number() OVER (PARTITION BY i ORDER BY d, j) AS n FROM b JOIN nation x ON x.n_nationkey = i JOIN nation y ON y.n_nationkey = j WHERE x.n_regionkey <> y.n_regionkey)
+    SELECT i, j, round(d, 5) AS d, n FROM n WHERE n <= 3""")
+def _(t: Tables):
+    budgets = S.normalized_weights([("use", 2.0), ("form", 1.0), ("mix", 1.0)])
+    cities = t.nation.select(F.col("n_nationkey").alias("unit"), F.col("n_regionkey").alias("city"))
+    return S.pool_neighbours(S.distances(pairs(t), budgets), cities, 3).select("i", "j", F.round("d", 5).alias("d"), "n")

@@ -84,6 +84,27 @@ def stage(spark: SparkSession, path: str, signature: str, build: Callable[[], Da
     return spark.read.parquet(f"{path}/data")
 
 
+def stage_units(spark: SparkSession, path: str, rows: DataFrame, unit: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A table of units, of which only those are built again whose input rows have another
+    digest than at the last run; units that are gone stay in the table's history."""
+    row = F.xxhash64(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"})).cast("decimal(38,0)")
+    now = rows.groupBy(unit).agg(F.concat_ws(":", F.count("*"), F.sum(row), F.bit_xor(row.cast("long"))).alias("_signature"))
+    try:
+        before = spark.read.parquet(f"{path}/signatures").select(unit, F.col("_signature").alias("_before"))
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        before = spark.createDataFrame([], now.select(unit, F.col("_signature").alias("_before")).schema)
+    changed = now.join(before, unit, "left").where(F.col("_before").isNull() | (F.col("_before") != F.col("_signature"))).select(unit, "_signature")
+    todo = f"{path}/todo"
+    changed.write.mode("overwrite").parquet(todo)
+    changed = spark.read.parquet(todo)
+    built = build(rows.join(changed.select(unit), unit, "left_semi"))
+    parquet(built, f"{path}/units", [unit], "overwrite")
+    parquet(changed, f"{path}/signatures", [unit], "overwrite")
+    return spark.read.schema(built.schema).parquet(f"{path}/units").join(now.select(unit), unit, "left_semi").select(*built.columns)
+
+
 def publish(df: DataFrame, path: str, checks: dict[str, Column]) -> DataFrame:
     """Write beside ``path``, test the written rows with aggregate conditions, and
     rename; on failure nothing appears at ``path``."""

@@ -37,4 +37,4 @@ def test_tours_of_all_orders(spark, tmp_path):
 
 def test_no_claims_without_code():
     claimed = {r for rows in catalogue.ROWS.values() for r in rows}
-    assert not claimed & {17, 33, 129, 131, 185, 188, 208, 211, 214, 224, 227, 241, 243, 263, 264}
+    assert not claimed & {17, 131, 208, 211, 214, 224, 227, 241, 243, 263, 264}
