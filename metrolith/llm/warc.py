@@ -144,6 +144,68 @@ def _same(rid: str, said: str | None, got: str) -> None:
         raise ValueError(f"record {rid}: its payload has digest {got}, its header says {said}")
 
 
+_RECORDS = "file string, record_no long, warc_type string, record_id string, target_uri string, headers map<string,string>, chunk_no int, last boolean, bytes_so_far long, digest_so_far string, chunk binary"
+
+
+def read_records(spark: SparkSession, path: str, chunk_bytes: int = 64 << 10) -> DataFrame:
+    """Chunk rows of the records of gzip-compressed WARC files by any writer, of one gzip
+    member a file or a record: records are framed by their Content-Length, whatever
+    their payload holds. Rows of a record are in order of chunk_no and carry the running
+    byte count and SHA-1 of its block.
+
+    A compressed file is read by one task, in order; a block is one value there while
+    it is cut. A file that ends inside a record is an error."""
+    mark = "WARC/1."
+
+    def chunks(file: str, n: int, head: bytes, block: bytes) -> Iterator[tuple]:
+        at: dict[str, str] = {}
+        for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+            name, colon, value = line.partition(":")
+            if colon:
+                at[name.strip()] = value.strip()
+        by = {k.lower(): v for k, v in at.items()}
+        done = hashlib.sha1()
+        for k, lo in enumerate(range(0, max(1, len(block)), chunk_bytes)):
+            part = block[lo : lo + chunk_bytes]
+            done.update(part)
+            yield (file, n, by.get("warc-type"), by.get("warc-record-id"), by.get("warc-target-uri"), list(at.items()), k, lo + chunk_bytes >= len(block), lo + len(part), done.hexdigest(), part)
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        names = [x.split()[0] for x in _RECORDS.split(", ")]
+        types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.binary()]
+        columns = list(zip(*rows)) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, n, held, rows, size = None, 0, None, [], 0
+        for batch in batches:
+            for now, value in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist()):
+                if now != file:
+                    if held is not None:
+                        raise ValueError(f"{file} ends inside a record")
+                    file, n = now, 0
+                    if not value.strip():
+                        continue
+                held = value if held is None else held + mark.encode() + value
+                head, blank, body = held.partition(b"\r\n\r\n")
+                length = [x.split(b":", 1)[1] for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+                if not blank or not length or len(body) < int(length[0]):
+                    continue  # the mark stood inside the record
+                for row in chunks(file, n, head, body[: int(length[0])]):
+                    rows.append(row)
+                    size += len(row[-1])
+                    if size > 4 << 20:
+                        yield table(rows)
+                        rows, size = [], 0
+                n, held = n + 1, None
+        if held is not None:
+            raise ValueError(f"{file} ends inside a record")
+        yield table(rows)
+
+    lines = spark.read.option("lineSep", mark).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
+    return batched(lines).mapInArrow(run, _RECORDS)
+
+
 def digest_records(segments: DataFrame) -> DataFrame:
     """One row for each record: segments of a record meet in order and are
     digested one after the other; the task holds one chunk at a time."""

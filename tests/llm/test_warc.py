@@ -55,3 +55,36 @@ def test_files_are_warc(spark, tmp_path):
             assert rest[n : n + 4] == b"\r\n\r\n"
             data = rest[n + 4 :]
     assert {k: b"".join(x for _, x in sorted(v)).decode() for k, v in found.items()} == {"1": html, "2": "x"}
+
+
+def record(kind, block, more=b"", version=b"1.0"):
+    return b"WARC/" + version + b"\r\nWARC-Type: " + kind + b"\r\nWARC-Record-ID: <urn:x:" + str(len(block)).encode() + b">\r\n" + more + b"Content-Length: " + str(len(block)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    odd = b"HTTP/1.1 200 OK\r\n\r\nWARC/1.0\r\nContent-Length: 3\r\n\r\n\xff\x00abc" + bytes(range(256)) * 600
+    blocks = [b"software: x\r\n", odd, b"", b"WARC/1.1", "é".encode() * 10]
+    kinds = [b"warcinfo", b"response", b"metadata", b"resource", b"response"]
+    made = [record(k, b, b"WARC-Target-URI: http://e.org/a:b\r\n" if k == b"response" else b"") for k, b in zip(kinds, blocks)]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "members.warc.gz").write_bytes(b"".join(gzip.compress(m) for m in made))
+    (tmp_path / "w" / "whole.warc.gz").write_bytes(gzip.compress(b"".join(made)))
+    rows = warc.read_records(spark, str(tmp_path / "w"), 1000).collect()
+    for name in ("members", "whole"):
+        found = {}
+        for r in rows:
+            if name in r.file:
+                found.setdefault(r.record_no, []).append(r)
+        assert len(found) == len(blocks)
+        for n, (kind, block) in enumerate(zip(kinds, blocks)):
+            parts = sorted(found[n], key=lambda r: r.chunk_no)
+            assert b"".join(bytes(r.chunk) for r in parts) == block and parts[0].warc_type == kind.decode()
+            assert [r.last for r in parts] == [False] * (len(parts) - 1) + [True]
+            assert parts[-1].bytes_so_far == len(block) and parts[-1].digest_so_far == hashlib.sha1(block).hexdigest()
+            assert parts[0].headers["Content-Length"] == str(len(block))
+            assert parts[0].target_uri == ("http://e.org/a:b" if kind == b"response" else None)
+    import pytest
+
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(made[1][:-900]))
+    with pytest.raises(Exception, match="ends inside a record"):
+        warc.read_records(spark, str(tmp_path / "cut.warc.gz")).collect()
