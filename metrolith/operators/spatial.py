@@ -280,20 +280,21 @@ def exclusive_category_areas(polygons: DataFrame, unit: str, category: str, land
 
 
 def near_fraction(lines: DataFrame, key: str, others: DataFrame, spacing: float, distances: list[float]) -> DataFrame:
-    """key, near_<d>: length-weighted share of each line within d of the others."""
+    """key, near_<d>: length-weighted share of each line within d of the others. A sample
+    is named by its line (of a key that occurs once), part and place."""
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            out = [pd.DataFrame({key: k, "x": p[:, 0], "y": p[:, 1], "m": m}) for k, g in zip(df[key], df.geometry) for p, m in (G.sample_line(line, spacing) for line in G.parts(g))]
-            yield pd.concat(out) if out else pd.DataFrame({key: [], "x": [], "y": [], "m": []})
+            out = [pd.DataFrame({key: k, "_p": n, "_i": np.arange(len(p)), "x": p[:, 0], "y": p[:, 1], "m": m}) for k, g in zip(df[key], df.geometry) for n, (p, m) in enumerate(G.sample_line(line, spacing) for line in G.parts(g))]
+            yield pd.concat(out) if out else pd.DataFrame({key: [], "_p": [], "_i": [], "x": [], "y": [], "m": []})
 
     kind = lines.schema[key].dataType.simpleString()
     top = max(distances)
-    s = lines.select(key, "geometry").mapInPandas(sample, f"{key} {kind}, x double, y double, m double").withColumn("_i", F.monotonically_increasing_id())
+    s = lines.select(key, "geometry").mapInPandas(sample, f"{key} {kind}, _p int, _i int, x double, y double, m double")
     grown = others.select("geometry").withColumn("_r", bounds_of("geometry"))
     grown = grown.withColumn("_r", F.struct(*[(F.col(f"_r.{c}") + (top if c[1] == "1" else -top)).alias(c) for c in ("x0", "y0", "x1", "y1")]))
     cell = top * 4
     near = s.withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell)).join(_cells(grown, "_r", cell), ["_cx", "_cy"], "left")
     near = near.withColumn("_d", F.when(F.col("geometry").isNotNull(), distance_to("x", "y", F.coalesce("geometry", F.lit(G.box(0, 0, 1, 1))))))
-    best = near.groupBy(key, "_i", "m").agg(F.min("_d").alias("_d"))
+    best = near.groupBy(key, "_p", "_i", "m").agg(F.min("_d").alias("_d"))
     return best.groupBy(key).agg(*[(F.sum(F.when(F.col("_d") <= d, F.col("m")).otherwise(0.0)) / F.sum("m")).alias(f"near_{d:g}") for d in distances])

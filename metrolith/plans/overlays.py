@@ -34,7 +34,12 @@ def _(t: Tables):
     return O.road_parts(roads, "id", F.col("rule.value") == "link", "rules")
 
 
-@query("r120_near_fraction", (120,))
+@query("r120_near_fraction", (120,), f"""
+    WITH p AS (SELECT block, x0 + 60 * (i + 0.5) / 4 AS x, y0 + 10 * (i + 0.5) / 4 AS y FROM {_BLOCKS}, range(0, 4) AS r(i)),
+    e AS (SELECT block, p.x, p.y, CASE WHEN p.x BETWEEN d.x0 AND d.x1 AND p.y BETWEEN d.y0 AND d.y1 THEN least(p.x - d.x0, d.x1 - p.x, p.y - d.y0, d.y1 - p.y)
+        ELSE sqrt(power(greatest(d.x0 - p.x, 0, p.x - d.x1), 2) + power(greatest(d.y0 - p.y, 0, p.y - d.y1), 2)) END AS d FROM p, {_DISTRICTS} d),
+    n AS (SELECT block, x, y, min(d) AS d FROM e GROUP BY 1, 2, 3)
+    SELECT block, avg(CASE WHEN d <= 5 THEN 1.0 ELSE 0 END) AS near_5, avg(CASE WHEN d <= 15 THEN 1.0 ELSE 0 END) AS near_15, avg(CASE WHEN d <= 30 THEN 1.0 ELSE 0 END) AS near_30 FROM n GROUP BY block""")
 def _(t: Tables):
     from pyspark.sql import types as T
 
@@ -43,7 +48,8 @@ def _(t: Tables):
         return x.combine(y, lambda a, b: G.line_wkb([[a, b], [a + 60, b + 10]]))
 
     lines = _blocks(t).select("block", line("x0", "y0").alias("geometry"))
-    return S.near_fraction(lines, "block", _districts(t), 20.0, [5.0, 15.0, 30.0])
+    n = S.near_fraction(lines, "block", _districts(t), 20.0, [5.0, 15.0, 30.0])
+    return n.select("block", *[F.round(c, 9).alias(c) for c in ("near_5", "near_15", "near_30")])
 
 
 @query("r124_best_match", (124,), f"""
