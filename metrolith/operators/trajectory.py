@@ -195,10 +195,13 @@ def rails(track: DataFrame, knots: DataFrame, half_m: float) -> DataFrame:
 
 
 def road_side(detections: DataFrame, frame_width: float, least_score: float = 0.5, share: float = 0.7, least: int = 5) -> DataFrame:
-    """run, side: left or right if ``share`` of the run's boxes lie there, else abstain."""
-    left = ((F.col("x0") + F.col("x1")) / 2 < frame_width / 2).cast("double")
-    g = detections.where(F.col("score") >= least_score).groupBy("run").agg(F.avg(left).alias("l"), F.count("*").alias("n"))
-    return g.select("run", F.when(F.col("n") < least, "abstain").when(F.col("l") >= share, "left").when(F.col("l") <= 1 - share, "right").otherwise("abstain").alias("side"), "n")
+    """run, side: left or right if ``share`` of the run's boxes lie there, else abstain.
+
+    Each side's own mean is compared: ``1 - share`` is rounded, and would lose runs
+    that hold exactly that share."""
+    left = (F.col("x0") + F.col("x1")) / 2 < frame_width / 2
+    g = detections.where(F.col("score") >= least_score).groupBy("run").agg(F.avg(left.cast("double")).alias("l"), F.avg((~left).cast("double")).alias("r"), F.count("*").alias("n"))
+    return g.select("run", F.when(F.col("n") < least, "abstain").when(F.col("l") >= share, "left").when(F.col("r") >= share, "right").otherwise("abstain").alias("side"), "n")
 
 
 def score(track: DataFrame, curb: str = "curb", back: str = "back", centre: str = "centre") -> DataFrame:
