@@ -115,3 +115,13 @@ def test_land_of_crowded_districts(spark):
     began = time.monotonic()
     got = {r.unit: r.on_land_m2 for r in S.union_coverage(df.select("geometry"), units, "unit", 50.0, land).collect()}
     assert got == {u: float(b[65 * u + 10 : 65 * u + 45, 20:].sum()) for u in (0, 1)} and time.monotonic() - began < 60
+
+
+def test_coverage_of_crowded_districts(spark):
+    df, cells = crowd(spark, 12000)
+    b = cells.any(axis=(0, 1))
+    units = spark.createDataFrame([(u, bytearray(G.box(65 * u, 0, 65 * u + 65, 130))) for u in (0, 1)], "unit int, geometry binary")
+    began = time.monotonic()
+    got = {r.unit: (r.covered_m2, r.summed_m2) for r in S.union_coverage(df.select("geometry"), units, "unit", 50.0).collect()}
+    part = lambda k, u: max(0, min(65 * u + 65, k * 37 % 100 + 10 + k % 20) - max(65 * u, k * 37 % 100)) * (5 + k % 25)
+    assert got == {u: (float(b[65 * u : 65 * u + 65].sum()), float(sum(part(k, u) for k in range(12000)))) for u in (0, 1)} and time.monotonic() - began < 60
